@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from reconspark.llm.common import table
 from reconspark.llm.simhash import near_duplicates
+from reconspark.llm.substring import remove_repeats
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,8 +17,14 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), window=50)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_substring": op4_substring,
         "op5_simhash": op5_simhash,
     }
 
