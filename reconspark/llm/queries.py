@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reconspark.llm.archive import archive_round_trip
-from reconspark.llm.common import table
+from reconspark.llm.common import fold, table
+from reconspark.llm.language import identify, learn
 from reconspark.llm.packing import pack
 from reconspark.llm.simhash import near_duplicates
 from reconspark.llm.substring import remove_repeats
@@ -33,12 +34,20 @@ def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    prototypes = learn(docs.where(~fold("doc_id", 3, 1)))
+    found = identify(docs.select("doc_id", "text"), prototypes, keep=["doc_id"])
+    return found.select("doc_id", fold("doc_id", 3, 1).alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_packing": op2_packing,
         "op3_warc": op3_warc,
         "op4_substring": op4_substring,
         "op5_simhash": op5_simhash,
+        "op8_language": op8_language,
     }
 
 
