@@ -12,6 +12,7 @@ from reconspark.llm.archive import archive_round_trip
 from reconspark.llm.common import fold, table
 from reconspark.llm.language import identify, learn
 from reconspark.llm.packing import pack
+from reconspark.llm.quality import learn_quality, score_quality
 from reconspark.llm.simhash import near_duplicates
 from reconspark.llm.substring import remove_repeats
 
@@ -21,6 +22,13 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = learn_quality(docs, table(spark, sf_dir, "labels").where(~fold("doc_id", 5, 0)), sample=6000)
+    scored = score_quality(docs.select("doc_id", "text"), model, keep=["doc_id"])
+    return scored.select("doc_id", fold("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end=2)
 
@@ -43,6 +51,7 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality": op1_quality,
         "op2_packing": op2_packing,
         "op3_warc": op3_warc,
         "op4_substring": op4_substring,
