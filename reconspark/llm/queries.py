@@ -15,6 +15,7 @@ from reconspark.llm.packing import pack
 from reconspark.llm.quality import learn_quality, score_quality
 from reconspark.llm.simhash import near_duplicates
 from reconspark.llm.substring import remove_repeats
+from reconspark.llm.toxicity import learn_toxicity, score_toxicity
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,6 +50,13 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", fold("doc_id", 3, 1).alias("held_out"), "lang_pred", "score")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = learn_toxicity(docs, table(spark, sf_dir, "labels").where(~fold("doc_id", 3, 1)), sample=8000)
+    scored = score_toxicity(docs.select("doc_id", "text"), model, keep=["doc_id"])
+    return scored.select("doc_id", fold("doc_id", 3, 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
@@ -57,6 +65,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_substring": op4_substring,
         "op5_simhash": op5_simhash,
         "op8_language": op8_language,
+        "op10_toxicity": op10_toxicity,
     }
 
 
