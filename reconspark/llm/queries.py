@@ -12,6 +12,7 @@ from reconspark.llm.archive import archive_round_trip
 from reconspark.llm.common import fold, table
 from reconspark.llm.language import identify, learn
 from reconspark.llm.packing import pack
+from reconspark.llm.prefix import compare_with_edits
 from reconspark.llm.quality import learn_quality, score_quality
 from reconspark.llm.simhash import near_duplicates
 from reconspark.llm.substring import remove_repeats
@@ -50,6 +51,12 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", fold("doc_id", 3, 1).alias("held_out"), "lang_pred", "score")
 
 
+def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = compare_with_edits(table(spark, sf_dir, "documents"))
+    sha = F.sha2(F.col("edited_text").cast("binary"), 256).alias("edited_sha256")
+    return found.select("doc_id", "n_chars", sha, "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = learn_toxicity(docs, table(spark, sf_dir, "labels").where(~fold("doc_id", 3, 1)), sample=8000)
@@ -65,6 +72,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_substring": op4_substring,
         "op5_simhash": op5_simhash,
         "op8_language": op8_language,
+        "op9_fingerprint": op9_fingerprint,
         "op10_toxicity": op10_toxicity,
     }
 
