@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from reconspark.llm.archive import archive_round_trip
 from reconspark.llm.common import fold, table
+from reconspark.llm.decontaminate import contaminated
 from reconspark.llm.language import identify, learn
 from reconspark.llm.packing import pack
 from reconspark.llm.prefix import compare_with_edits
@@ -44,6 +45,10 @@ def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), share=0.2)
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     prototypes = learn(docs.where(~fold("doc_id", 3, 1)))
@@ -71,6 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_warc": op3_warc,
         "op4_substring": op4_substring,
         "op5_simhash": op5_simhash,
+        "op6_decontamination": op6_decontamination,
         "op8_language": op8_language,
         "op9_fingerprint": op9_fingerprint,
         "op10_toxicity": op10_toxicity,
