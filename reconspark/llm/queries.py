@@ -17,6 +17,7 @@ from reconspark.llm.prefix import compare_with_edits
 from reconspark.llm.quality import learn_quality, score_quality
 from reconspark.llm.simhash import near_duplicates
 from reconspark.llm.substring import remove_repeats
+from reconspark.llm.tokencount import count_tokens
 from reconspark.llm.toxicity import learn_toxicity, score_toxicity
 
 
@@ -49,6 +50,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), share=0.2)
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     prototypes = learn(docs.where(~fold("doc_id", 3, 1)))
@@ -77,6 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_substring": op4_substring,
         "op5_simhash": op5_simhash,
         "op6_decontamination": op6_decontamination,
+        "op7_token_counts": op7_token_counts,
         "op8_language": op8_language,
         "op9_fingerprint": op9_fingerprint,
         "op10_toxicity": op10_toxicity,
