@@ -57,48 +57,61 @@ def fingerprints(docs: DataFrame, shingle: int = 3, lanes: int = 1, id_col: str
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, " + ", ".join(f"f{i} long" for i in range(lanes)))
 
 
-def segments(lanes: int, radius: int, distinct: int) -> list[tuple[int, int, int, int]]:
-    """(lane, shift, width, ball) of each table.
+def exact_links(classes: DataFrame, radius: int) -> DataFrame:
+    """classes(rep, f0): distinct fingerprints of 64 bits. (a, b), a < b, for each two at most radius (up to 3) bits apart.
 
-    One lane and a radius up to 3: halves of 32 bits. Two texts within the radius differ in at most radius // 2
-    bits of the high half, or else in at most radius - radius // 2 - 1 bits of the low one, so balls of these sizes miss
-    nothing. More lanes: parts as wide as the number of fingerprints asks for, so that a part gathers few strangers, with
-    ball 0; with 30 parts and more this finds a pair at a share p of differing bits with chance 1 - (1 - (1 - p)^width)^parts.
+    Of two fingerprints within the radius either the high halves differ in at most radius // 2 bits or the low halves in
+    at most radius - radius // 2 - 1: the balls of these sizes around both halves miss nothing.
     """
-    if lanes == 1:
-        if radius > 3:
-            raise ValueError("one lane serves a radius up to 3")
-        return [(0, 32, 32, radius // 2), (0, 0, 32, radius - radius // 2 - 1)][: 2 if radius else 1]
-    width = min(32, max(16, math.ceil(math.log2(max(2, distinct))) + 2))
-    return [(lane, shift, width, 0) for lane in range(lanes) for shift in range(0, 64 - width + 1, width)]
-
-
-def ball(part: F.Column, width: int, radius: int) -> F.Column:
-    """All values of a part within a radius of 0 or 1 bits."""
-    if radius == 0:
-        return F.array(part)
-    if radius > 1:
-        raise ValueError("balls of radius 0 and 1 are enumerated")
-    return F.array(part, *(part.bitwiseXOR(F.lit(1 << b).cast("long")) for b in range(width)))
-
-
-def links(classes: DataFrame, lanes: int, radius: int, distinct: int) -> DataFrame:
-    """classes(rep, f0, ...): distinct fingerprints. (a, b), a < b, for each two at most radius bits apart."""
-    parts = segments(lanes, radius, distinct)
-    value = lambda lane, shift, width: F.shiftrightunsigned(F.col(f"f{lane}"), shift).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
-    index = F.array(*(F.struct(F.lit(i).alias("part"), value(*p[:3]).alias("key")) for i, p in enumerate(parts)))
-    probe = F.flatten(F.array(*(F.transform(ball(value(*p[:3]), p[2], p[3]), lambda k, i=i: F.struct(F.lit(i).alias("part"), k.alias("key"))) for i, p in enumerate(parts))))
+    if radius > 3:
+        raise ValueError("balls of radius 0 and 1 are enumerated, so one lane serves a radius up to 3")
+    half = lambda shift: F.shiftrightunsigned(F.col("f0"), shift).bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
+    parts = [(32, radius // 2), (0, radius - radius // 2 - 1)][: 2 if radius else 1]
+
+    def ball(shift: int, size: int) -> F.Column:
+        near = [half(shift).bitwiseXOR(F.lit(1 << b).cast("long")) for b in range(32)] if size else []
+        return F.array(*(F.struct(F.lit(shift).alias("part"), k.alias("key")) for k in [half(shift), *near]))
+
+    left = classes.select(F.col("rep").alias("a"), F.col("f0").alias("fa"), F.inline(F.concat(*(ball(*p) for p in parts))))
+    right = classes.select(F.col("rep").alias("b"), F.col("f0").alias("fb"), F.inline(F.concat(*(ball(s, 0) for s, _ in parts))))
+    near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= radius)
+    return left.join(right, (left["part"] == right["part"]) & (left["key"] == right["key"]) & near).select("a", "b").distinct()
+
+
+def wide_links(classes: DataFrame, lanes: int, radius: int, distinct: int, scratch: Scratch) -> DataFrame:
+    """classes(rep, f0, ...): distinct fingerprints of many lanes. (a, b) pairs within the radius that connect its groups.
+
+    Three parts of each lane but the last are tables, as wide as keeps strangers in a table's entry at about one half. Within an
+    entry all members are compared with its least and its greatest one, so the work is linear in its size; two members
+    usually share several entries. With a share p of differing bits two texts share a given entry with chance (1 - p)^width. The
+    last lane is a sketch that settles most comparisons before the other lanes are fetched.
+    """
+    width = min(32, max(16, math.ceil(math.log2(max(2, distinct))) + 1))
+    mask = F.lit((1 << width) - 1).cast("long")
+    turn = lambda f, s: F.shiftrightunsigned(f, s).bitwiseOR(F.shiftleft(f, 64 - s)) if s else f
+    parts = [turn(F.col(f"f{lane}"), s).bitwiseAND(mask) for lane in range(lanes - 1) for s in (0, 21, 42)]
+    sketch = F.col(f"f{lanes - 1}")
+    member = F.struct(F.col("rep"), F.col("sketch"))
+    entries = classes.select("rep", sketch.alias("sketch"), F.posexplode(F.array(*parts)).alias("part", "key"))
+    leaders = entries.groupBy("part", "key").agg(F.min(member).alias("low"), F.max(member).alias("high")).where("low <> high")
+    leaders = scratch.save(leaders.select("part", "key", F.explode(F.array("low", "high")).alias("x")).select("part", "key", F.col("x.rep").alias("a"), F.col("x.sketch").alias("sa")), "leaders")
+    # A sketch of 64 bits strays from the share of the whole by up to six deviations.
+    share = radius / (64 * lanes)
+    slack = math.ceil(64 * share + 6 * math.sqrt(64 * share * (1 - share)))
+    met = entries.join(leaders, ["part", "key"]).where((F.col("rep") != F.col("a")) & (F.bit_count(F.col("sketch").bitwiseXOR(F.col("sa"))) <= slack))
+    pairs = scratch.save(met.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct(), "pairs")
     names = [f"f{i}" for i in range(lanes)]
-    left = classes.select("rep", *names, F.inline(probe)).withColumnsRenamed({"rep": "a", **{n: f"a_{n}" for n in names}})
-    right = classes.select("rep", *names, F.inline(index)).withColumnsRenamed({"rep": "b", **{n: f"b_{n}" for n in names}})
-    apart = sum((F.bit_count(F.col(f"a_{n}").bitwiseXOR(F.col(f"b_{n}"))) for n in names), F.lit(0))
-    met = left.join(right, (left["part"] == right["part"]) & (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (apart <= radius))
-    return met.select("a", "b").distinct()
+    first = pairs.join(classes.select(F.col("rep").alias("a"), *(F.col(n).alias(f"a_{n}") for n in names)), "a")
+    both = first.join(classes.select(F.col("rep").alias("b"), *names), "b")
+    apart = sum((F.bit_count(F.col(f"a_{n}").bitwiseXOR(F.col(n))) for n in names), F.lit(0))
+    return both.where(apart <= radius).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, lanes: int = 1, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, f0.., component_id): the smallest doc_id reachable over links of at most radius differing bits.
 
+    One lane (64 bits, a radius up to 3): every such link is found. More lanes, for a lower similarity: see wide_links.
+
     Copies meet in one class per fingerprint first, so the links, tables and components hold distinct fingerprints
     only and a group of copies of any size costs one row there. Null or wordless texts have fingerprint zero and are linked
     like any other; rows with a null id keep their row (their class is named by its least other id, else null).
@@ -109,6 +122,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, lanes: int = 1, radius: i
     prints = scratch.save(fingerprints(docs, shingle, lanes, id_col, text_col), "prints")
     classes = scratch.save(prints.groupBy(*names).agg(F.min("doc_id").alias("rep")), "classes")
     named = classes.where("rep is not null")
-    found = components(links(named, lanes, radius, named.count()), scratch)
+    linked = exact_links(named, radius) if lanes == 1 else wide_links(named, lanes, radius, named.count(), scratch)
+    found = components(linked, scratch)
     owner = scratch.save(classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(*names, F.coalesce("label", "rep").alias("component_id")), "owner")
     return prints.join(owner, names).select("doc_id", *names, "component_id")
