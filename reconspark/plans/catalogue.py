@@ -313,7 +313,7 @@ def date_text(t):
     return t("orders").select("o_orderkey", X.date_serial(F.date_format("o_orderdate", "dd.MM.yyyy")).alias("serial"))
 
 
-@query("""with w as (select conv_id, turn, list_filter(string_split(text, ' '), lambda x: x <> '') a, list_filter(string_split(lead(text) over (partition by conv_id order by turn), ' '), lambda x: x <> '') b from conversations)
+@query("""with w as (select conv_id, turn, list_filter(string_split(replace(text, chr(10), ' '), ' '), lambda x: x <> '') a, list_filter(string_split(replace(lead(text) over (partition by conv_id order by turn), chr(10), ' '), ' '), lambda x: x <> '') b from conversations)
 select conv_id, turn, cast(coalesce(len(list_distinct(list_filter(b, lambda x: not list_contains(a, x)))), 0) as bigint) as n_new from w""")
 def append_distinct(t):
     lines = F.replace(F.col("text"), F.lit(" "), F.lit("\n"))
