@@ -26,8 +26,8 @@ def propagate_unique(df: DataFrame, group: str, value: str) -> DataFrame:
 def first_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row of each group. Rows meet as one aggregated struct, so a hot group is reduced before the shuffle."""
     rest = [c for c in df.columns if c not in keys]
-    lead = F.struct(*(F.col(c).alias(f"o{i}") for i, c in enumerate(order)), *(F.col(c).alias(f"r{i}") for i, c in enumerate(rest)))
-    return df.groupBy(*keys).agg(F.min(lead).alias("__row")).select(*keys, *(F.col(f"__row.r{i}").alias(c) for i, c in enumerate(rest))).select(*df.columns)
+    row = F.min_by(F.struct(*(F.col(c).alias(f"r{i}") for i, c in enumerate(rest))), F.struct(*(F.col(c).alias(f"o{i}") for i, c in enumerate(order))))
+    return df.groupBy(*keys).agg(row.alias("__row")).select(*keys, *(F.col(f"__row.r{i}").alias(c) for i, c in enumerate(rest))).select(*df.columns)
 
 
 def missing(expected: DataFrame, present: DataFrame, on: list[str]) -> DataFrame:

@@ -27,6 +27,7 @@ def local(cores: int | str = "*", partitions: int = 8, **conf: str) -> SparkSess
         "spark.sql.shuffle.partitions": str(partitions),
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
+        "spark.driver.memory": "6g",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.host": "127.0.0.1",
