@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from reconspark.llm.common import unused
+
 DIMENSIONS, SHARPNESS = 1024, 0.05
 BLOCK_DOCS, BLOCK_CHARS, MOST_GRAMS = 256, 2_000_000, 60_000
 
@@ -168,5 +170,6 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str =
                     lang[i] = names[k]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(lang), pa.array(score), pa.array(cosine)], names=out)
 
-    source = docs.drop("__text").withColumn("__text", F.col(text_col).cast("string")).select(*kept.columns, "__text")
+    t_ = unused(docs, "__text")
+    source = docs.withColumn(t_, F.col(text_col).cast("string")).select(*kept.columns, t_)
     return source.mapInArrow(run, schema)

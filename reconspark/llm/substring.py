@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reconspark.llm.common import Scratch, mixed, words
+from reconspark.llm.common import Scratch, mixed, unused, words
 
 WINDOW, ANCHOR = 50, 10
 #: Odd, so that it has an inverse modulo 2^64.
@@ -155,18 +155,19 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     """
     scratch = Scratch(docs.sparkSession, "substring")
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("row", F.xxhash64("text"))
-    spans = repeated_spans(keyed, scratch, window, anchor).withColumnsRenamed({"doc_id": "__id", "row": "__row", "spans": "__spans"})
+    i_, r_, s_, t_ = (unused(docs, n) for n in ("__id", "__row", "__spans", "__text"))
+    spans = repeated_spans(keyed, scratch, window, anchor).withColumnsRenamed({"doc_id": i_, "row": r_, "spans": s_})
     spans = scratch.save(spans, "spans")
     kept = docs.drop("n_words", "n_removed", "kept_text")
-    on = (kept[id_col].cast("long") == spans["__id"]) & (F.xxhash64(kept[text_col].cast("string")) == spans["__row"])
-    joined = kept.join(spans, on, "left").drop("__id", "__row").withColumn("__text", F.col(text_col).cast("string"))
-    schema = joined.drop("__spans", "__text").schema.add("n_words", "long").add("n_removed", "long").add("kept_text", "string")
+    on = (kept[id_col].cast("long") == spans[i_]) & (F.xxhash64(kept[text_col].cast("string")) == spans[r_])
+    joined = kept.join(spans, on, "left").drop(i_, r_).withColumn(t_, F.col(text_col).cast("string"))
+    schema = joined.drop(s_, t_).schema.add("n_words", "long").add("n_removed", "long").add("kept_text", "string")
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             total, removed, text = [], [], []
-            at, raw = b.column(b.schema.get_field_index("__spans")), b.column(b.schema.get_field_index("__text"))
+            at, raw = b.column(b.schema.get_field_index(s_)), b.column(b.schema.get_field_index(t_))
             for i in range(b.num_rows):
                 w = words(raw[i].as_py())
                 total.append(len(w))

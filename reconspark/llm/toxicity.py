@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reconspark.llm.common import Scratch
+from reconspark.llm.common import Scratch, unused
 
 TOKEN = re.compile(r"[^\W\d_]+|[\"“”„«»‹›]")
 MARKS = frozenset("\"“”„«»‹›")
@@ -208,6 +208,7 @@ def score_toxicity(docs: DataFrame, model: Toxicity, text_col: str = "text", kee
     Whole texts are scored; null and empty ones have no hit. Columns of these names are replaced.
     """
     kept = (docs.select(*keep) if keep else docs).drop("score", "hits", "features")
-    source = docs.drop("__text").withColumn("__text", F.col(text_col).cast("string")).select(*kept.columns, "__text")
+    t_ = unused(docs, "__text")
+    source = docs.withColumn(t_, F.col(text_col).cast("string")).select(*kept.columns, t_)
     sums = sum((F.get("features", F.lit(i)) * F.lit(float(w)) for i, w in enumerate(model.weights)), F.lit(model.bias))
     return _measured(source, model, kept.columns).select(*kept.columns, (1 / (1 + F.exp(-sums))).alias("score"), (F.get("features", F.lit(len(FEATURES) - 1)) > 0).alias("hits"))
