@@ -115,14 +115,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, lanes: int = 1, radius: i
     Copies meet in one class per fingerprint first, so the links, tables and components hold distinct fingerprints
     only and a group of copies of any size costs one row there. Null or wordless texts have fingerprint zero and are linked
     like any other; rows with a null id keep their row (their class is named by its least other id, else null).
-    Repeated rows give repeated rows; an empty table gives an empty one; other columns are not read.
+    Rows with one id and several texts are several documents. Repeated rows give repeated rows; an empty table gives an empty one; other columns are not read.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     names = [f"f{i}" for i in range(lanes)]
     prints = scratch.save(fingerprints(docs, shingle, lanes, id_col, text_col), "prints")
-    classes = scratch.save(prints.groupBy(*names).agg(F.min("doc_id").alias("rep")), "classes")
-    named = classes.where("rep is not null")
+    # A class is named by its least id and its fingerprint: ids that repeat under other texts stay apart.
+    mark = F.col("f0") if lanes == 1 else F.xxhash64(*names)
+    classes = prints.groupBy(*names).agg(F.min("doc_id").alias("id")).select(*names, F.struct("id", mark.alias("mark")).alias("rep"))
+    classes = scratch.save(classes, "classes")
+    named = classes.where("rep.id is not null")
     linked = exact_links(named, radius) if lanes == 1 else wide_links(named, lanes, radius, named.count(), scratch)
     found = components(linked, scratch)
-    owner = scratch.save(classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(*names, F.coalesce("label", "rep").alias("component_id")), "owner")
+    owner = scratch.save(classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(*names, F.coalesce("label.id", "rep.id").alias("component_id")), "owner")
     return prints.join(owner, names).select("doc_id", *names, "component_id")
