@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from reconspark.llm.common import unused
+
 PASSAGE_BYTES, BLOCK_BYTES, TRAINING_PASSAGES = 512, 2_000_000, 64
 #: Kinds of bytes: lower case, upper case, digit, space, line end, and signs by use; then UTF-8 lead and following bytes.
 KINDS = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " ", "\n\r", ".", ",", "!?", "|", "\"'()[]{}<>", "#$%&*@^~", "-_/\\:;=+`", "\t\v\f"]
@@ -97,8 +99,10 @@ class Attention:
         dh = (f["a"][:, None] * dz + dv @ p["V"].T + du @ p["U"].T) * (1 - f["h"] ** 2)
         return {"E": x.T @ dh, "e": dh.sum(0), "V": f["h"].T @ dv, "U": f["h"].T @ du, "w": (f["v"] * f["u"]).T @ ds, "c": f["z"].T @ d, "b": d.sum(keepdims=True)}
 
-    def fit(self, x: np.ndarray, first: np.ndarray, label: np.ndarray, epochs: int = 25, batch: int = 128, rate: float = 4e-3, decay: float = 1e-5, seed: int = 11) -> Attention:
-        """Adam over batches of whole bags."""
+    def fit(self, x: np.ndarray, first: np.ndarray, label: np.ndarray, epochs: int = 25, least: int = 1200, batch: int = 128, rate: float = 4e-3, decay: float = 1e-5, seed: int = 11) -> Attention:
+        """Adam over batches of whole bags; few bags are gone through more often, so that the steps are at least `least`."""
+        batch = min(batch, max(16, len(first) // 8))
+        epochs = max(epochs, -(-least * batch // len(first)))
         r, ends = np.random.Generator(np.random.PCG64(seed)), np.append(first, len(x))
         m, q, t = {k: 0 * v for k, v in self.parts.items()}, {k: 0 * v for k, v in self.parts.items()}, 0
         for epoch in range(epochs):
@@ -167,4 +171,5 @@ def score_quality(docs: DataFrame, model: Attention, text_col: str = "text", kee
             if texts:
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(np.concatenate(score)), pa.array(np.concatenate(passages).astype(np.int64))], names=out)
 
-    return docs.drop("__text").withColumn("__text", F.col(text_col).cast("string")).select(*kept.columns, "__text").mapInArrow(run, schema)
+    t_ = unused(docs, "__text")
+    return docs.withColumn(t_, F.col(text_col).cast("string")).select(*kept.columns, t_).mapInArrow(run, schema)
