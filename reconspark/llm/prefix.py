@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 #: Two primes below 2^31 and a base for each: products of residues fit into 64 bits.
 PRIMES, BASES = (2147483647, 2147483629), (911382323, 972663749)
-PER_OCTAVE = 8
+PER_OCTAVE, ROWS_AT_ONCE = 8, 256
 
 
 @functools.cache
@@ -118,8 +118,8 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text, next_text): the text of the next row by id, after the last that of the first; null ids first, equal ids by text.
+def _dealt(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows beside the next row by id, after the last the first; null ids first, equal ids by text.
 
     One shuffle of the texts: rows are dealt to ranges of ids of about equal numbers; the least row of a range is also dealt,
     as a look-ahead, to the range before it. What the driver holds is one bound and one key for each range.
@@ -139,21 +139,34 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     own = F.struct(part.cast("int").alias("part"), F.lit(False).alias("ahead"))
     both = marked.select("doc_id", "text", F.when(F.col("before").isNotNull(), F.array(own, F.struct(F.col("before").alias("part"), F.lit(True).alias("ahead")))).otherwise(F.array(own)).alias("to"))
     dealt = both.select("doc_id", "text", F.inline("to")).repartition(F.col("part")).sortWithinPartitions("part", "ahead", "doc_id", F.xxhash64("text"))
+    return dealt
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple | None = None  # (id, text, range, look-ahead) that waits for its next row
-        for b in batches:
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, list]]:
+    """Dealt rows as (ids, texts, next texts), a few at a time."""
+    held: tuple | None = None  # (id, text, range, look-ahead) that waits for its next row
+    for whole in batches:
+        for at in range(0, whole.num_rows, ROWS_AT_ONCE):
             ids, texts, nexts = [], [], []
-            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for row in zip(*(c.to_pylist() for c in whole.slice(at, ROWS_AT_ONCE).columns), strict=True):
                 if held and not held[3] and held[2] == row[2]:
                     ids.append(held[0])
                     texts.append(held[1])
                     nexts.append(row[1])
                 if not (row[3] and held and held[3] and held[2] == row[2]):
                     held = row
+            if ids:
+                yield ids, texts, nexts
+
+
+def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text, next_text), as dealt by _dealt."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts, nexts in _pairs(batches):
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string()), pa.array(nexts, pa.string())], names=["doc_id", "text", "next_text"])
 
-    return dealt.mapInArrow(run, "doc_id long, text string, next_text string")
+    return _dealt(docs, id_col, text_col).mapInArrow(run, "doc_id long, text string, next_text string")
 
 
 def _range(bounds: list[int]) -> F.Column:
@@ -177,17 +190,16 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     schema = T.StructType().add("doc_id", "long").add("n_chars", "long").add("edited_text", "string").add("fingerprint", "string").add("edited_fingerprint", "string").add("near_edited", "double").add("near_next", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows, last = [], ("", "")
-            for text, following in zip(b.column(1), b.column(2), strict=True):
-                t, n = text.as_py(), following.as_py()
+        last = ("", "")
+        for ids, texts, nexts in _pairs(batches):
+            rows = []
+            for t, n in zip(texts, nexts, strict=True):
                 e = edited(t, n)
-                own = last[1] if last[0] == t and last[1] else fingerprint(t)
+                own = last[1] if last[1] and last[0] == t else fingerprint(t)
                 other = fingerprint(n)
                 last = (n, other)  # the next row is usually this one's next
                 changed = fingerprint(e)
                 rows.append((len(t), e, own, changed, likeness(own, changed), likeness(own, other)))
-            if rows:
-                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c) for c in zip(*rows, strict=True))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(c) for c in zip(*rows, strict=True))], names=schema.names)
 
-    return with_next(docs, id_col, text_col).mapInArrow(run, schema)
+    return _dealt(docs, id_col, text_col).mapInArrow(run, schema)
