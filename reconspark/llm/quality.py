@@ -99,7 +99,7 @@ class Attention:
         dh = (f["a"][:, None] * dz + dv @ p["V"].T + du @ p["U"].T) * (1 - f["h"] ** 2)
         return {"E": x.T @ dh, "e": dh.sum(0), "V": f["h"].T @ dv, "U": f["h"].T @ du, "w": (f["v"] * f["u"]).T @ ds, "c": f["z"].T @ d, "b": d.sum(keepdims=True)}
 
-    def fit(self, x: np.ndarray, first: np.ndarray, label: np.ndarray, epochs: int = 25, least: int = 1200, batch: int = 128, rate: float = 4e-3, decay: float = 1e-5, seed: int = 11) -> Attention:
+    def fit(self, x: np.ndarray, first: np.ndarray, label: np.ndarray, epochs: int = 25, least: int = 600, batch: int = 128, rate: float = 4e-3, decay: float = 1e-5, seed: int = 11) -> Attention:
         """Adam over batches of whole bags; few bags are gone through more often, so that the steps are at least `least`."""
         batch = min(batch, max(16, len(first) // 8))
         epochs = max(epochs, -(-least * batch // len(first)))
