@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reconspark.functions import text as X
-from reconspark.operators import identity, pages, reconcile, rules
+from reconspark.operators import forms, identity, pages, reconcile, rules
 from reconspark.schemas import INVENTORY_KIND, IUL, READING, SIGNATURE, TITLE
 from reconspark.storage import Scratch
 
@@ -32,7 +32,8 @@ def audit(ocr: DataFrame, registry: DataFrame | None = None, overrides: DataFram
         typed = typed.join(signatures.groupBy("photo_id").agg(F.collect_list(F.struct("role", "name", "organization", "status", "approval")).alias("signatures")), "photo_id", "left")
     else:
         typed = typed.withColumn("signatures", F.lit(None).cast(f"array<{SIGNATURE}>"))
-    typed = typed.withColumn("seal", F.lit(None).cast("struct<status:string,score:double>")).withColumn("fragments", F.lit(None).cast("map<int,string>"))
+    typed = typed.withColumn("seal", F.lit(None).cast("struct<status:string,score:double>"))
+    typed = typed.join(forms.fragment_checksums(ocr), "photo_id", "left")
     return rules.Tables(scratch.save(typed, "pages"), rows, registry)
 
 
