@@ -89,5 +89,25 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+#: A record per page; of equal payloads of at least 1000 bytes the largest page id is the response.
+WARC_SQL = """
+with p as (select page_id, coalesce(html, '') as h from pages),
+m as (select h, max(page_id) as top from p where strlen(h) >= 1000 group by h)
+select page_id, cast(strlen(p.h) as bigint) as payload_bytes, sha1(p.h) as payload_digest,
+  case when page_id < top then 'revisit' else 'response' end as record_type, case when page_id < top then top end as refers_to
+from p left join m on p.h = m.h"""
+
+#: Windows of 50 words by their text; those that a smaller doc_id has too cover their words.
+REPEATS_SQL = r"""
+with w as (select doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) as ws from documents),
+win as (select doc_id, p, md5(array_to_string(ws[p:p + 49], ' ')) as k from w, unnest(range(1, len(ws) - 48)) t(p)),
+least as (select k, min(doc_id) as low from win group by k),
+gone as (select distinct doc_id, i from (select doc_id, unnest(range(p, p + 50)) as i from win join least using (k) where low < doc_id)),
+words as (select doc_id, unnest(range(1, len(ws) + 1)) as i, unnest(ws) as word from w),
+kept as (select doc_id, string_agg(word, ' ' order by i) as t, count(*) as n from words anti join gone using (doc_id, i) group by doc_id)
+select doc_id, cast(len(ws) as bigint) as n_words, cast(len(ws) - coalesce(n, 0) as bigint) as n_removed, sha256(coalesce(t, '')) as kept_sha256
+from w left join kept using (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_warc": WARC_SQL, "op4_substring": REPEATS_SQL}

@@ -53,3 +53,11 @@ def test_members_skip_padding():
     parts = [b"", b"a" * 70_000, b"\x00\x00"]
     data = b"\x00".join(archive.squeeze(p) for p in parts) + b"\x00\x00"
     assert [m[2] for m in archive.members(data)] == parts
+
+
+@pytest.mark.parametrize("name", ["op3_warc", "op4_substring"])
+def test_query_equals_its_sql(spark, name):
+    from reconspark.llm import queries
+    from tests.oracle import compare
+
+    compare(spark, queries.queries()[name], queries.oracle_sql()[name], "/root/testdata/sf0.01")
