@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reconspark.functions import text as X
-from reconspark.operators import classify, geometry
+from reconspark.operators import classify, fields, geometry
 from reconspark.schemas import FRAGMENT_TITLE, INVENTORY_KIND, IUL, TITLE, UNKNOWN_KIND
 
 
@@ -44,7 +44,10 @@ def type_pages(ocr: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
     t = F.col("text")
     head = _words(ocr).where(F.col("y") < F.col("h") * 0.17).groupBy("photo_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y", "x", "text"))), lambda w: w["text"]), " ").alias("__head"))
     p = p.join(head, "photo_id", "left")
-    p = p.withColumn("legacy", X.page_code(t)).withColumn("field", inline_code(t)).withColumn("code", F.coalesce(X.code_value("field"), "legacy", "code_hint"))
+    p = p.join(fields.codes_under_labels(ocr).withColumnRenamed("field", "__below"), "photo_id", "left").join(fields.title_codes(ocr), "photo_id", "left").join(fields.iul_bodies(ocr), "photo_id", "left")
+    p = p.withColumn("legacy", X.page_code(t)).withColumn("__inline", inline_code(t)).withColumn("field", F.coalesce("__inline", "__below"))
+    fits = F.col("__inline").isNotNull() | F.col("legacy").isNull() | (~F.col("field").contains(" ") & X.key("field").contains(X.key("legacy")))
+    p = p.withColumn("code", F.when(F.col("field").isNotNull() & fits, X.code_value("field")).otherwise(F.coalesce("legacy", "token", "code_hint")))
     p = p.withColumn("is_inventory", classify.choose(F.col("selected"), F.col("manual"), looks_like_inventory(t, F.lit(False))))
     kind = classify.cascade([(F.col("is_inventory"), INVENTORY_KIND), (looks_like_iul(t), IUL), (X.fold(t).contains("ФРАГМЕНТ"), FRAGMENT_TITLE), (X.fold(t).contains("КНИГА") & F.col("code").isNotNull(), TITLE)], UNKNOWN_KIND)
     refused = F.coalesce(~F.col("selected"), F.lit(False))
@@ -58,14 +61,14 @@ def type_pages(ocr: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
         "code",
         X.tom("code").alias("tom"),
         X.organization(F.coalesce("__head", F.lit(""))).alias("organization"),
-        X.book_text(t, F.col("kind") == IUL).alias("book"),
+        X.book_text(F.coalesce(F.when(F.col("kind") == IUL, F.col("body")), t), F.col("kind") == IUL).alias("book"),
         F.lit(None).cast("string").alias("chief"),
         X.page_crc(t).alias("crc"),
         F.lit(None).cast("int").alias("revision"),
         F.lit(None).cast("int").alias("page"),
-        X.book_number(t).alias("book_number"),
+        X.book_number(F.coalesce(F.when(F.col("kind") == IUL, F.col("body")), t)).alias("book_number"),
         "text",
-        X.sections(t).alias("sections"),
+        X.sections(F.coalesce(F.when(F.col("kind") == IUL, F.col("body")), t)).alias("sections"),
     )
 
 

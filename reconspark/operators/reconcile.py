@@ -98,6 +98,12 @@ def replace_subset(old: DataFrame, new: DataFrame, on: list[str]) -> DataFrame:
     return old.join(new.select(*on).distinct(), on, "left_anti").unionByName(new)
 
 
+def same_ids(a: DataFrame, b: DataFrame, on: str) -> DataFrame:
+    """One row: whether both sides have the same ids, each once in b (a choice must cover every page exactly)."""
+    both = a.select(on).distinct().withColumn("__a", F.lit(1)).join(b.groupBy(on).agg(F.count("*").alias("__b")), on, "full")
+    return both.agg((F.count_if(F.coalesce((F.col("__a") == 1) & (F.col("__b") == 1), F.lit(False))) == F.count("*")).alias("same"))
+
+
 def union_findings(parts: list[DataFrame]) -> DataFrame:
     """All findings, each rule's in turn; of equal (code, topic, detail) the first, with its pages."""
     all_ = reduce(DataFrame.unionByName, (p.withColumn("__rule", F.lit(i)) for i, p in enumerate(parts)))

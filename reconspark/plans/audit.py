@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reconspark.functions import text as X
-from reconspark.operators import forms, identity, pages, reconcile, rules
+from reconspark.operators import fields, forms, identity, pages, reconcile, rules
 from reconspark.schemas import INVENTORY_KIND, IUL, READING, SIGNATURE, TITLE
 from reconspark.storage import Scratch
 
@@ -20,8 +20,9 @@ def audit(ocr: DataFrame, registry: DataFrame | None = None, overrides: DataFram
     typed = scratch.save(pages.type_pages(ocr, overrides), "typed")
     revision = pages.labelled_revision(ocr).withColumnRenamed("revision", "__r")
     typed = typed.join(revision, "photo_id", "left").withColumn("revision", F.when(F.col("kind") == IUL, F.col("__r"))).drop("__r")
-    rows = scratch.save(pages.inventory_rows(ocr, typed), "rows")
-    typed = bind_codes(typed, rows)
+    rows = scratch.save(pages.inventory_rows(ocr, typed), "anchors")
+    rows = scratch.save(fields.inventory_sections(ocr, fields.inventory_books(ocr, rows)), "rows")
+    typed = bind_codes(typed, rows).join(fields.footer_numbers(ocr), "photo_id", "left").withColumn("page", F.when(F.col("kind") == IUL, F.col("number"))).drop("number")
     if readings is not None:
         typed = pages.apply_readings(typed, readings)
         kept = readings.where("field <> 'Pages'").groupBy("photo_id").agg(F.collect_list(F.struct("field", "value", "status", "candidates")).alias("readings"))
