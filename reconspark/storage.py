@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or where that is unset (tests) a new local folder."""
+    """spark.checkpoint.dir, or where that is unset and everything runs in one process (tests) a new local folder."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="reconspark-"))
         root = spark.sparkContext.getCheckpointDir()
     return root
@@ -21,13 +23,20 @@ class Scratch:
     """Written tables cut lineage, survive lost executors and have known sizes."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.path = spark, f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+        self.spark, self.path, self.names = spark, f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}", []
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{self.path}/{name}")
+        self.names.append(name)
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
+    def keep(self, *names: str) -> None:
+        """Deletes all saved tables but these: what a lazy result still reads."""
+        for name in {*self.names} - {*names}:
+            self.drop(name)
+
     def drop(self, name: str) -> None:
+        self.names = [n for n in self.names if n != name]
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
