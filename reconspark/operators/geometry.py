@@ -67,6 +67,35 @@ def nearest(labels: DataFrame, values: DataFrame, ids: list[str], distance: Colu
     return met.groupBy(*labels.columns).agg(lead).select(*labels.columns, F.col("__near.d").alias("distance"), *(F.col(f"__near.k{i + len(order)}").alias(c) for i, c in enumerate(keep)))
 
 
+def last_start(rows: DataFrame, starts: DataFrame, ids: list[str], at: str, start: str, keep: list[str], tie: str) -> DataFrame:
+    """rows with the columns `keep` of the last start of their group at or before them (bands that follow each other without gaps).
+
+    One sort of both sides together instead of a range join: linear in the size of a group. Rows before the first start get none.
+    """
+    kept = F.struct(*keep)
+    a = rows.select(*ids, F.col(at).alias("__at"), F.lit(1).alias("__row"), F.lit(None).cast(starts.schema[tie].dataType).alias("__tie"), F.struct(*rows.columns).alias("__own"))
+    b = starts.select(*ids, F.col(start).alias("__at"), F.lit(0).alias("__row"), F.col(tie).alias("__tie"), kept.alias("__kept"))
+    w = Window.partitionBy(*ids).orderBy("__at", "__row", "__tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = a.unionByName(b, allowMissingColumns=True).withColumn("__last", F.last("__kept", ignorenulls=True).over(w))
+    return both.where("__row = 1 and __last is not null").select("__own.*", "__last.*")
+
+
+def nearest_in_time(labels: DataFrame, values: DataFrame, ids: list[str], at: str, value_at: str, value_id: str) -> DataFrame:
+    """labels with value_id and distance (microseconds) of the nearest value of their group, of equally near ones the least id.
+
+    The neighbours before and after are found in two sorted passes; no pairs are made.
+    """
+    a = labels.select(*ids, F.col(at).alias("__at"), F.lit(1).alias("__row"), F.struct(*labels.columns).alias("__own"))
+    b = values.select(*ids, F.col(value_at).alias("__at"), F.lit(0).alias("__row"), F.struct(F.col(value_at).alias("at"), F.col(value_id).alias("id")).alias("__value"))
+    both = a.unionByName(b, allowMissingColumns=True)
+    before = Window.partitionBy(*ids).orderBy("__at", "__row", F.desc("__value.id")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    after = Window.partitionBy(*ids).orderBy(F.desc("__at"), "__row", F.desc("__value.id")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = both.withColumn("__b", F.last("__value", ignorenulls=True).over(before)).withColumn("__a", F.last("__value", ignorenulls=True).over(after)).where("__row = 1")
+    far = lambda c: F.struct(F.abs(F.timestamp_diff("MICROSECOND", F.col("__at"), F.col(f"{c}.at"))).alias("d"), F.col(f"{c}.id").alias("id"))
+    best = F.array_min(F.filter(F.array(far("__b"), far("__a")), lambda x: x["id"].isNotNull()))
+    return found.withColumn("__best", best).where("__best is not null").select("__own.*", F.col("__best.id").alias(value_id), F.col("__best.d").alias("distance"))
+
+
 def map_crop(ws: Column, bounds: Column, scale: Column) -> Column:
     """Words read in a crop, at their places on the page."""
     return F.transform(ws, lambda w: F.struct(w["text"].alias("text"), (bounds["x"] + w["x"] / scale).alias("x"), (bounds["y"] + w["y"] / scale).alias("y"), (w["width"] / scale).alias("width"), (w["height"] / scale).alias("height")))

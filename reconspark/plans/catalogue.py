@@ -237,7 +237,7 @@ def codeless_broadcast(t):
 select b.user_id, band_id, count(*) as n from events v join b on b.user_id = v.user_id and v.ts >= start_ts and (e is null or v.ts < e) group by all""")
 def band_join(t):
     starts = t("events").where("event_type = 'signup'").select("user_id", F.col("event_id").alias("band_id"), F.col("ts").alias("start_ts"))
-    return geometry.band_join(t("events"), geometry.bands(starts, ["user_id"], "start_ts", tie="band_id"), ["user_id"], F.col("ts"), "start_ts").groupBy("user_id", "band_id").agg(F.count("*").alias("n"))
+    return geometry.last_start(t("events").select("user_id", "ts"), starts, ["user_id"], "ts", "start_ts", ["band_id"], "band_id").groupBy("user_id", "band_id").agg(F.count("*").alias("n"))
 
 
 @query("""with m as (select a.event_id as label_id, b.event_id as value_id, abs(date_diff('microsecond', a.ts, b.ts)) d, row_number() over (partition by a.event_id order by abs(date_diff('microsecond', a.ts, b.ts)), b.event_id) r
@@ -246,8 +246,7 @@ select label_id, value_id, cast(d as bigint) as distance from m where r = 1""")
 def nearest_label(t):
     labels = t("events").where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("label_id"), F.col("ts").alias("at"))
     values = t("events").where("event_type = 'view'").select("user_id", F.col("event_id").alias("value_id"), "ts")
-    away = F.abs(F.timestamp_diff("MICROSECOND", F.col("at"), F.col("ts")))
-    return geometry.nearest(labels, values, ["user_id"], away, ["value_id"], ["value_id"]).select("label_id", "value_id", "distance")
+    return geometry.nearest_in_time(labels, values, ["user_id"], "at", "ts", "value_id").select("label_id", "value_id", "distance")
 
 
 @query("""with recursive s as (select user_id, date_diff('second', timestamp '2024-01-01', ts) x, row_number() over (partition by user_id order by ts, event_id) r from events),
