@@ -128,4 +128,5 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, lanes: int = 1, radius: i
     linked = exact_links(named, radius) if lanes == 1 else wide_links(named, lanes, radius, named.count(), scratch)
     found = components(linked, scratch)
     owner = scratch.save(classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(*names, F.coalesce("label.id", "rep.id").alias("component_id")), "owner")
+    scratch.keep("prints", "owner")
     return prints.join(owner, names).select("doc_id", *names, "component_id")

@@ -158,6 +158,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     i_, r_, s_, t_ = (unused(docs, n) for n in ("__id", "__row", "__spans", "__text"))
     spans = repeated_spans(keyed, scratch, window, anchor).withColumnsRenamed({"doc_id": i_, "row": r_, "spans": s_})
     spans = scratch.save(spans, "spans")
+    scratch.keep("spans")
     kept = docs.drop("n_words", "n_removed", "kept_text")
     on = (kept[id_col].cast("long") == spans[i_]) & (F.xxhash64(kept[text_col].cast("string")) == spans[r_])
     joined = kept.join(spans, on, "left").drop(i_, r_).withColumn(t_, F.col(text_col).cast("string"))

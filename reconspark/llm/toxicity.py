@@ -179,6 +179,7 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 8000, most:
         return model
     found = sorted(_measured(rows.select("id", "label", "text"), model, ["id", "label"]).collect(), key=lambda r: tuple(r))
     x, y = np.array([r["features"] for r in found]), np.array([r["label"] for r in found], float)
+    scratch.keep()
     w = np.zeros(x.shape[1] + 1)
     x1, keep = np.hstack([x, np.ones((len(x), 1))]), np.diag([0.1] * x.shape[1] + [1e-6])
     for _ in range(30):  # Newton's method, with a small ridge
