@@ -345,3 +345,8 @@ def lone_key_pattern(k: Column) -> Column:
     """A pattern that finds a key as a whole, with white space anywhere between its signs."""
     quoted = F.transform(F.split(k, ""), lambda c: F.when(c.rlike("[\\p{L}\\p{N}]"), c).otherwise(F.concat(F.lit("\\"), c)))
     return F.concat(F.lit("(?U)(?<![\\p{L}\\p{N}])"), F.array_join(F.filter(quoted, lambda c: F.length(c) > 0), "\\s*"), F.lit("(?![\\p{L}\\p{N}.])"))
+
+
+def html_escape(x: Column | str) -> Column:
+    """Text as it may stand in HTML; null as empty."""
+    return reduce(lambda s, p: F.replace(s, F.lit(p[0]), F.lit(p[1])), [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")], _or_empty(x))

@@ -124,3 +124,57 @@ def seals(images: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), [pa.string(), pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.int32()], strict=True)], names=["origin", "status", "score", "x", "y", "radius"])
 
     return images.select(F.col("image.origin"), "image.height", "image.width", "image.nChannels", "image.data").where("nChannels >= 3").mapInArrow(run, "origin string, status string, score double, x int, y int, radius int")
+
+
+LONGEST_SIDE = 2200
+
+
+def exif_orientation(data: bytes) -> int:
+    """The orientation tag of a JPEG file, 1 where there is none."""
+    at = 2
+    while data[:2] == b"\xff\xd8" and at + 4 <= len(data) and data[at] == 0xFF:
+        marker, size = data[at + 1], int.from_bytes(data[at + 2 : at + 4], "big")
+        if marker == 0xE1 and data[at + 4 : at + 10] == b"Exif\0\0":
+            tiff = data[at + 10 : at + 2 + size]
+            order = "little" if tiff[:2] == b"II" else "big"
+            first = int.from_bytes(tiff[4:8], order)
+            for k in range(int.from_bytes(tiff[first : first + 2], order)):
+                entry = tiff[first + 2 + 12 * k : first + 14 + 12 * k]
+                if int.from_bytes(entry[:2], order) == 0x0112:
+                    return int.from_bytes(entry[8:10], order)
+            return 1
+        if marker == 0xDA:
+            break
+        at += 2 + size
+    return 1
+
+
+def oriented(image: np.ndarray, orientation: int) -> np.ndarray:
+    return np.rot90(image, {3: 2, 6: -1, 8: 1}.get(orientation, 0))
+
+
+def resized(image: np.ndarray, longest: int = LONGEST_SIDE) -> np.ndarray:
+    """At most `longest` on its longer side, bilinear; smaller pictures stay."""
+    h, w, _ = image.shape
+    scale = min(1.0, longest / max(h, w))
+    if scale == 1.0:
+        return image
+    width, height = max(1, int(w * scale)), max(1, int(h * scale))
+    return warp(image, np.array([[(w - 1) / max(1, width - 1), 0, 0], [0, (h - 1) / max(1, height - 1), 0], [0, 0, 1]]), width, height)
+
+
+def prepared(image: np.ndarray, orientation: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Upright, bounded and in portrait: as it is and turned by 180 degrees, for the two readings of a page."""
+    out = resized(oriented(image, orientation))
+    out = np.rot90(out, -1) if out.shape[1] > out.shape[0] else out
+    return out, np.rot90(out, 2)
+
+
+def orientations(files: DataFrame) -> DataFrame:
+    """files of the binaryFile source -> origin, orientation."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([exif_orientation(c.as_py()) for c in b.column(1)], pa.int32())], names=["origin", "orientation"])
+
+    return files.select("path", "content").mapInArrow(run, "origin string, orientation int")
