@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from reconspark.operators import rules
+from reconspark.operators import reconcile, rules
 from reconspark.plans import audit
 from reconspark.schemas import OCR
 
@@ -31,8 +31,10 @@ def iul(name):
     return f"Информационно-удостоверяющий лист\n123-45-6789-ИЛОЗ.7.1\nКнига 1. {name}\nТом 4.3.7.1\nCRC32 АВ12СD34"
 
 
-def topics(t):
-    return {r["topic"]: r for r in rules.all_findings(t).collect()}
+def topics(t, *some):
+    """Findings by topic: of all rules, or of some."""
+    parts = [d for rule in some for d in rule(t)]
+    return {r["topic"]: r for r in (reconcile.union_findings(parts) if parts else rules.all_findings(t)).collect()}
 
 
 def test_title_and_iul_disagree(spark):
@@ -47,7 +49,7 @@ def test_title_and_iul_disagree(spark):
 
 
 def test_title_and_iul_agree(spark):
-    assert "Название книги в ИУЛ" not in topics(audit.audit(frame(spark, [page(1, TITLE), page(2, iul("Шумозащитные экраны"))])))
+    assert "Название книги в ИУЛ" not in topics(audit.audit(frame(spark, [page(1, TITLE), page(2, iul("Шумозащитные экраны"))])), rules.book_names)
 
 
 def test_inventory_page(spark):
@@ -58,7 +60,7 @@ def test_inventory_page(spark):
     p, (r,) = t.pages.first(), t.merged.collect()
     assert p["kind"] == "Опись" and p["code"] is None
     assert (r["code"], r["tom"], r["revision"], r["box"]) == ("123-45-6789-ИЛО3.7.1", "4.3.7.1", 2, 22)
-    assert "Нет фотографий тома" not in topics(t) and audit.counters(t).first()["inventory_only"]
+    assert "Нет фотографий тома" not in topics(t, rules.missing_volumes) and audit.counters(t).first()["inventory_only"]
 
 
 def test_override_has_three_states(spark):
@@ -83,16 +85,17 @@ def test_boxes_and_kinds_conflict(spark):
 def test_registry_checksum(spark):
     registry = spark.createDataFrame([(7, "123-45-6789-ИЛО3.7.1.pdf", "DEADBEEF"), (8, "other.pdf", "AB12CD34")], "row int, file string, checksum string")
     t = audit.audit(frame(spark, [page(1, TITLE), page(2, iul("Шумозащитные экраны"))]), registry=registry)
-    assert topics(t)["CRC32 не совпадает"]["detail"].startswith("ИУЛ: AB12CD34; Excel: DEADBEEF")
+    sums = lambda t: rules.checksums(t)[0]
+    assert topics(t, sums)["CRC32 не совпадает"]["detail"].startswith("ИУЛ: AB12CD34; Excel: DEADBEEF")
     same = registry.withColumn("checksum", F.lit("ab12cd34"))
     t = audit.audit(frame(spark, [page(1, TITLE), page(2, iul("Шумозащитные экраны"))]), registry=same)
-    assert "CRC32 не совпадает" not in topics(t) and audit.counters(t).first()["crc_matches"] == 1
+    assert "CRC32 не совпадает" not in topics(t, sums) and audit.counters(t).first()["crc_matches"] == 1
 
 
 def test_unread_and_disputed_readings(spark):
     readings = spark.createDataFrame([(2, "Page", None, "Не распознано", []), (2, "CRC", None, "Спорное чтение", ["A", "B"]), (2, "Pages", None, "Не распознано", [])], "photo_id int, field string, value string, status string, candidates array<string>")
     t = audit.audit(frame(spark, [page(1, TITLE), page(2, iul("Шумозащитные экраны"))]), readings=readings)
-    found = topics(t)
+    found = topics(t, rules.page_rules)
     assert "Не удалось прочитать: Лист" in found and "Разные результаты чтения: CRC32" in found and "Не удалось прочитать: Листов" not in found
     assert t.pages.where("photo_id = 2").first()["crc"] is None  # a disputed reading erases the page's own
 
