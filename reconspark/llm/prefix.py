@@ -23,6 +23,8 @@ from pyspark.sql import types as T
 #: Two primes below 2^31 and a base for each: products of residues fit into 64 bits.
 PRIMES, BASES = (2147483647, 2147483629), (911382323, 972663749)
 PER_OCTAVE, ROWS_AT_ONCE = 8, 256
+#: Ranges of ids at most: their bounds are compared in one expression.
+MOST_RANGES = 2048
 
 
 @functools.cache
@@ -126,7 +128,7 @@ def _dealt(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = min(MOST_RANGES, max(2, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     bounds = sorted({int(b) for b in rows.where("doc_id is not null").approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts)})
     part = _range(bounds)
     key = F.struct(F.col("doc_id"), F.xxhash64("text").alias("h"))
