@@ -17,6 +17,8 @@ from reconspark.llm.components import components
 #: For each byte value, its bits from the most significant one.
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 CHUNK = 1 << 16
+#: Members on a side of a square of comparisons.
+BLOCK = 512
 
 
 def fingerprint(text: str | None, shingle: int = 3, lanes: int = 1) -> list[int]:
@@ -78,33 +80,61 @@ def exact_links(classes: DataFrame, radius: int) -> DataFrame:
     return left.join(right, (left["part"] == right["part"]) & (left["key"] == right["key"]) & near).select("a", "b").distinct()
 
 
-def wide_links(classes: DataFrame, lanes: int, radius: int, distinct: int, scratch: Scratch) -> DataFrame:
-    """classes(rep, f0, ...): distinct fingerprints of many lanes. (a, b) pairs within the radius that connect its groups.
+def table_entries(numbered: DataFrame, lanes: int, distinct: int) -> DataFrame:
+    """numbered(num, f0, ...) -> (num, sketch, key): a row for each table, whose number is in the key's upper half.
 
-    Three parts of each lane but the last are tables, as wide as keeps strangers in a table's entry at about one half. Within an
-    entry all members are compared with its least and its greatest one, so the work is linear in its size; two members
-    usually share several entries. With a share p of differing bits two texts share a given entry with chance (1 - p)^width. The
-    last lane is a sketch that settles most comparisons before the other lanes are fetched.
+    Three parts of each lane but the last are tables, as wide as keeps strangers in a table's entry at about one half. With a
+    share p of differing bits two texts share a given entry with chance (1 - p)^width.
     """
     width = min(32, max(16, math.ceil(math.log2(max(2, distinct))) + 1))
     mask = F.lit((1 << width) - 1).cast("long")
     turn = lambda f, s: F.shiftrightunsigned(f, s).bitwiseOR(F.shiftleft(f, 64 - s)) if s else f
     parts = [turn(F.col(f"f{lane}"), s).bitwiseAND(mask) for lane in range(lanes - 1) for s in (0, 21, 42)]
-    sketch = F.col(f"f{lanes - 1}")
-    member = F.struct(F.col("rep"), F.col("sketch"))
-    entries = classes.select("rep", sketch.alias("sketch"), F.posexplode(F.array(*parts)).alias("part", "key"))
-    leaders = entries.groupBy("part", "key").agg(F.min(member).alias("low"), F.max(member).alias("high")).where("low <> high")
-    leaders = scratch.save(leaders.select("part", "key", F.explode(F.array("low", "high")).alias("x")).select("part", "key", F.col("x.rep").alias("a"), F.col("x.sketch").alias("sa")), "leaders")
+    keys = F.array(*(F.lit(i << 32).cast("long").bitwiseOR(p) for i, p in enumerate(parts)))
+    return numbered.select("num", F.col(f"f{lanes - 1}").alias("sketch"), F.explode(keys).alias("key"))
+
+
+def wide_links(classes: DataFrame, lanes: int, radius: int, distinct: int, scratch: Scratch) -> DataFrame:
+    """classes(rep, f0, ...): distinct fingerprints of many lanes. (a, b) pairs within the radius that connect its groups.
+
+    Members of a table's entry are compared with its least and its greatest one; the groups that this makes are then
+    known, and in entries of four and more members all that are in different groups are compared with each other. So
+    two fingerprints within the radius that share an entry always end in one group. The last lane is a sketch that settles most
+    comparisons before the other lanes are fetched.
+    """
+    numbered = scratch.save(classes.withColumn("num", F.monotonically_increasing_id()), "numbered")
+    entries = table_entries(numbered, lanes, distinct)
+    member = F.struct("num", "sketch")
+    tables = entries.groupBy("key").agg(F.min(member).alias("low"), F.max(member).alias("high"), F.count("*").alias("n")).where("n > 1")
+    members = scratch.save(entries.join(scratch.save(tables, "tables"), "key"), "members")
     # A sketch of 64 bits strays from the share of the whole by up to six deviations.
     share = radius / (64 * lanes)
     slack = math.ceil(64 * share + 6 * math.sqrt(64 * share * (1 - share)))
-    met = entries.join(leaders, ["part", "key"]).where((F.col("rep") != F.col("a")) & (F.bit_count(F.col("sketch").bitwiseXOR(F.col("sa"))) <= slack))
-    pairs = scratch.save(met.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct(), "pairs")
+    alike = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= slack
     names = [f"f{i}" for i in range(lanes)]
-    first = pairs.join(classes.select(F.col("rep").alias("a"), *(F.col(n).alias(f"a_{n}") for n in names)), "a")
-    both = first.join(classes.select(F.col("rep").alias("b"), *names), "b")
-    apart = sum((F.bit_count(F.col(f"a_{n}").bitwiseXOR(F.col(n))) for n in names), F.lit(0))
-    return both.where(apart <= radius).select("a", "b")
+
+    def within(met: DataFrame, name: str) -> DataFrame:
+        pairs = scratch.save(met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), f"pairs-{name}")
+        first = pairs.join(numbered.select(F.col("num").alias("x"), F.col("rep").alias("a"), *(F.col(n).alias(f"a_{n}") for n in names)), "x")
+        both = first.join(numbered.select(F.col("num").alias("y"), F.col("rep").alias("b"), *names), "y")
+        apart = sum((F.bit_count(F.col(f"a_{n}").bitwiseXOR(F.col(n))) for n in names), F.lit(0))
+        return scratch.save(both.where(apart <= radius).select("x", "y", "a", "b"), f"within-{name}")
+
+    led = members.select(F.col("num").alias("x"), "sketch", F.explode(F.array("low", "high")).alias("to")).select("x", "sketch", F.col("to.num").alias("y"), F.col("to.sketch").alias("sy"))
+    led = within(led.where((F.col("x") != F.col("y")) & alike("sketch", "sy")), "led")
+    groups = components(led.select(F.col("x").alias("a"), F.col("y").alias("b")), scratch)
+    crowd = members.where("n > 3").select("key", "num", "sketch").join(groups.withColumnRenamed("node", "num"), "num", "left")
+    crowd = scratch.save(crowd.withColumn("label", F.coalesce("label", "num")), "crowd")
+    most = crowd.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("most"))
+    open_ = scratch.save(most.where("n > most.n").select("key", F.col("most.label").alias("main"), F.ceil((F.col("n") - F.col("most.n")) / BLOCK).alias("rows"), F.ceil(F.col("n") / BLOCK).alias("columns")), "open")
+    # Of two members in different groups one is outside the entry's largest group. Large entries are cut into squares.
+    crowd = scratch.save(crowd.join(open_, "key"), "contest")
+    square = lambda n: F.pmod(F.xxhash64("num"), F.col(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = crowd.where("label <> main").select("key", F.col("num").alias("x"), F.col("sketch").alias("sx"), F.col("label").alias("lx"), square("rows").alias("row"), each("columns").alias("column"))
+    right = crowd.select("key", F.col("num").alias("y"), F.col("sketch").alias("sy"), F.col("label").alias("ly"), square("columns").alias("column"), each("rows").alias("row"))
+    rest = within(left.join(right, ["key", "row", "column"]).where((F.col("lx") != F.col("ly")) & alike("sx", "sy")), "rest")
+    return led.union(rest).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, lanes: int = 1, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

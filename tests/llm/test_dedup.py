@@ -107,6 +107,31 @@ def test_wide_fingerprints_find_near_copies(spark):
     assert got == {i: i // 10 * 10 for i, _ in rows}
 
 
+def test_hub_in_the_middle_of_the_ids(spark, monkeypatch):
+    """Texts edited from one hub are often near to it alone; strangers stand at both ends of the ids."""
+    monkeypatch.setattr(simhash, "BLOCK", 7)
+    r = random.Random(8)
+    hub = [f"w{r.randrange(10**6)}" for _ in range(300)]
+    rows = [(500, " ".join(hub))] + [(i, " ".join(f"w{r.randrange(10**6)}" for _ in range(300))) for i in (*range(50), *range(950, 1000))]
+    for i in (*range(400, 500), *range(501, 601)):
+        w = list(hub)
+        for k in r.sample(range(300), 7):
+            w[k] = f"e{r.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=5, lanes=15, radius=154).collect()
+    bits = {x["doc_id"]: [x[f"f{k}"] % 2**64 for k in range(15)] for x in got}
+    near = lambda a, b: sum((x ^ y).bit_count() for x, y in zip(bits[a], bits[b], strict=True)) <= 154
+    reached, todo = {500}, [500]
+    while todo:
+        a = todo.pop()
+        new = {b for b in bits if b not in reached and near(a, b)}
+        reached |= new
+        todo += new
+    label = {x["doc_id"]: x["component_id"] for x in got}
+    assert len(reached) > 150 and all(label[i] == i for i in label if i not in reached)
+    assert sum(label[i] == label[500] for i in reached) >= 0.93 * len(reached)
+
+
 def test_components_of_long_chains(spark):
     chain = [(i, i + 1) for i in range(200)] + [(300, 301), (301, 300), (5, 5)]
     got = {x["node"]: x["label"] for x in components(spark.createDataFrame(chain, "a long, b long"), Scratch(spark, "test")).collect()}
