@@ -132,6 +132,23 @@ def test_hub_in_the_middle_of_the_ids(spark, monkeypatch):
     assert sum(label[i] == label[500] for i in reached) >= 0.93 * len(reached)
 
 
+@pytest.mark.parametrize("distinct", [1000, 10**7])
+def test_pairs_at_the_radius_are_found_at_every_size(spark, distinct):
+    r = random.Random(distinct)
+    rows = []
+    for i in range(400):
+        a = r.getrandbits(960)
+        b = a
+        for k in r.sample(range(960), 154):
+            b ^= 1 << k
+        for j, x in enumerate((a, b)):
+            rows.append((2 * i + j, *(x >> 64 * k & 2**64 - 1 for k in range(15))))
+    signed = [(i, *(x - 2**64 if x >= 2**63 else x for x in f)) for i, *f in rows]
+    classes = spark.createDataFrame(signed, "rep long, " + ", ".join(f"f{k} long" for k in range(15)))
+    got = {(x["a"], x["b"]) for x in simhash.wide_links(classes, 15, 154, distinct, Scratch(spark, "test")).collect()}
+    assert got <= {(2 * i, 2 * i + 1) for i in range(400)} and len(got) >= 0.94 * 400
+
+
 def test_components_of_long_chains(spark):
     chain = [(i, i + 1) for i in range(200)] + [(300, 301), (301, 300), (5, 5)]
     got = {x["node"]: x["label"] for x in components(spark.createDataFrame(chain, "a long, b long"), Scratch(spark, "test")).collect()}
