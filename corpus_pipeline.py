@@ -29,12 +29,15 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of copies and near copies; rows without an id go, and of rows
-    with one id the first by hash of the text stays."""
-    groups = near_duplicates(docs, shingle=SHINGLE, lanes=LANES, radius=RADIUS)
-    first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.select(*COLUMNS).join(first, "doc_id", "left_semi")
-    same = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "lang", "source", "n_chars")
+    """Keeps one document of each group of copies and near copies: that with the smallest id, and of texts with one id the first
+    by hash. Rows without an id come last and each of their texts is a document of its own."""
+    tag = F.xxhash64("text")
+    own = F.coalesce(F.col("doc_id").cast("long"), tag.bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62)))
+    keyed = docs.select(*COLUMNS, own.alias("__id"), tag.alias("__tag"))
+    groups = near_duplicates(keyed, shingle=SHINGLE, lanes=LANES, radius=RADIUS, id_col="__id", tag_col="__tag")
+    first = groups.groupBy("component").agg(F.min(F.struct("doc_id", "tag")).alias("x")).select(F.col("x.doc_id").alias("__id"), F.col("x.tag").alias("__tag")).distinct()
+    kept = keyed.join(first, ["__id", "__tag"], "left_semi")
+    same = Window.partitionBy("__id", "__tag").orderBy("lang", "source", "n_chars")
     return kept.withColumn("__copy", F.row_number().over(same)).where("__copy = 1").select(*COLUMNS)
 
 

@@ -49,16 +49,17 @@ def fingerprint(text: str | None, shingle: int = 3, lanes: int = 1) -> list[int]
     return out
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, lanes: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, f0, f1, ...): one row per row of docs."""
-    kind = pa.schema([("doc_id", pa.int64()), *((f"f{i}", pa.int64()) for i in range(lanes))])
+def fingerprints(docs: DataFrame, shingle: int = 3, lanes: int = 1, id_col: str = "doc_id", text_col: str = "text", tag_col: str | None = None) -> DataFrame:
+    """(doc_id, f0, f1, ...): one row per row of docs. tag_col: a column of longs that goes along as tag."""
+    tag = [F.col(tag_col).cast("long").alias("tag")] if tag_col else []
+    kind = pa.schema([("doc_id", pa.int64()), *(("tag", pa.int64()) for _ in tag), *((f"f{i}", pa.int64()) for i in range(lanes))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            parts = [fingerprint(t.as_py(), shingle, lanes) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([p[i] for p in parts], pa.int64()) for i in range(lanes))], schema=kind)
+            parts = [fingerprint(t.as_py(), shingle, lanes) for t in b.column(b.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array([p[i] for p in parts], pa.int64()) for i in range(lanes))], schema=kind)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, " + ", ".join(f"f{i} long" for i in range(lanes)))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), *tag, F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, " + "tag long, " * len(tag) + ", ".join(f"f{i} long" for i in range(lanes)))
 
 
 def exact_links(classes: DataFrame, radius: int) -> DataFrame:
@@ -165,7 +166,7 @@ def wide_links(classes: DataFrame, lanes: int, radius: int, distinct: int, scrat
     return led.union(rest).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, lanes: int = 1, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 3, lanes: int = 1, radius: int = 2, id_col: str = "doc_id", text_col: str = "text", tag_col: str | None = None) -> DataFrame:
     """(doc_id, f0.., component_id): the smallest doc_id reachable over links of at most radius differing bits.
 
     One lane (64 bits, a radius up to 3): every such link is found. More lanes, for a lower similarity: see wide_links.
@@ -174,10 +175,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, lanes: int = 1, radius: i
     only and a group of copies of any size costs one row there. Null or wordless texts have fingerprint zero and are linked
     like any other; rows with a null id keep their row (their class is named by its least other id, else null).
     Rows with one id and several texts are several documents. Repeated rows give repeated rows; an empty table gives an empty one; other columns are not read.
+    tag_col: a column of longs that goes along as tag; then component names each component, also where some share a component_id.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     names = [f"f{i}" for i in range(lanes)]
-    prints = scratch.save(fingerprints(docs, shingle, lanes, id_col, text_col), "prints")
+    prints = scratch.save(fingerprints(docs, shingle, lanes, id_col, text_col, tag_col), "prints")
     # A class is named by its least id and its fingerprint: ids that repeat under other texts stay apart.
     mark = F.col("f0") if lanes == 1 else F.xxhash64(*names)
     classes = prints.groupBy(*names).agg(F.min("doc_id").alias("id")).select(*names, F.struct("id", mark.alias("mark")).alias("rep"))
@@ -185,6 +187,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, lanes: int = 1, radius: i
     named = classes.where("rep.id is not null")
     linked = exact_links(named, radius) if lanes == 1 else wide_links(named, lanes, radius, named.count(), scratch)
     found = components(linked, scratch)
-    owner = scratch.save(classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(*names, F.coalesce("label.id", "rep.id").alias("component_id")), "owner")
+    owner = scratch.save(classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(*names, F.coalesce("label.id", "rep.id").alias("component_id"), *([F.coalesce("label", "rep").alias("component")] if tag_col else [])), "owner")
     scratch.keep("prints", "owner")
-    return prints.join(owner, names).select("doc_id", *names, "component_id")
+    return prints.join(owner, names).select("doc_id", *names, "component_id", *(["tag", "component"] if tag_col else []))

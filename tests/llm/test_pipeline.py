@@ -28,3 +28,16 @@ def test_stages(spark, tmp_path):
     assert kept[2] == kept[1] and len(text[25].split()) == 120 and text[24] == rows[24][1]
     assert kept[3] == everyone | {24, 25} and kept[4] == kept[3]
     assert "sequence_id" in docs.columns and P.ORACLE_SQL is None and len(P.STAGES) == 5
+
+
+def made(spark, rows):
+    return spark.createDataFrame([(i, t, lang, "s", len(t or "")) for i, t, lang in rows], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def test_null_and_repeated_ids_lose_no_clean_text(spark):
+    r = random.Random(5)
+    a, b, c, d, e, f = (" ".join(f"w{r.randrange(10**6)}" for _ in range(120)) for _ in range(6))
+    rows = [(3, a), (5, a + " end"), (5, b), (7, c), (7, d), (7, d), (None, e), (None, e), (None, f), (None, a), (9, a)]
+    got = P.near_copies(spark, made(spark, [(*x, "en") for x in rows]), "")
+    assert got.columns == P.COLUMNS
+    assert sorted((x["doc_id"] or 0, x["text"]) for x in got.collect()) == sorted([(3, a), (5, b), (7, c), (7, d), (0, e), (0, f)])
