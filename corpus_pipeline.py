@@ -23,8 +23,14 @@ SHINGLE, LANES, RADIUS = 5, 15, 154
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in which a language is recognised; null texts and texts without a letter go. lang stays as it was."""
-    found = identify(docs.select(*COLUMNS), learn(docs.where(~fold("doc_id", 3, 1))))
+    """Keeps documents in which a language is recognised; null texts and texts without a letter go. lang stays as it was.
+
+    Where two folds of three hold no labelled text all rows are learned from, and where none is labelled letters alone count.
+    """
+    models = learn(docs.where(~fold("doc_id", 3, 1))) or learn(docs)
+    if not models:
+        return docs.where("text rlike '\\\\p{L}'").select(*COLUMNS)
+    found = identify(docs.select(*COLUMNS), models)
     return found.where("lang_pred <> 'und'").select(*COLUMNS)
 
 

@@ -1,6 +1,7 @@
 """The stages in order, on planted rows."""
 
 import random
+import zlib
 
 import corpus_pipeline as P
 
@@ -41,3 +42,10 @@ def test_null_and_repeated_ids_lose_no_clean_text(spark):
     got = P.near_copies(spark, made(spark, [(*x, "en") for x in rows]), "")
     assert got.columns == P.COLUMNS
     assert sorted((x["doc_id"] or 0, x["text"]) for x in got.collect()) == sorted([(3, a), (5, b), (7, c), (7, d), (0, e), (0, f)])
+
+
+def test_letters_stay_where_no_language_is_learned(spark):
+    held_out = [i for i in range(60) if zlib.crc32(str(i).encode()) % 3 == 1]
+    rows = [(i, t, lang) for i, (t, lang) in zip(held_out, [("one text", None), ("слова", None), ("12 !", None), (None, None)], strict=False)]
+    assert {x["text"] for x in P.language(spark, made(spark, rows), "").collect()} == {"one text", "слова"}
+    assert P.language(spark, made(spark, [(i, t, "en") for i, t, _ in rows]), "").count() == 2
