@@ -17,6 +17,7 @@ from collections.abc import Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -147,10 +148,11 @@ def write_arc(pages: DataFrame, path: str, date: str = "20260101000000") -> None
     """pages(page_id, url, html) as ARC archives, of version 1 and 2 in turn. Null html: an empty payload."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
         held, size, made = [], 0, 0
         for b in batches:
             for page_id, url, html in zip(*(b.column(i) for i in range(3)), strict=True):
-                version = 1 + made % 2
+                version = 1 + (part + made) % 2
                 if not held:
                     held = [squeeze(arc_version_block(version, "pages.arc", date))]
                 held.append(squeeze(arc_record(version, "pages.arc", url.as_py(), date, page_id.as_py(), (html.as_py() or "").encode("utf-8", "surrogatepass"))))

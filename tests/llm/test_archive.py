@@ -30,6 +30,13 @@ def test_round_trip(spark):
     assert archive.archive_round_trip(df.limit(0)).count() == 0
 
 
+def test_small_tables_are_written_in_both_versions(spark, tmp_path):
+    df = spark.range(40).selectExpr("id page_id", "'u' url", "'text' html").repartition(4)
+    archive.write_arc(df, f"{tmp_path}/arc")
+    got = archive.read_arc(spark, f"{tmp_path}/arc").collect()
+    assert {r["version"] for r in got} == {1, 2} and sorted(r["page_id"] for r in got) == list(range(40))
+
+
 @pytest.mark.parametrize("version", [1, 2])
 def test_header_lines_by_version(version):
     data = archive.arc_record(version, "f.arc", "http://x/ y", "20200102030405", 7, b"body")
