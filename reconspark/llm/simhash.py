@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from reconspark.llm.common import Scratch, mixed, words
 from reconspark.llm.components import components
@@ -17,10 +19,12 @@ from reconspark.llm.components import components
 #: For each byte value, its bits from the most significant one.
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 CHUNK = 1 << 16
-#: Members on a side of a square of comparisons.
-BLOCK = 512
-#: Chance that a pair at the radius shares no table entry, at every size of the corpus.
+#: Chance that a pair at the radius shares no entry, at every size of the corpus.
 MISS = 0.03
+#: Bits of a segment at least; segments whose single values join large groups first.
+LEAST_WIDTH, SINGLE = 16, 24
+#: Members of a short entry at most; rows a task takes up at once; members of a group that stays out of the shuffle by key at least.
+SHORT, HELD, LARGE = 256, 200_000, 10_000
 
 
 def fingerprint(text: str | None, shingle: int = 3, lanes: int = 1) -> list[int]:
@@ -83,87 +87,166 @@ def exact_links(classes: DataFrame, radius: int) -> DataFrame:
     return left.join(right, (left["part"] == right["part"]) & (left["key"] == right["key"]) & near).select("a", "b").distinct()
 
 
-def table_bits(width: int, lanes: int, radius: int) -> np.ndarray:
-    """Bit numbers of each table, tables x width: so many that a pair at the radius misses all of them with chance MISS.
+def ball_chance(width: int, differ: float, radius: int) -> float:
+    """Chance that of `width` bits, each of which differs with this chance, at most `radius` do."""
+    return sum(math.comb(width, k) * differ**k * (1 - differ) ** (width - k) for k in range(radius + 1))
 
-    Tables are cut out of shuffled orders of all bits but the last lane's, so tables of one order have no bit in common.
+
+def segment_bits(distinct: int, lanes: int, radius: int) -> np.ndarray:
+    """Bit numbers of each segment, segments x width, for so many fingerprints of 64 * lanes bits.
+
+    Balls of one flipped bit are drawn around both fingerprints of a pair, so a segment finds the pairs that differ in at most
+    two of its bits. There are as many segments as leave a pair at the radius unfound with chance MISS. They have
+    LEAST_WIDTH bits up to 2^18 fingerprints and beyond that a bit more for each doubling, which keeps an entry at about a hundred strangers,
+    and then there are more of them, so the chance stays. Segments have no bit in common while 64 * lanes bits suffice; further ones
+    are cut out of further shuffles of the bits.
     """
-    bits = 64 * (lanes - 1)
-    same = (1 - radius / (64 * lanes)) ** width
-    tables, r = math.ceil(math.log(MISS) / math.log(1 - same)), np.random.Generator(np.random.PCG64(width))
-    per = bits // width
-    return np.concatenate([r.permutation(bits)[: per * width].reshape(per, width) for _ in range(-(-tables // per))])[:tables]
+    width, bits = max(LEAST_WIDTH, math.ceil(math.log2(max(2, distinct))) - 2), 64 * lanes
+    segments = math.ceil(math.log(MISS) / math.log(1 - ball_chance(width, radius / bits, 2)))
+    return _cut(width, max(1, segments), bits)
 
 
-def table_entries(numbered: DataFrame, lanes: int, radius: int, distinct: int) -> DataFrame:
-    """numbered(num, f0, ...) -> (num, sketch, key): a row for each table, whose number is in the key's upper half.
+def _cut(width: int, segments: int, bits: int) -> np.ndarray:
+    r, per = np.random.Generator(np.random.PCG64(width)), bits // width
+    return np.concatenate([r.permutation(bits)[: per * width].reshape(per, width) for _ in range(-(-segments // per))])[:segments]
 
-    Tables are as wide as keeps strangers in a table's entry at about one half. Wider ones miss more, so there are more of
-    them: 56 of 16 bits, 115 of 20, 276 of 25 and 942 of 32 at a radius of 154 of 960 bits.
-    """
-    width = min(32, max(16, math.ceil(math.log2(max(2, distinct))) + 1))
-    tables = table_bits(width, lanes, radius)
-    schema = pa.schema([("num", pa.int64()), ("sketch", pa.int64()), ("keys", pa.list_(pa.int64()))])
-    number, step = np.arange(len(tables), dtype=np.int64) << 32, 4096
+
+def segment_entries(numbered: DataFrame, lanes: int, segments: np.ndarray, flips: int, kept: list[str]) -> DataFrame:
+    """numbered(kept..., f0, ...) -> (kept..., s0, s1, key): a row for each segment value in the ball of at most `flips` (0 or 1)
+    bits around the fingerprint's own. The segment's number is in the key's upper part; s0 and s1 are the last two lanes, a sketch."""
+    count, width = segments.shape
+    number, step = np.arange(count, dtype=np.int64) << 40, max(1, 400_000 // (count * (1 + width)))
+    masks = np.concatenate([np.zeros(1, np.int64), np.int64(1) << np.arange(width, dtype=np.int64)])[: 1 + width * flips]
+    base = numbered.select(*kept, *(f"f{i}" for i in range(lanes)))
+    sketch = [f"f{max(0, lanes - 2)}", f"f{lanes - 1}"]
+    schema = T.StructType([*base.select(*kept).schema.fields]).add("s0", "long").add("s1", "long").add("keys", T.ArrayType(T.LongType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, step):
                 b = whole.slice(at, step)
-                parts = np.stack([c.to_numpy() for c in b.columns[1:-1]], axis=1)
+                parts = np.stack([c.to_numpy() for c in b.columns[len(kept) :]], axis=1)
                 bits = np.ascontiguousarray(np.unpackbits(parts.astype("<i8").view(np.uint8), axis=1, bitorder="little").T)
-                keys = np.repeat(number[:, None], b.num_rows, axis=1)
+                own = np.repeat(number[:, None], b.num_rows, axis=1)
                 for place in range(width):
-                    keys |= bits[tables[:, place]].astype(np.int64) << place
-                ends = pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * len(tables))
-                lists = pa.ListArray.from_arrays(ends, pa.array(keys.T.ravel()))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(b.num_columns - 1), lists], schema=schema)
+                    own |= bits[segments[:, place]].astype(np.int64) << place
+                keys = (own.T[:, :, None] ^ masks).ravel()
+                ends = pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * (count * len(masks)))
+                names = b.schema.names
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], *(b.column(names.index(s)) for s in sketch), pa.ListArray.from_arrays(ends, pa.array(keys))], names=schema.names)
+
+    return base.mapInArrow(run, schema).select(*kept, "s0", "s1", F.explode("keys").alias("key"))
+
+
+def sketch_slack(radius: int, bits: int) -> int:
+    """So many of the sketch's 128 bits may differ: four deviations more than the share of a pair at the radius."""
+    share = radius / bits
+    return math.ceil(128 * share + 4 * math.sqrt(128 * share * (1 - share)))
 
-    keyed = numbered.select("num", *(f"f{i}" for i in range(lanes))).mapInArrow(run, "num long, sketch long, keys array<long>")
-    return keyed.select("num", "sketch", F.explode("keys").alias("key"))
+
+def meetings(entries: DataFrame, slack: int) -> DataFrame:
+    """entries(key, label, num, s0, s1) -> (x, y), x < y: members of one entry with different labels and sketches within slack.
+
+    One shuffle by key; a task reads its entries in order and holds one at a time. Neighbours are compared at every distance up
+    to SHORT at once for all short entries; in a longer one all but the largest label are compared with all.
+    """
+    kind = pa.schema([("x", pa.int64()), ("y", pa.int64())])
+
+    def alike(a: tuple, b: tuple) -> np.ndarray:
+        near = np.bitwise_count(a[0] ^ b[0]).astype(np.int16) + np.bitwise_count(a[1] ^ b[1])
+        return near <= slack
+
+    def short(key, label, num, s0, s1) -> Iterator[tuple]:
+        for d in range(1, len(key)):
+            same = key[d:] == key[:-d]
+            if not same.any():
+                return
+            at = np.flatnonzero(same & alike((s0[d:], s1[d:]), (s0[:-d], s1[:-d])) & (label[d:] != label[:-d]))
+            yield num[at], num[at + d]
+
+    def long(label, num, s0, s1) -> Iterator[tuple]:
+        values, own = np.unique(label, return_inverse=True)
+        main = np.bincount(own, minlength=len(values)).argmax()
+        for i in np.flatnonzero(own != main):
+            hit = alike((s0, s1), (s0[i], s1[i])) & (label != label[i]) & ((own == main) | (num < num[i]))
+            yield np.repeat(num[i], hit.sum()), num[hit]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def settle(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            first = np.flatnonzero(np.concatenate([[True], rows[0][1:] != rows[0][:-1]]))
+            size = np.diff(np.append(first, len(rows[0])))
+            few = np.repeat(size <= SHORT, size)
+            found = [*short(*(r[few] for r in rows))]
+            for a, n in zip(first[size > SHORT].tolist(), size[size > SHORT].tolist(), strict=True):
+                found += long(*(r[a : a + n] for r in rows[1:]))
+            x, y = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in (0, 1))
+            if len(x):
+                both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], schema=kind)
+
+        held: list[list[np.ndarray]] = []
+        for b in batches:
+            rows = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+            rows[3:] = [r.view(np.uint64) for r in rows[3:]]  # bits of negative numbers are counted without their sign
+            held.append(rows)
+            if sum(len(h[0]) for h in held) < HELD or held[0][0][0] == rows[0][-1]:
+                continue
+            rows = [np.concatenate(c) for c in zip(*held, strict=True)]
+            cut = np.searchsorted(rows[0], rows[0][-1])  # the last entry may go on
+            yield from settle([r[:cut] for r in rows])
+            held = [[r[cut:] for r in rows]]
+        if held:
+            yield from settle([np.concatenate(c) for c in zip(*held, strict=True)])
+
+    dealt = entries.select("key", "label", "num", "s0", "s1").repartition("key").sortWithinPartitions("key", "label")
+    return dealt.mapInArrow(run, "x long, y long").distinct()
 
 
 def wide_links(classes: DataFrame, lanes: int, radius: int, distinct: int, scratch: Scratch) -> DataFrame:
     """classes(rep, f0, ...): distinct fingerprints of many lanes. (a, b) pairs within the radius that connect its groups.
 
-    Members of a table's entry are compared with its least and its greatest one; the groups that this makes are then
-    known, and in entries of four and more members all that are in different groups are compared with each other. So
-    two fingerprints within the radius that share an entry always end in one group. The last lane is a sketch that settles most
-    comparisons before the other lanes are fetched.
+    First the entries of single segment values: each member is compared with the least one, which joins most of a large group at
+    the cost of a row a member. Then balls of one bit around every segment value: members of an entry that are not yet in one
+    group are compared with each other. Sketches of 128 bits settle most comparisons; complete distances decide. So two
+    fingerprints within the radius that share an entry always end in one group; how many share one, see segment_bits.
+    Groups of more than LARGE members stay out of the second shuffle by key: they meet the others' entries in joins that adaptive
+    execution can split.
     """
+    bits, names = 64 * lanes, [f"f{i}" for i in range(lanes)]
     numbered = scratch.save(classes.withColumn("num", F.monotonically_increasing_id()), "numbered")
-    entries = table_entries(numbered, lanes, radius, distinct)
-    member = F.struct("num", "sketch")
-    tables = entries.groupBy("key").agg(F.min(member).alias("low"), F.max(member).alias("high"), F.count("*").alias("n")).where("n > 1")
-    members = scratch.save(entries.join(scratch.save(tables, "tables"), "key"), "members")
-    # A sketch of 64 bits strays from the share of the whole by up to six deviations.
-    share = radius / (64 * lanes)
-    slack = math.ceil(64 * share + 6 * math.sqrt(64 * share * (1 - share)))
-    alike = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= slack
-    names = [f"f{i}" for i in range(lanes)]
+    segments, slack = segment_bits(distinct, lanes, radius), sketch_slack(radius, bits)
+    alike = F.bit_count(F.col("s0").bitwiseXOR(F.col("t0"))) + F.bit_count(F.col("s1").bitwiseXOR(F.col("t1"))) <= slack
 
     def within(met: DataFrame, name: str) -> DataFrame:
-        pairs = scratch.save(met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), f"pairs-{name}")
-        first = pairs.join(numbered.select(F.col("num").alias("x"), F.col("rep").alias("a"), *(F.col(n).alias(f"a_{n}") for n in names)), "x")
+        first = met.join(numbered.select(F.col("num").alias("x"), F.col("rep").alias("a"), *(F.col(n).alias(f"a_{n}") for n in names)), "x")
         both = first.join(numbered.select(F.col("num").alias("y"), F.col("rep").alias("b"), *names), "y")
         apart = sum((F.bit_count(F.col(f"a_{n}").bitwiseXOR(F.col(n))) for n in names), F.lit(0))
         return scratch.save(both.where(apart <= radius).select("x", "y", "a", "b"), f"within-{name}")
 
-    led = members.select(F.col("num").alias("x"), "sketch", F.explode(F.array("low", "high")).alias("to")).select("x", "sketch", F.col("to.num").alias("y"), F.col("to.sketch").alias("sy"))
-    led = within(led.where((F.col("x") != F.col("y")) & alike("sketch", "sy")), "led")
+    single = scratch.save(segment_entries(numbered, lanes, _cut(segments.shape[1], bits // segments.shape[1], bits)[:SINGLE], 0, ["num"]), "single")
+    lead = single.groupBy("key").agg(F.min(F.struct("num", "s0", "s1")).alias("low"), F.count("*").alias("n")).where("n > 1")
+    lead = scratch.save(lead.select("key", F.col("low.num").alias("y"), F.col("low.s0").alias("t0"), F.col("low.s1").alias("t1")), "lead")
+    led = single.join(lead, "key").where((F.col("num") > F.col("y")) & alike).select(F.col("num").alias("x"), "y").distinct()
+    led = within(led, "led")
     groups = components(led.select(F.col("x").alias("a"), F.col("y").alias("b")), scratch)
-    crowd = members.where("n > 3").select("key", "num", "sketch").join(groups.withColumnRenamed("node", "num"), "num", "left")
-    crowd = scratch.save(crowd.withColumn("label", F.coalesce("label", "num")), "crowd")
-    most = crowd.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("most"))
-    open_ = scratch.save(most.where("n > most.n").select("key", F.col("most.label").alias("main"), F.ceil((F.col("n") - F.col("most.n")) / BLOCK).alias("rows"), F.ceil(F.col("n") / BLOCK).alias("columns")), "open")
-    # Of two members in different groups one is outside the entry's largest group. Large entries are cut into squares.
-    crowd = scratch.save(crowd.join(open_, "key"), "contest")
-    square = lambda n: F.pmod(F.xxhash64("num"), F.col(n))
-    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    left = crowd.where("label <> main").select("key", F.col("num").alias("x"), F.col("sketch").alias("sx"), F.col("label").alias("lx"), square("rows").alias("row"), each("columns").alias("column"))
-    right = crowd.select("key", F.col("num").alias("y"), F.col("sketch").alias("sy"), F.col("label").alias("ly"), square("columns").alias("column"), each("rows").alias("row"))
-    rest = within(left.join(right, ["key", "row", "column"]).where((F.col("lx") != F.col("ly")) & alike("sx", "sy")), "rest")
-    return led.union(rest).select("a", "b")
+    large = groups.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") > LARGE).select("label")
+    large = scratch.save(groups.join(scratch.save(large, "large"), "label", "left_semi").select("node"), "crowd")
+    grouped = numbered.join(groups.withColumnRenamed("node", "num"), "num", "left").withColumn("label", F.coalesce("label", "num"))
+    grouped = scratch.save(grouped.drop("rep"), "grouped")
+    crowded = large.limit(1).count() > 0
+    sparse = grouped.join(large.withColumnRenamed("node", "num"), "num", "left_anti") if crowded else grouped
+    found = [within(meetings(segment_entries(sparse, lanes, segments, 1, ["num", "label"]), slack), "met")]
+    if crowded:
+        dense = grouped.join(large.withColumnRenamed("node", "num"), "num", "left_semi")
+        dense = scratch.save(segment_entries(dense, lanes, segments, 1, ["num", "label"]), "dense").select("key", F.col("num").alias("y"), F.col("label").alias("other"), F.col("s0").alias("t0"), F.col("s1").alias("t1"))
+        # An entry of the large groups is settled among them only if it holds two of them.
+        mixed_ = scratch.save(dense.groupBy("key").agg(F.min("other").alias("low"), F.max("other").alias("high")).where("low <> high").select("key"), "mixed")
+        rest = scratch.save(segment_entries(sparse, lanes, segments, 1, ["num", "label"]), "sparse").select("key", "num", "label", "s0", "s1")
+        both = scratch.save(dense.join(mixed_, "key", "left_semi"), "both").select("key", F.col("y").alias("num"), F.col("other").alias("label"), F.col("t0").alias("s0"), F.col("t1").alias("s1"))
+        for k, side in enumerate((rest, both)):
+            met = side.join(dense, "key").where((F.col("label") != F.col("other")) & alike).select(F.least("num", "y").alias("x"), F.greatest("num", "y").alias("y")).distinct()
+            found.append(within(met, f"dense-{k}"))
+    return reduce(DataFrame.union, found, led).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, lanes: int = 1, radius: int = 2, id_col: str = "doc_id", text_col: str = "text", tag_col: str | None = None) -> DataFrame:

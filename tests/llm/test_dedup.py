@@ -107,9 +107,12 @@ def test_wide_fingerprints_find_near_copies(spark):
     assert got == {i: i // 10 * 10 for i, _ in rows}
 
 
-def test_hub_in_the_middle_of_the_ids(spark, monkeypatch):
+@pytest.mark.parametrize("large, short", [(10_000, 256), (20, 8)])
+def test_hub_in_the_middle_of_the_ids(spark, monkeypatch, large, short):
     """Texts edited from one hub are often near to it alone; strangers stand at both ends of the ids."""
-    monkeypatch.setattr(simhash, "BLOCK", 7)
+    monkeypatch.setattr(simhash, "LARGE", large)
+    monkeypatch.setattr(simhash, "SHORT", short)
+    monkeypatch.setattr(simhash, "HELD", 5000)
     r = random.Random(8)
     hub = [f"w{r.randrange(10**6)}" for _ in range(300)]
     rows = [(500, " ".join(hub))] + [(i, " ".join(f"w{r.randrange(10**6)}" for _ in range(300))) for i in (*range(50), *range(950, 1000))]
@@ -132,23 +135,38 @@ def test_hub_in_the_middle_of_the_ids(spark, monkeypatch):
     assert sum(label[i] == label[500] for i in reached) >= 0.93 * len(reached)
 
 
-@pytest.mark.parametrize("distinct", [1000, 10**7])
+@pytest.mark.parametrize("distinct", [1000, 10**7, 10**10])
 def test_pairs_at_the_radius_are_found_at_every_size(spark, distinct):
     r = random.Random(distinct)
     rows = []
     for i in range(400):
         a = r.getrandbits(960)
         b = a
-        for k in r.sample(range(960), 154):
+        for k in r.sample(range(960), 192):
             b ^= 1 << k
         for j, x in enumerate((a, b)):
             rows.append((2 * i + j, *(x >> 64 * k & 2**64 - 1 for k in range(15))))
     signed = [(i, *(x - 2**64 if x >= 2**63 else x for x in f)) for i, *f in rows]
     classes = spark.createDataFrame(signed, "rep long, " + ", ".join(f"f{k} long" for k in range(15)))
-    got = {(x["a"], x["b"]) for x in simhash.wide_links(classes, 15, 154, distinct, Scratch(spark, "test")).collect()}
+    got = {tuple(sorted((x["a"], x["b"]))) for x in simhash.wide_links(classes, 15, 192, distinct, Scratch(spark, "test")).collect()}
     assert got <= {(2 * i, 2 * i + 1) for i in range(400)} and len(got) >= 0.94 * 400
 
 
+def test_segments_are_apart_and_balls_complete(spark):
+    for distinct in (2, 10**6, 10**7):
+        s = simhash.segment_bits(distinct, 15, 154)
+        assert len(set(s.ravel().tolist())) == s.size and s.max() < 960
+    segments = simhash.segment_bits(10**6, 2, 20)[:3]
+    one = spark.createDataFrame([(7, 5, -9)], "num long, f0 long, f1 long")
+    got = {x["key"] for x in simhash.segment_entries(one, 2, segments, 1, ["num"]).collect()}
+    bit = lambda k: ((5, 2**64 - 9)[k // 64] >> k % 64) & 1
+    want = set()
+    for j, places in enumerate(segments.tolist()):
+        value = sum(bit(k) << i for i, k in enumerate(places))
+        want |= {(j << 40) | v for v in (value, *(value ^ (1 << i) for i in range(len(places))))}
+    assert got == want
+
+
 def test_components_of_long_chains(spark):
     chain = [(i, i + 1) for i in range(200)] + [(300, 301), (301, 300), (5, 5)]
     got = {x["node"]: x["label"] for x in components(spark.createDataFrame(chain, "a long, b long"), Scratch(spark, "test")).collect()}
