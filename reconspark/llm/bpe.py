@@ -14,6 +14,8 @@ PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 UNCLEAN = re.compile(r"\s\s")
 CLEAN_SPACE = re.compile(r"(?<=\S) (?=\S)")
 LONGEST_KEPT, MOST_KEPT = 48, 300_000
+#: White space as Unicode has it; a run of so many is cut out by hand, since the pattern's look-ahead steps back over all of it.
+LONG_SPACE = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{10000,}")
 
 
 def byte_letters() -> dict[str, int]:
@@ -43,6 +45,7 @@ class Ids(dict):
 
     def __init__(self, path: str):
         self.encoding = encoding(path)
+        self.special = tuple(self.encoding.special_tokens_set)
 
     def __missing__(self, piece: str) -> bytes:
         out = np.array(self.encoding.encode(piece, allowed_special="all"), "<u4").tobytes()
@@ -56,6 +59,18 @@ class Ids(dict):
         """A single space between other characters always starts a token, so the pieces between such spaces are independent."""
         if not text:
             return b""
+        if len(text) >= 10_000 and (run := LONG_SPACE.search(text)):
+            return self._around(text, run)
         first, *rest = CLEAN_SPACE.split(text) if UNCLEAN.search(text) else text.split(" ")
         get = self.__getitem__
         return (get(first) if first else b"") + b"".join([get(" " + x) for x in rest])
+
+    def _around(self, text: str, run: re.Match) -> bytes:
+        """A run of white space is one piece, but for its last character where other text follows (no special token)."""
+        out, at = [], 0
+        while run:
+            end = run.end() if run.end() == len(text) or text.startswith(self.special, run.end()) else run.end() - 1
+            own = self.encoding._encode_single_piece(text[run.start() : end])
+            out += [self.of(text[at : run.start()]), np.array(own, "<u4").tobytes()]
+            at, run = end, LONG_SPACE.search(text, run.end())
+        return b"".join([*out, self.of(text[at:])])

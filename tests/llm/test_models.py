@@ -2,6 +2,8 @@
 
 import random
 import re
+import subprocess
+import sys
 from collections import Counter
 
 import numpy as np
@@ -85,10 +87,44 @@ def test_grams_by_table_and_by_sorting_agree():
     few, many = language.Grams(64), language.Grams(64)
     texts = [language.letters("Abc abd, été"), language.letters("abc")]
     many._number(np.arange(0x4E00, 0x4E00 + 200))  # so many letters that trigrams are sorted
-    a, b = (c @ v for c, v in (few.counted(texts), many.counted(texts)))
+    a, b = few.bundled(texts), many.bundled(texts)
     assert np.allclose(a, b)
 
 
+def test_profiles_by_brute_force_in_slices_and_parts(monkeypatch):
+    """The sum of bound trigrams, however texts are sliced; a repeated run with small bounds drops no trigram."""
+    texts = ["Été, le 3 mai: déjà", "中文和日本語が混じる文 中文", "x", "the then there " * 9]
+    want = []
+    for t in texts:
+        x, total = language.letters(t), np.zeros(64)
+        for i in range(len(x) - 2):
+            v = [language.letter_vector(int(c), 64) for c in x[i : i + 3]]
+            total += np.roll(v[0], 2) * np.roll(v[1], 1) * v[2]
+        want.append(total)
+    for slice_, most in ((16_384, 60_000), (3, 5)):
+        monkeypatch.setattr(language, "SLICE", slice_)
+        monkeypatch.setattr(language, "MOST_GRAMS", most)
+        grams = language.Grams(64)
+        for _ in range(2):
+            assert np.allclose(grams.bundled([language.letters(t) for t in texts]), want)
+    plain = language.letters("ab 中!! d" * 40)
+    monkeypatch.setattr(language, "BLOCK_CHARS", 7)
+    assert (language.letters("ab 中!! d" * 40) == plain).all()
+
+
+def test_profile_of_a_long_text_of_many_letters_is_bounded():
+    """Two million random Chinese letters, nearly all trigrams distinct: below 1 GB in a process of its own."""
+    code = (
+        "import resource, numpy as np, pyarrow as pa; from reconspark.llm import language as L;"
+        "t = ''.join(map(chr, np.random.default_rng(1).integers(0x4E00, 0x9FA5, 2_000_000)));"
+        "g = L.Grams(1024); b = pa.RecordBatch.from_arrays([pa.array([t])], names=['t']);"
+        "own = sum(g.bundled(held) for _, held, _ in L._blocks(b, 0)); assert np.abs(own).sum() > 0;"
+        "print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)"
+    )
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, timeout=300)
+    assert int(out.stdout.split()[-1]) < 1024
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

@@ -23,6 +23,17 @@ def test_ids_equal_the_library():
         assert np.frombuffer(own.of(s), "<u4").tolist() == library.encode(s, add_special_tokens=False).ids, repr(s)
 
 
+def test_long_runs_of_white_space_equal_the_library(spark):
+    library, own = Tokenizer.from_file(PATH), bpe.Ids(PATH)
+    same = lambda s: np.frombuffer(own.of(s), "<u4").tolist() == library.encode(s, add_special_tokens=False).ids
+    for sign in ("\n", " ", "\t", "\xa0", "\r\n", " \n"):
+        run = sign * (2_000_000 // len(sign))
+        assert same(run)
+    for run in ("\n" * 20_000, " " * 12_345, "\u3000 " * 9000):
+        assert all(same(t) for t in (run, "a" + run + "b", "a" + run + "<|endoftext|>" + run, run + ".", "x " + run + "  y z" + run + "\x1c" + run))
+    assert packing.pack(spark.createDataFrame([(1, "\n" * 2_000_000)], "doc_id long, text string")).agg({"length": "sum"}).first()[0] == len(library.encode("\n" * 2_000_000, add_special_tokens=False).ids) + 1
+
+
 def test_pack_is_gapless_and_whole(spark):
     rows, library = fixtures.odd_rows(5), Tokenizer.from_file(PATH)
     got = packing.pack(fixtures.frame(spark, rows), with_ids=True).collect()
