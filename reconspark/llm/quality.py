@@ -121,12 +121,14 @@ class Attention:
 
 
 def learn_quality(docs: DataFrame, labels: DataFrame, sample: int = 6000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Attention:
-    """Fits on at most `sample` labelled rows (those with the least hash of the id), of each at most 64 passages, evenly spaced.
+    """Fits on at most `sample` labelled ids (those with the least hash), equal texts once (with the larger label).
 
-    Rows with a null label are left out. Without labelled documents the model is the untrained one.
+    For fitting alone, at most TRAINING_PASSAGES evenly spaced passages of a text are taken; scoring reads all. An id with several
+    texts labels each of them. Rows with a null label are left out. Without labelled documents the model is the untrained one.
     """
     chosen = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("label")).orderBy(F.xxhash64("__id"), "__id").limit(sample)
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "__id").select("__id", "text", "label")
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "__id")
+    rows = rows.groupBy(F.xxhash64("text").alias("__id")).agg(F.first("text").alias("text"), F.max("label").alias("label"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -137,7 +139,7 @@ def learn_quality(docs: DataFrame, labels: DataFrame, sample: int = 6000, id_col
                 out.append(x[pick].astype(np.float16).tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(2), pa.array(out, pa.binary())], names=["id", "label", "x"])
 
-    bags = sorted(rows.mapInArrow(run, "id long, label int, x binary").collect(), key=lambda r: (r["id"], r["label"], bytes(r["x"])))[: 2 * sample]
+    bags = sorted(rows.mapInArrow(run, "id long, label int, x binary").collect(), key=lambda r: (r["id"], r["label"], bytes(r["x"])))
     model = Attention.new()
     if not bags:
         return model

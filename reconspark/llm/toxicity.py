@@ -2,8 +2,9 @@
 
 The lexicon is learned from labelled documents: whole words, and stems that stand for all words starting with them. A
 word of a text runs through the product of the lexicon's trie and the Levenshtein automata of its terms; the product is
-made deterministic only as far as texts need it, so a common word costs a step for each of its first letters. Hits
-are then weighed by kind, by how dense they stand within a window, and by whether the window quotes or reports them.
+made deterministic only as far as texts need it, so a common word costs a step for each of its first letters. Each hit
+is weighed by its edits and by its window before hits are added up: in quotation marks and beside a word that reports what
+others say it counts less. A document's score never falls with a hit more, an edit less, or a quotation mark less.
 """
 
 from __future__ import annotations
@@ -21,12 +22,17 @@ from pyspark.sql import types as T
 
 from reconspark.llm.common import Scratch, unused
 
-TOKEN = re.compile(r"[^\W\d_]+|[\"“”„«»‹›]")
-MARKS = frozenset("\"“”„«»‹›")
+TOKEN = re.compile(r"[^\W\d_]+|\s\"|[\"“”„«»‹›]")
+#: A straight mark after white space opens, any other closes; a high one at the left of a word closes what a low one opened.
+OPENING, CLOSING = frozenset([*(f'{c}"' for c in " \t\n\r\f\v\xa0"), *"“„«‹"]), frozenset('"”“»›')
 #: Words that report what others say, in the languages of the corpus.
 REPORTING = frozenset("said says wrote quoted quote called calling word term dijo palabra llamó wort sagte nannte dit mot appelé".split())
 STEMS, WINDOW, MOST_KEPT = range(4, 8), 20, 500_000
-FEATURES = ("word", "stem", "near word", "near stem", "dense", "quoted", "reported", "any")
+#: What an edit, quotation marks and a reporting word leave of a hit's weight.
+EDIT, QUOTED, REPORTED = 0.6, 0.25, 0.5
+FEATURES = ("sum", "strongest", "dense")
+#: Label-1 documents that hold a term, and different words that stand before it in them, at least; their share of all that hold it.
+LEAST, PRECISION = 4, 0.8
 
 
 def budget(length: int) -> int:
@@ -105,21 +111,33 @@ class Automaton(dict):
         return out
 
 
-def measure(text: str | None, automaton: Automaton) -> list[float]:
-    """FEATURES of a text: logarithms of the numbers of hits by kind, of the most hits in a window, of the hits in quotes and
-    beside a reporting word; and whether there is any."""
-    tokens = TOKEN.findall(text.lower()) if text else []
-    hits = [(i, h) for i, h in enumerate(map(automaton.__getitem__, tokens)) if h]
+def weigh(tokens: list[str], automaton: Automaton, benign: frozenset[str] = frozenset()) -> list[tuple[int, float]]:
+    """(place, weight) of each hit. A hit is quoted if, within WINDOW tokens, the last mark before it opens and the next one closes; it
+    is reported if a reporting word stands within half a window. Benign words are no misspelled terms."""
+    hits = [(i, h[1]) for i, t in enumerate(tokens) if (h := automaton[t]) and not (h[1] and t in benign)]
     if not hits:
-        return [0.0] * len(FEATURES)
-    kinds = Counter((kind, edits > 0) for _, (kind, edits) in hits)
-    at = np.array([i for i, _ in hits])
-    dense = (np.searchsorted(at, at + WINDOW, "right") - np.arange(len(at))).max()
-    marks = np.array([i for i, t in enumerate(tokens) if t in MARKS], np.int64)
-    quoted = int((np.searchsorted(marks, at) % 2).sum()) if len(marks) else 0
+        return []
+    marks = np.array([i for i, t in enumerate(tokens) if t in OPENING or t in CLOSING], np.int64)
     cues = np.array([i for i, t in enumerate(tokens) if t in REPORTING], np.int64)
-    reported = int((np.searchsorted(cues, at + WINDOW // 2) > np.searchsorted(cues, at - WINDOW // 2)).sum()) if len(cues) else 0
-    return [*np.log1p([kinds[0, False], kinds[1, False], kinds[0, True], kinds[1, True], dense, quoted, reported]).tolist(), 1.0]
+    out = []
+    for i, edits in hits:
+        weight, k = EDIT**edits, int(np.searchsorted(marks, i))
+        if 0 < k < len(marks) and i - marks[k - 1] <= WINDOW and marks[k] - i <= WINDOW and tokens[marks[k - 1]] in OPENING and tokens[marks[k]] in CLOSING:
+            weight *= QUOTED
+        near = np.searchsorted(cues, [i - WINDOW // 2, i + WINDOW // 2 + 1])
+        out.append((i, weight * REPORTED if near[1] > near[0] else weight))
+    return out
+
+
+def measure(text: str | None, automaton: Automaton, benign: frozenset[str] = frozenset()) -> list[float]:
+    """FEATURES of a text: logarithm of the sum of its hits' weights, the largest weight, logarithm of the largest sum in a window."""
+    hits = weigh(TOKEN.findall(" " + text.lower()), automaton, benign) if text else []
+    if not hits:
+        return [0.0] * len(FEATURES)
+    at, w = np.array([i for i, _ in hits]), np.array([x for _, x in hits])
+    total = np.concatenate([[0.0], np.cumsum(w)])
+    dense = (total[np.searchsorted(at, at + WINDOW, "right")] - total[:-1]).max()
+    return [float(np.log1p(w.sum())), float(w.max()), float(np.log1p(dense))]
 
 
 @dataclass
@@ -127,77 +145,107 @@ class Toxicity:
     terms: list[str] = field(default_factory=list)
     weights: np.ndarray = field(default_factory=lambda: np.zeros(len(FEATURES)))
     bias: float = -3.0
+    benign: frozenset[str] = frozenset()
 
 
-def choose(counts: dict[str, tuple[int, int]], most: int, least: int = 5, precision: float = 0.8) -> list[str]:
-    """Terms, from (documents with label 1, with label 0) by word and stem: those that tell, as long as nothing is lost, and
-    none that a chosen stem covers."""
-    good = {t: p for t, (p, n) in counts.items() if p >= least and p / (p + n + 1) >= precision}
-    longer = defaultdict(int)
+def choose(good: dict[str, int]) -> list[str]:
+    """Terms, from the number of documents with label 1 of each candidate: without stems that a longer form explains, and
+    without what a chosen stem covers."""
+    longer: dict[str, int] = defaultdict(int)
     for t, p in good.items():
-        stem = t.rstrip("*")
-        longer[(stem if not t.endswith("*") else stem[:-1]) + "*"] = max(longer[(stem if not t.endswith("*") else stem[:-1]) + "*"], p)
-        if not t.endswith("*") and len(stem) - 1 >= STEMS[0]:
-            longer[stem[: STEMS[-1]] + "*"] = max(longer[stem[: STEMS[-1]] + "*"], p)
-    kept = [t for t in good if not (t.endswith("*") and longer[t] >= 0.95 * good[t])]
+        stem, whole = t.rstrip("*"), not t.endswith("*")
+        for k in {len(stem) - 1, min(len(stem), STEMS[-1])} if whole else {len(stem) - 1}:
+            longer[stem[:k] + "*"] = max(longer[stem[:k] + "*"], p)
     chosen: list[str] = []
     stems: set[str] = set()
-    for t in sorted(kept, key=lambda t: (len(t.rstrip("*")), not t.endswith("*"), t)):
+    for t in sorted((t for t, p in good.items() if not (t.endswith("*") and longer[t] >= 0.95 * p)), key=lambda t: (len(t.rstrip("*")), not t.endswith("*"), t)):
         text = t.rstrip("*")
         if not any(text[:k] in stems for k in STEMS if k <= len(text)):
             chosen.append(t)
             if t.endswith("*"):
                 stems.add(text)
-    return sorted(chosen, key=lambda t: (-good[t], t))[:most]
+    return chosen
+
 
+def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 3000) -> tuple[np.ndarray, float]:
+    """Logistic regression with weights that are not negative, by projected gradient steps: a hit never makes a text cleaner."""
+    w, bias = np.zeros(x.shape[1]), 0.0
+    scale = np.maximum(x.max(0), 1e-9)
+    x, rate = x / scale, 4.0 / (1 + x.shape[1])
+    for _ in range(steps):
+        g = 1 / (1 + np.exp(-np.clip(x @ w + bias, -30, 30))) - y
+        w = np.maximum(w - rate * (x.T @ g / len(y) + ridge * w), 0)
+        bias -= rate * g.mean()
+    return w / scale, float(bias)
 
-def learn_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 8000, most: int = 300, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Toxicity:
-    """Fits on at most `sample` labelled rows (those with the least hash of the id); the lexicon has at most `most` terms.
 
-    Counts of words and stems are added up by Spark; only those that could be terms reach the driver. Without labelled
-    documents, or with one label only, the lexicon is empty and every score low.
+def _forms(word: str) -> list[str]:
+    """A word and its stems, as candidates."""
+    return [word, *(word[:k] + "*" for k in STEMS if len(word) >= k)] if len(word) >= 3 else []
+
+
+def learn_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 8000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Toxicity:
+    """Fits on at most `sample` labelled rows (those with the least hash of the id), equal texts once.
+
+    Counts of words and stems are added up by Spark. A term must stand after LEAST different words, since words that only copies of
+    one document share always have the same neighbours. The terms and the near hits of the sample reach the driver. A near hit that a
+    label-0 row of the sample holds is a word of its own, not a misspelled term. Without labelled documents, or with one label only,
+    the lexicon is empty and every score low.
     """
     scratch = Scratch(docs.sparkSession, "toxicity")
     chosen = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("label")).orderBy(F.xxhash64("__id"), "__id").limit(sample)
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "__id")
-    rows = scratch.save(rows.select(F.col("__id").cast("long").alias("id"), "text", "label"), "sample")
+    rows = rows.groupBy(F.xxhash64("text").alias("id")).agg(F.first("text").alias("text"), F.max("label").alias("label"))
+    rows = scratch.save(rows, "sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             seen = (Counter(), Counter())
             for t, label in zip(b.column(0), b.column(1).to_pylist(), strict=True):
-                w = {x for x in TOKEN.findall((t.as_py() or "").lower()) if len(x) >= 3}
-                seen[label > 0].update(w)
-                seen[label > 0].update({x[:k] + "*" for x in w for k in STEMS if len(x) >= k})
+                seen[label > 0].update({f for w in set(TOKEN.findall((t.as_py() or "").lower())) for f in _forms(w)})
             terms = list(seen[0].keys() | seen[1].keys())
             yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([seen[1][t] for t in terms], pa.int64()), pa.array([seen[0][t] for t in terms], pa.int64())], names=["term", "yes", "no"])
 
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            tokens = [TOKEN.findall((t.as_py() or "").lower()) for t in b.column(0)]
+            found = list({(f, before) for t in tokens for before, w in zip(["", *t], t, strict=False) for f in _forms(w)})
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*found, strict=True)] or [pa.array([], pa.string())] * 2, names=["term", "before"])
+
     total = rows.select("text", "label").mapInArrow(count, "term string, yes long, no long").groupBy("term").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
-    told = total.where("yes >= 5 and yes / (yes + no + 1) >= 0.8").orderBy(F.desc("yes"), "term").limit(50 * most).collect()
-    model = Toxicity(choose({r["term"]: (r["yes"], r["no"]) for r in told}, most))
-    if not model.terms:
-        return model
-    found = sorted(_measured(rows.select("id", "label", "text"), model, ["id", "label"]).collect(), key=lambda r: tuple(r))
-    x, y = np.array([r["features"] for r in found]), np.array([r["label"] for r in found], float)
+    told = scratch.save(total.where((F.col("yes") >= LEAST) & (F.col("yes") / (F.col("yes") + F.col("no") + 1) >= PRECISION)), "told")
+    held = rows.where("label > 0").select("text").mapInArrow(places, "term string, before string").join(told, "term")
+    free = held.groupBy("term").agg(F.first("yes").alias("yes"), F.count_distinct("before").alias("ways")).where(F.col("ways") >= LEAST)
+    model = Toxicity(choose({r["term"]: r["yes"] for r in free.collect()}))
+    if model.terms:
+        model.benign = _benign(rows.where("label = 0"), model.terms)
+        measured = sorted(_measured(rows.select("id", "label", "text"), model, ["id", "label"]).collect(), key=lambda r: tuple(r))
+        model.weights, model.bias = fit(np.array([r["features"] for r in measured]), np.array([r["label"] > 0 for r in measured], float))
     scratch.keep()
-    w = np.zeros(x.shape[1] + 1)
-    x1, keep = np.hstack([x, np.ones((len(x), 1))]), np.diag([0.1] * x.shape[1] + [1e-6])
-    for _ in range(30):  # Newton's method, with a small ridge
-        p = 1 / (1 + np.exp(-np.clip(x1 @ w, -30, 30)))
-        w -= np.linalg.solve((x1 * (p * (1 - p))[:, None]).T @ x1 + keep, x1.T @ (p - y) + keep @ w)
-    model.weights, model.bias = w[:-1], float(w[-1])
     return model
 
 
+def _benign(rows: DataFrame, terms: list[str]) -> frozenset[str]:
+    """The near hits among the words of these rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = Automaton(terms)
+        for b in batches:
+            near = {w for t in b.column(0) for w in TOKEN.findall((t.as_py() or "").lower()) if (h := automaton[w]) and h[1]}
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(near), pa.string())], names=["word"])
+
+    return frozenset(r["word"] for r in rows.select("text").mapInArrow(run, "word string").distinct().collect())
+
+
 def _measured(docs: DataFrame, model: Toxicity, kept: list[str]) -> DataFrame:
     """docs(kept..., text) -> kept..., features."""
     schema = T.StructType([*docs.select(*kept).schema.fields]).add("features", T.ArrayType(T.DoubleType()))
-    out, terms = schema.names, model.terms
+    out, terms, benign = schema.names, model.terms, model.benign
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = Automaton(terms)
         for b in batches:
-            found = [measure(t.as_py(), automaton) for t in b.column(b.num_columns - 1)]
+            found = [measure(t.as_py(), automaton, benign) for t in b.column(b.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found, pa.list_(pa.float64()))], names=out)
 
     return docs.mapInArrow(run, schema)
@@ -212,4 +260,4 @@ def score_toxicity(docs: DataFrame, model: Toxicity, text_col: str = "text", kee
     t_ = unused(docs, "__text")
     source = docs.withColumn(t_, F.col(text_col).cast("string")).select(*kept.columns, t_)
     sums = sum((F.get("features", F.lit(i)) * F.lit(float(w)) for i, w in enumerate(model.weights)), F.lit(model.bias))
-    return _measured(source, model, kept.columns).select(*kept.columns, (1 / (1 + F.exp(-sums))).alias("score"), (F.get("features", F.lit(len(FEATURES) - 1)) > 0).alias("hits"))
+    return _measured(source, model, kept.columns).select(*kept.columns, (1 / (1 + F.exp(-sums))).alias("score"), (F.get("features", F.lit(1)) > 0).alias("hits"))

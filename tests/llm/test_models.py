@@ -33,6 +33,37 @@ def test_quality_on_held_out_rows(spark):
     assert auc(held) > 0.95 and (held.predicted == held.y).mean() > 0.93 and d.score.between(0, 1).all()
 
 
+def test_context_and_edits_of_hits():
+    """A quoted or reported insult scores below a direct one, an edited one between a clean text and the exact one; a far mark changes nothing."""
+    model = toxicity.Toxicity(["idiot", "worthless", "clown*"], np.array([0.5, 4.0, 1.5]), -3.0, frozenset({"idiom"}))
+    automaton = toxicity.Automaton(model.terms)
+    score = lambda t: float(np.dot(toxicity.measure(t, automaton, model.benign), model.weights) + model.bias)
+    far = " ".join(f"w{chr(97 + k % 26)}" for k in range(60))
+    assert score("you idiot") > score('he wrote on a wall: you idiot') > score('They used "you idiot" there') > score('He said "you idiot" there') > score("a stone")
+    assert score("you idiot") > score("you idiott") > score("a stone") == score("an idiom") == score("") == score(None)
+    assert score("you idiot, worthless clowns") > score("you idiot, wortless clowns") > score("you idiot")
+    assert score(f'stray " mark {far} you idiot {far}') == score("you idiot") == score(f'"one" {far} you idiot {far} "two"')
+    assert score('"one" you idiot "two"') == score("you idiot") and score("„du idiot“ ging") == score("« idiot » allait") < score("idiot")
+
+
+def test_learned_weights_never_reward_a_hit():
+    r = np.random.default_rng(4)
+    x = r.random((300, 3))
+    w, bias = toxicity.fit(x, (x[:, 0] - x[:, 1] + 0.1 * r.standard_normal(300) > 0).astype(float))
+    assert w[0] > 1 and w[1] == 0 and (w >= 0).all() and np.isfinite(bias)
+
+
+def test_words_of_copies_are_no_terms(spark):
+    r = random.Random(2)
+    prose = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    family = prose(30) + " xylophone zephyr " + prose(30)
+    rows = [(i, f"{prose(20)} idiot {prose(20)}", 1) for i in range(12)] + [(20 + i, f"{family} {prose(1)} xylophone", 1) for i in range(12)] + [(40 + i, prose(40), 0) for i in range(60)]
+    docs = spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(x[0], x[2]) for x in rows], "doc_id long, toxic int")
+    terms = toxicity.learn_toxicity(docs, labels).terms
+    assert any("idiot".startswith(t.rstrip("*")) for t in terms) and not any("zephyr".startswith(t.rstrip("*")) for t in terms)
+
+
 def test_attention_gradient():
     r = np.random.default_rng(0)
     x, first, y = r.random((9, quality.FEATURES)).astype(np.float32), np.array([0, 2, 3]), np.array([1, 0, 1], np.float32)
@@ -59,7 +90,7 @@ def test_language_on_held_out_rows(spark):
 def test_toxicity_on_held_out_rows(spark):
     d = with_labels(spark, Q.op10_toxicity, "toxic")
     held = d[d.held_out]
-    assert auc(held) > 0.75 and (held.predicted == held.y).mean() > 0.9 and d.score.between(0, 1).all()
+    assert auc(held) > 0.85 and (held.predicted == held.y).mean() > 0.95 and d.score.between(0, 1).all()
 
 
 def test_odd_rows(spark):
