@@ -16,22 +16,29 @@ from reconspark.llm.packing import pack
 from reconspark.llm.simhash import near_duplicates
 from reconspark.llm.substring import remove_repeats
 from reconspark.session import ship
+from reconspark.storage import temporary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: SimHash of five-word shingles; 16 % differing bits stand for a Jaccard similarity of 0.8.
-SHINGLE, LANES, RADIUS = 5, 15, 154
+#: SimHash of five-word shingles: 960 bits, of which 0.8 at least are equal.
+SHINGLE, LANES, RADIUS = 5, 15, 192
+#: Score from which a prediction replaces another lang; trigrams from which a text is judged by its cosine, and the cosine that a
+#: text of random letters stays below (three deviations at 1024 dimensions).
+SURE, LONG, NOISE = 0.99, 64, 0.094
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in which a language is recognised; null texts and texts without a letter go. lang stays as it was.
+    """Keeps documents in which a language is recognised, and sets lang where it is null or contradicted with a score of SURE.
 
-    Where two folds of three hold no labelled text all rows are learned from, and where none is labelled letters alone count.
+    Null texts and texts without a letter go, and so do texts of LONG trigrams and more that are no more like any language than random
+    letters are. Where two folds of three hold no labelled text all rows are learned from, and where none is labelled letters
+    alone count and lang stays.
     """
     models = learn(docs.where(~fold("doc_id", 3, 1))) or learn(docs)
     if not models:
         return docs.where("text rlike '\\\\p{L}'").select(*COLUMNS)
-    found = identify(docs.select(*COLUMNS), models)
-    return found.where("lang_pred <> 'und'").select(*COLUMNS)
+    found = identify(docs.select(*COLUMNS), models).where((F.col("lang_pred") != "und") & ((F.col("trigrams") < LONG) | (F.col("cosine") >= NOISE)))
+    lang = F.when(F.col("lang").isNull() | (F.col("score") >= SURE), F.col("lang_pred")).otherwise(F.col("lang"))
+    return found.withColumn("lang", lang).select(*COLUMNS)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -79,9 +86,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over documents; what a stage and its operators have written is deleted once the next one is saved."""
     ship(spark)
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = scratch.save(stage(spark, docs, sf_dir), f"stage-{k}")
+        with temporary():
+            docs = scratch.save(stage(spark, docs, sf_dir), f"stage-{k}")
+        scratch.keep(f"stage-{k}")
     return docs

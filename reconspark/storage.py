@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,11 +21,29 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
+_watched: list[list[Scratch]] = []
+
+
+@contextmanager
+def temporary() -> Iterator[None]:
+    """Deletes at the end what Scratch objects that are made within have written: for callers that save the result themselves."""
+    made: list[Scratch] = []
+    _watched.append(made)
+    try:
+        yield
+    finally:
+        _watched.remove(made)
+        for scratch in made:
+            scratch.keep()
+
+
 class Scratch:
     """Written tables cut lineage, survive lost executors and have known sizes."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path, self.names = spark, f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}", []
+        for made in _watched:
+            made.append(self)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{self.path}/{name}")
