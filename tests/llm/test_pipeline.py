@@ -49,3 +49,32 @@ def test_letters_stay_where_no_language_is_learned(spark):
     rows = [(i, t, lang) for i, (t, lang) in zip(held_out, [("one text", None), ("слова", None), ("12 !", None), (None, None)], strict=False)]
     assert {x["text"] for x in P.language(spark, made(spark, rows), "").collect()} == {"one text", "слова"}
     assert P.language(spark, made(spark, [(i, t, "en") for i, t, _ in rows]), "").count() == 2
+
+
+def test_a_wrong_language_is_mended_and_noise_goes(spark):
+    r = random.Random(11)
+    say = lambda words, n=80: " ".join(r.choice(words.split()) for _ in range(n))
+    en = lambda: say("the water under stone reading and mention which through mighty thought")
+    de = lambda: say("der fluss durch schönes gebirge nicht über zwischen straße entwicklung und")
+    rows = [(i, en(), "en") for i in range(30)] + [(100 + i, de(), "de") for i in range(30)]
+    rows += [(200, de(), "en"), (201, en(), None), (202, " ".join("".join(chr(r.randrange(0x4E00, 0x9FA5)) for _ in range(9)) for _ in range(60)), None), (203, "und", "en")]
+    got = {x["doc_id"]: x["lang"] for x in P.language(spark, made(spark, rows), "").collect()}
+    assert got.keys() == {i for i, *_ in rows} - {202}
+    assert got[200] == "de" and got[201] == "en" and all(got[i] == "en" and got[100 + i] == "de" for i in range(30))
+
+
+def test_whole_run_on_odd_and_empty_tables(spark, tmp_path):
+    r = random.Random(12)
+    prose = lambda n: " ".join(r.choice("water stone reading mention under over never always".split()) + r.choice("abcdefgh") * r.randrange(3) for _ in range(n))
+    a, b, c = prose(90), prose(90), prose(90)
+    rows = [(1, a), (1, b), (None, c), (None, c), (2, a), (3, None), (4, ""), (5, "12 !!"), (6, prose(3000)), (7, "word")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row long, score double, spans string, component long, __id string, trigrams int"
+    full = [(i, t, "en", None, len(t or ""), 1, 0.5, "x", 3, "y", 4) for i, t in rows]
+    for name, some in (("full", full), ("none", [])):
+        spark.createDataFrame(some, schema).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([(1, prose(12)), (None, "x"), (2, None)][: 3 * len(some)], "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    got = P.run(spark, f"{tmp_path}/full").collect()
+    assert sorted({x["doc_id"] or 0 for x in got}) == [0, 1, 6, 7]
+    assert sum(x["piece"] == 0 for x in got) == 5  # a, b, c, the long one and the single word
+    none = P.run(spark, f"{tmp_path}/none")
+    assert none.count() == 0 and "sequence_id" in none.columns
