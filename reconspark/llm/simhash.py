@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,12 +18,10 @@ from reconspark.llm.components import components
 #: For each byte value, its bits from the most significant one.
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 CHUNK = 1 << 16
-#: Chance that a pair at the radius shares no entry, at every size of the corpus.
+#: Chance that a pair at the aimed distance shares no entry, at every size of the corpus.
 MISS = 0.03
-#: Bits of a segment at least; segments whose single values join large groups first.
-LEAST_WIDTH, SINGLE = 16, 24
-#: Members of a short entry at most; rows a task takes up at once; members of a group that stays out of the shuffle by key at least.
-SHORT, HELD, LARGE = 256, 200_000, 10_000
+#: Bits of a segment at least; rows a task takes up at once; pairs compared at once; members of an entry that is not cut into blocks.
+LEAST_WIDTH, HELD, PAIRS, MEMBERS = 12, 100_000, 500_000, 50_000
 
 
 def fingerprint(text: str | None, shingle: int = 3, lanes: int = 1) -> list[int]:
@@ -92,167 +89,152 @@ def ball_chance(width: int, differ: float, radius: int) -> float:
     return sum(math.comb(width, k) * differ**k * (1 - differ) ** (width - k) for k in range(radius + 1))
 
 
-def segment_bits(distinct: int, lanes: int, radius: int) -> np.ndarray:
+def segment_bits(distinct: int, lanes: int, aim: int) -> np.ndarray:
     """Bit numbers of each segment, segments x width, for so many fingerprints of 64 * lanes bits.
 
     Balls of one flipped bit are drawn around both fingerprints of a pair, so a segment finds the pairs that differ in at most
-    two of its bits. There are as many segments as leave a pair at the radius unfound with chance MISS. They have
-    LEAST_WIDTH bits up to 2^18 fingerprints and beyond that a bit more for each doubling, which keeps an entry at about a hundred strangers,
-    and then there are more of them, so the chance stays. Segments have no bit in common while 64 * lanes bits suffice; further ones
-    are cut out of further shuffles of the bits.
+    two of its bits. There are as many segments as leave a pair of `aim` differing bits unfound with chance MISS. They have
+    LEAST_WIDTH bits up to 2^18 fingerprints and beyond that a bit more for each doubling, which keeps an entry at under a thousand
+    strangers, and then there are more of them, so the chance stays. Segments have no bit in common while 64 * lanes bits suffice;
+    further ones are cut out of further shuffles of the bits.
     """
-    width, bits = max(LEAST_WIDTH, math.ceil(math.log2(max(2, distinct))) - 2), 64 * lanes
-    segments = math.ceil(math.log(MISS) / math.log(1 - ball_chance(width, radius / bits, 2)))
-    return _cut(width, max(1, segments), bits)
+    width, bits = max(LEAST_WIDTH, math.ceil(math.log2(max(2, distinct))) - 6), 64 * lanes
+    count, per = math.ceil(math.log(MISS) / math.log(1 - ball_chance(width, aim / bits, 2))), bits // width
+    r = np.random.Generator(np.random.PCG64(width))
+    return np.concatenate([r.permutation(bits)[: per * width].reshape(per, width) for _ in range(-(-count // per))])[:count]
 
 
-def _cut(width: int, segments: int, bits: int) -> np.ndarray:
-    r, per = np.random.Generator(np.random.PCG64(width)), bits // width
-    return np.concatenate([r.permutation(bits)[: per * width].reshape(per, width) for _ in range(-(-segments // per))])[:segments]
-
-
-def segment_entries(numbered: DataFrame, lanes: int, segments: np.ndarray, flips: int, kept: list[str]) -> DataFrame:
-    """numbered(kept..., f0, ...) -> (kept..., s0, s1, key): a row for each segment value in the ball of at most `flips` (0 or 1)
-    bits around the fingerprint's own. The segment's number is in the key's upper part; s0 and s1 are the last two lanes, a sketch."""
+def segment_entries(numbered: DataFrame, lanes: int, segments: np.ndarray, kept: list[str]) -> DataFrame:
+    """numbered(kept..., f0, ...) -> (kept..., key): a row for each segment value in the ball of one flipped bit around the
+    fingerprint's own, itself included. The segment's number is in the key's upper part."""
     count, width = segments.shape
     number, step = np.arange(count, dtype=np.int64) << 40, max(1, 400_000 // (count * (1 + width)))
-    masks = np.concatenate([np.zeros(1, np.int64), np.int64(1) << np.arange(width, dtype=np.int64)])[: 1 + width * flips]
-    base = numbered.select(*kept, *(f"f{i}" for i in range(lanes)))
-    sketch = [f"f{max(0, lanes - 2)}", f"f{lanes - 1}"]
-    schema = T.StructType([*base.select(*kept).schema.fields]).add("s0", "long").add("s1", "long").add("keys", T.ArrayType(T.LongType()))
+    masks = np.concatenate([np.zeros(1, np.int64), np.int64(1) << np.arange(width, dtype=np.int64)])
+    prints = [f"f{i}" for i in range(lanes)]
+    schema = T.StructType([*numbered.select(*kept).schema.fields]).add("keys", T.ArrayType(T.LongType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, step):
                 b = whole.slice(at, step)
-                parts = np.stack([c.to_numpy() for c in b.columns[len(kept) :]], axis=1)
+                parts = np.stack([b.column(b.schema.get_field_index(p)).to_numpy() for p in prints], axis=1)
                 bits = np.ascontiguousarray(np.unpackbits(parts.astype("<i8").view(np.uint8), axis=1, bitorder="little").T)
                 own = np.repeat(number[:, None], b.num_rows, axis=1)
                 for place in range(width):
                     own |= bits[segments[:, place]].astype(np.int64) << place
                 keys = (own.T[:, :, None] ^ masks).ravel()
                 ends = pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * (count * len(masks)))
-                names = b.schema.names
-                yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], *(b.column(names.index(s)) for s in sketch), pa.ListArray.from_arrays(ends, pa.array(keys))], names=schema.names)
-
-    return base.mapInArrow(run, schema).select(*kept, "s0", "s1", F.explode("keys").alias("key"))
+                yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(k)) for k in kept), pa.ListArray.from_arrays(ends, pa.array(keys))], names=schema.names)
 
+    return numbered.select(*dict.fromkeys([*kept, *prints])).mapInArrow(run, schema).select(*kept, F.explode("keys").alias("key"))
 
-def sketch_slack(radius: int, bits: int) -> int:
-    """So many of the sketch's 128 bits may differ: four deviations more than the share of a pair at the radius."""
-    share = radius / bits
-    return math.ceil(128 * share + 4 * math.sqrt(128 * share * (1 - share)))
 
+def entry_groups(prints: np.ndarray, radius: int) -> np.ndarray:
+    """The members of one entry (member x lane): for each the first member of its group over links of at most radius bits.
 
-def meetings(entries: DataFrame, slack: int) -> DataFrame:
-    """entries(key, label, num, s0, s1) -> (x, y), x < y: members of one entry with different labels and sketches within slack.
-
-    One shuffle by key; a task reads its entries in order and holds one at a time. Neighbours are compared at every distance up
-    to SHORT at once for all short entries; in a longer one all but the largest label are compared with all.
+    All are compared, in blocks of bounded size: by two lanes first, which pass every pair within the radius but one in some
+    ten thousand, and those that are not yet in one group by all lanes.
+    """
+    n, lanes = prints.shape
+    first = np.arange(n)
+    share, wide = radius / (64 * lanes), 64 * min(2, lanes)
+    slack = math.ceil(wide * share + 4 * math.sqrt(wide * share * (1 - share)))
+    columns = [np.ascontiguousarray(prints[:, k]) for k in range(min(2, lanes))]
+    step = max(1, PAIRS // n)
+    for at in range(0, n, step):
+        apart = sum(np.bitwise_count(c[at : at + step, None] ^ c[None, at:]).astype(np.uint8) for c in columns)
+        i, j = np.nonzero(apart <= slack)
+        i, j = i[j > i] + at, j[j > i] + at
+        new = first[i] != first[j]
+        i, j = i[new], j[new]
+        near = np.bitwise_count(prints[i] ^ prints[j]).sum(1, dtype=np.int64) <= radius
+        i, j = i[near], j[near]
+        while len(i):
+            a, b = first[i], first[j]
+            low, high = np.minimum(a, b), np.maximum(a, b)
+            new = low < high
+            if not new.any():
+                break
+            i, j = i[new], j[new]
+            to = np.arange(n)
+            np.minimum.at(to, high[new], low[new])
+            while (to[to] != to).any():
+                to = to[to]
+            first = to[first]
+    return first
+
+
+def meetings(entries: DataFrame, lanes: int, radius: int) -> DataFrame:
+    """entries(key, part, num, f0, ...) -> (x, y): members of each entry and the first member of their group.
+
+    One shuffle by key; a task reads its entries in order and holds a bounded number. What it returns spans the groups, at most a row
+    for each member, however many pairs are within the radius.
     """
     kind = pa.schema([("x", pa.int64()), ("y", pa.int64())])
 
-    def alike(a: tuple, b: tuple) -> np.ndarray:
-        near = np.bitwise_count(a[0] ^ b[0]).astype(np.int16) + np.bitwise_count(a[1] ^ b[1])
-        return near <= slack
-
-    def short(key, label, num, s0, s1) -> Iterator[tuple]:
-        for d in range(1, len(key)):
-            same = key[d:] == key[:-d]
-            if not same.any():
-                return
-            at = np.flatnonzero(same & alike((s0[d:], s1[d:]), (s0[:-d], s1[:-d])) & (label[d:] != label[:-d]))
-            yield num[at], num[at + d]
-
-    def long(label, num, s0, s1) -> Iterator[tuple]:
-        values, own = np.unique(label, return_inverse=True)
-        main = np.bincount(own, minlength=len(values)).argmax()
-        for i in np.flatnonzero(own != main):
-            hit = alike((s0, s1), (s0[i], s1[i])) & (label != label[i]) & ((own == main) | (num < num[i]))
-            yield np.repeat(num[i], hit.sum()), num[hit]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def settle(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            first = np.flatnonzero(np.concatenate([[True], rows[0][1:] != rows[0][:-1]]))
-            size = np.diff(np.append(first, len(rows[0])))
-            few = np.repeat(size <= SHORT, size)
-            found = [*short(*(r[few] for r in rows))]
-            for a, n in zip(first[size > SHORT].tolist(), size[size > SHORT].tolist(), strict=True):
-                found += long(*(r[a : a + n] for r in rows[1:]))
-            x, y = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in (0, 1))
-            if len(x):
-                both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
+            key, part, num, *prints = rows
+            starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (part[1:] != part[:-1])])).tolist()
+            together, x, y = np.stack(prints, axis=1).view(np.uint64), [], []
+            for a, z in zip(starts, [*starts[1:], len(key)], strict=True):
+                if z - a > 1:
+                    first = entry_groups(together[a:z], radius)
+                    moved = np.flatnonzero(first != np.arange(z - a))
+                    x.append(num[a:z][moved])
+                    y.append(num[a:z][first[moved]])
+            if sum(map(len, x)):
+                both = np.unique(np.stack([np.concatenate(x), np.concatenate(y)]), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], schema=kind)
 
         held: list[list[np.ndarray]] = []
         for b in batches:
             rows = [c.to_numpy(zero_copy_only=False) for c in b.columns]
-            rows[3:] = [r.view(np.uint64) for r in rows[3:]]  # bits of negative numbers are counted without their sign
             held.append(rows)
-            if sum(len(h[0]) for h in held) < HELD or held[0][0][0] == rows[0][-1]:
+            if sum(len(h[0]) for h in held) < HELD or (held[0][0][0], held[0][1][0]) == (rows[0][-1], rows[1][-1]):
                 continue
             rows = [np.concatenate(c) for c in zip(*held, strict=True)]
-            cut = np.searchsorted(rows[0], rows[0][-1])  # the last entry may go on
+            cut = np.flatnonzero((rows[0] != rows[0][-1]) | (rows[1] != rows[1][-1]))[-1] + 1  # the last entry may go on
             yield from settle([r[:cut] for r in rows])
             held = [[r[cut:] for r in rows]]
         if held:
             yield from settle([np.concatenate(c) for c in zip(*held, strict=True)])
 
-    dealt = entries.select("key", "label", "num", "s0", "s1").repartition("key").sortWithinPartitions("key", "label")
+    dealt = entries.select("key", "part", "num", *(f"f{i}" for i in range(lanes))).repartition("key", "part").sortWithinPartitions("key", "part", "num")
     return dealt.mapInArrow(run, "x long, y long").distinct()
 
 
-def wide_links(classes: DataFrame, lanes: int, radius: int, distinct: int, scratch: Scratch) -> DataFrame:
-    """classes(rep, f0, ...): distinct fingerprints of many lanes. (a, b) pairs within the radius that connect its groups.
+def wide_links(classes: DataFrame, lanes: int, radius: int, distinct: int, scratch: Scratch, aim: int | None = None) -> DataFrame:
+    """classes(rep, f0, ...): distinct fingerprints of many lanes. (a, b) pairs that span the groups of those within the radius.
 
-    First the entries of single segment values: each member is compared with the least one, which joins most of a large group at
-    the cost of a row a member. Then balls of one bit around every segment value: members of an entry that are not yet in one
-    group are compared with each other. Sketches of 128 bits settle most comparisons; complete distances decide. So two
-    fingerprints within the radius that share an entry always end in one group; how many share one, see segment_bits.
-    Groups of more than LARGE members stay out of the second shuffle by key: they meet the others' entries in joins that adaptive
-    execution can split.
+    Each fingerprint goes to the entries of the balls around its segments; all members of an entry are compared by complete
+    distance. So two fingerprints within the radius that share an entry always end in one group; how many share one, see
+    segment_bits (aim: the number of differing bits that it looks at, by default the radius). An entry of more than MEMBERS is cut
+    into blocks, and each two of its blocks meet in a task of their own.
     """
-    bits, names = 64 * lanes, [f"f{i}" for i in range(lanes)]
+    prints = [f"f{i}" for i in range(lanes)]
     numbered = scratch.save(classes.withColumn("num", F.monotonically_increasing_id()), "numbered")
-    segments, slack = segment_bits(distinct, lanes, radius), sketch_slack(radius, bits)
-    alike = F.bit_count(F.col("s0").bitwiseXOR(F.col("t0"))) + F.bit_count(F.col("s1").bitwiseXOR(F.col("t1"))) <= slack
-
-    def within(met: DataFrame, name: str) -> DataFrame:
-        first = met.join(numbered.select(F.col("num").alias("x"), F.col("rep").alias("a"), *(F.col(n).alias(f"a_{n}") for n in names)), "x")
-        both = first.join(numbered.select(F.col("num").alias("y"), F.col("rep").alias("b"), *names), "y")
-        apart = sum((F.bit_count(F.col(f"a_{n}").bitwiseXOR(F.col(n))) for n in names), F.lit(0))
-        return scratch.save(both.where(apart <= radius).select("x", "y", "a", "b"), f"within-{name}")
-
-    single = scratch.save(segment_entries(numbered, lanes, _cut(segments.shape[1], bits // segments.shape[1], bits)[:SINGLE], 0, ["num"]), "single")
-    lead = single.groupBy("key").agg(F.min(F.struct("num", "s0", "s1")).alias("low"), F.count("*").alias("n")).where("n > 1")
-    lead = scratch.save(lead.select("key", F.col("low.num").alias("y"), F.col("low.s0").alias("t0"), F.col("low.s1").alias("t1")), "lead")
-    led = single.join(lead, "key").where((F.col("num") > F.col("y")) & alike).select(F.col("num").alias("x"), "y").distinct()
-    led = within(led, "led")
-    groups = components(led.select(F.col("x").alias("a"), F.col("y").alias("b")), scratch)
-    large = groups.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") > LARGE).select("label")
-    large = scratch.save(groups.join(scratch.save(large, "large"), "label", "left_semi").select("node"), "crowd")
-    grouped = numbered.join(groups.withColumnRenamed("node", "num"), "num", "left").withColumn("label", F.coalesce("label", "num"))
-    grouped = scratch.save(grouped.drop("rep"), "grouped")
-    crowded = large.limit(1).count() > 0
-    sparse = grouped.join(large.withColumnRenamed("node", "num"), "num", "left_anti") if crowded else grouped
-    found = [within(meetings(segment_entries(sparse, lanes, segments, 1, ["num", "label"]), slack), "met")]
-    if crowded:
-        dense = grouped.join(large.withColumnRenamed("node", "num"), "num", "left_semi")
-        dense = scratch.save(segment_entries(dense, lanes, segments, 1, ["num", "label"]), "dense").select("key", F.col("num").alias("y"), F.col("label").alias("other"), F.col("s0").alias("t0"), F.col("s1").alias("t1"))
-        # An entry of the large groups is settled among them only if it holds two of them.
-        mixed_ = scratch.save(dense.groupBy("key").agg(F.min("other").alias("low"), F.max("other").alias("high")).where("low <> high").select("key"), "mixed")
-        rest = scratch.save(segment_entries(sparse, lanes, segments, 1, ["num", "label"]), "sparse").select("key", "num", "label", "s0", "s1")
-        both = scratch.save(dense.join(mixed_, "key", "left_semi"), "both").select("key", F.col("y").alias("num"), F.col("other").alias("label"), F.col("t0").alias("s0"), F.col("t1").alias("s1"))
-        for k, side in enumerate((rest, both)):
-            met = side.join(dense, "key").where((F.col("label") != F.col("other")) & alike).select(F.least("num", "y").alias("x"), F.greatest("num", "y").alias("y")).distinct()
-            found.append(within(met, f"dense-{k}"))
-    return reduce(DataFrame.union, found, led).select("a", "b")
-
-
-def near_duplicates(docs: DataFrame, shingle: int = 3, lanes: int = 1, radius: int = 2, id_col: str = "doc_id", text_col: str = "text", tag_col: str | None = None) -> DataFrame:
+    segments = segment_bits(distinct, lanes, aim or radius)
+    # As many rows as keys leave each task, whatever the number of fingerprints.
+    hot = segment_entries(numbered, lanes, segments, []).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > MEMBERS)
+    hot = scratch.save(hot.select("key", F.ceil(F.col("n") / MEMBERS).alias("blocks")), "hot")
+    entries = segment_entries(numbered, lanes, segments, ["num", *prints])
+    if hot.limit(1).count():
+        own = F.pmod(F.xxhash64("num"), F.col("blocks"))
+        square = lambda c: F.least(own, c) * F.col("blocks") + F.greatest(own, c)
+        parts = F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), square))
+        entries = entries.join(hot, "key", "left").withColumn("part", F.explode(parts))
+    else:
+        entries = entries.withColumn("part", F.lit(0).cast("long"))
+    met = scratch.save(meetings(entries, lanes, radius), "met")
+    names = numbered.select("num", "rep")
+    return met.join(names.withColumnsRenamed({"num": "x", "rep": "a"}), "x").join(names.withColumnsRenamed({"num": "y", "rep": "b"}), "y").select("a", "b")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 3, lanes: int = 1, radius: int = 2, id_col: str = "doc_id", text_col: str = "text", tag_col: str | None = None, aim: int | None = None) -> DataFrame:
     """(doc_id, f0.., component_id): the smallest doc_id reachable over links of at most radius differing bits.
 
-    One lane (64 bits, a radius up to 3): every such link is found. More lanes, for a lower similarity: see wide_links.
+    One lane (64 bits, a radius up to 3): every such link is found. More lanes, for a lower similarity: see wide_links, also for aim.
 
     Copies meet in one class per fingerprint first, so the links, tables and components hold distinct fingerprints
     only and a group of copies of any size costs one row there. Null or wordless texts have fingerprint zero and are linked
@@ -268,7 +250,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, lanes: int = 1, radius: i
     classes = prints.groupBy(*names).agg(F.min("doc_id").alias("id")).select(*names, F.struct("id", mark.alias("mark")).alias("rep"))
     classes = scratch.save(classes, "classes")
     named = classes.where("rep.id is not null")
-    linked = exact_links(named, radius) if lanes == 1 else wide_links(named, lanes, radius, named.count(), scratch)
+    linked = exact_links(named, radius) if lanes == 1 else wide_links(named, lanes, radius, named.count(), scratch, aim)
     found = components(linked, scratch)
     owner = scratch.save(classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(*names, F.coalesce("label.id", "rep.id").alias("component_id"), *([F.coalesce("label", "rep").alias("component")] if tag_col else [])), "owner")
     scratch.keep("prints", "owner")

@@ -3,6 +3,7 @@
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -103,15 +104,15 @@ def test_wide_fingerprints_find_near_copies(spark):
             v[r.randrange(200)] = "edited"
             v[r.randrange(200)] = "twice"
             rows.append((10 * g + k, " ".join(v)))
-    got = {x["doc_id"]: x["component_id"] for x in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=5, lanes=15, radius=154).collect()}
+    got = {x["doc_id"]: x["component_id"] for x in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=5, lanes=8, radius=102, aim=82).collect()}
     assert got == {i: i // 10 * 10 for i, _ in rows}
 
 
-@pytest.mark.parametrize("large, short", [(10_000, 256), (20, 8)])
-def test_hub_in_the_middle_of_the_ids(spark, monkeypatch, large, short):
+@pytest.mark.parametrize("members, pairs", [(50_000, 500_000), (20, 100)])
+def test_hub_in_the_middle_of_the_ids(spark, monkeypatch, members, pairs):
     """Texts edited from one hub are often near to it alone; strangers stand at both ends of the ids."""
-    monkeypatch.setattr(simhash, "LARGE", large)
-    monkeypatch.setattr(simhash, "SHORT", short)
+    monkeypatch.setattr(simhash, "MEMBERS", members)
+    monkeypatch.setattr(simhash, "PAIRS", pairs)
     monkeypatch.setattr(simhash, "HELD", 5000)
     r = random.Random(8)
     hub = [f"w{r.randrange(10**6)}" for _ in range(300)]
@@ -121,9 +122,9 @@ def test_hub_in_the_middle_of_the_ids(spark, monkeypatch, large, short):
         for k in r.sample(range(300), 7):
             w[k] = f"e{r.randrange(10**6)}"
         rows.append((i, " ".join(w)))
-    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=5, lanes=15, radius=154).collect()
-    bits = {x["doc_id"]: [x[f"f{k}"] % 2**64 for k in range(15)] for x in got}
-    near = lambda a, b: sum((x ^ y).bit_count() for x, y in zip(bits[a], bits[b], strict=True)) <= 154
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=5, lanes=8, radius=102, aim=82).collect()
+    bits = {x["doc_id"]: [x[f"f{k}"] % 2**64 for k in range(8)] for x in got}
+    near = lambda a, b: sum((x ^ y).bit_count() for x, y in zip(bits[a], bits[b], strict=True)) <= 102
     reached, todo = {500}, [500]
     while todo:
         a = todo.pop()
@@ -135,30 +136,30 @@ def test_hub_in_the_middle_of_the_ids(spark, monkeypatch, large, short):
     assert sum(label[i] == label[500] for i in reached) >= 0.93 * len(reached)
 
 
-@pytest.mark.parametrize("distinct", [1000, 10**7, 10**10])
-def test_pairs_at_the_radius_are_found_at_every_size(spark, distinct):
+@pytest.mark.parametrize("apart, least, distinct", [(82, 0.94, 1000), (82, 0.94, 10**7), (82, 0.94, 10**10), (102, 0.86, 1000)])
+def test_pairs_are_found_alike_at_every_size(spark, apart, least, distinct):
     r = random.Random(distinct)
     rows = []
     for i in range(400):
-        a = r.getrandbits(960)
+        a = r.getrandbits(512)
         b = a
-        for k in r.sample(range(960), 192):
+        for k in r.sample(range(512), apart):
             b ^= 1 << k
         for j, x in enumerate((a, b)):
-            rows.append((2 * i + j, *(x >> 64 * k & 2**64 - 1 for k in range(15))))
+            rows.append((2 * i + j, *(x >> 64 * k & 2**64 - 1 for k in range(8))))
     signed = [(i, *(x - 2**64 if x >= 2**63 else x for x in f)) for i, *f in rows]
-    classes = spark.createDataFrame(signed, "rep long, " + ", ".join(f"f{k} long" for k in range(15)))
-    got = {tuple(sorted((x["a"], x["b"]))) for x in simhash.wide_links(classes, 15, 192, distinct, Scratch(spark, "test")).collect()}
-    assert got <= {(2 * i, 2 * i + 1) for i in range(400)} and len(got) >= 0.94 * 400
+    classes = spark.createDataFrame(signed, "rep long, " + ", ".join(f"f{k} long" for k in range(8)))
+    got = {tuple(sorted((x["a"], x["b"]))) for x in simhash.wide_links(classes, 8, 102, distinct, Scratch(spark, "test"), aim=82).collect()}
+    assert got <= {(2 * i, 2 * i + 1) for i in range(400)} and len(got) >= least * 400
 
 
 def test_segments_are_apart_and_balls_complete(spark):
     for distinct in (2, 10**6, 10**7):
-        s = simhash.segment_bits(distinct, 15, 154)
-        assert len(set(s.ravel().tolist())) == s.size and s.max() < 960
+        s = simhash.segment_bits(distinct, 8, 82)
+        assert len(set(s.ravel().tolist())) == s.size and s.max() < 512
     segments = simhash.segment_bits(10**6, 2, 20)[:3]
     one = spark.createDataFrame([(7, 5, -9)], "num long, f0 long, f1 long")
-    got = {x["key"] for x in simhash.segment_entries(one, 2, segments, 1, ["num"]).collect()}
+    got = {x["key"] for x in simhash.segment_entries(one, 2, segments, ["num"]).collect()}
     bit = lambda k: ((5, 2**64 - 9)[k // 64] >> k % 64) & 1
     want = set()
     for j, places in enumerate(segments.tolist()):
@@ -167,6 +168,26 @@ def test_segments_are_apart_and_balls_complete(spark):
     assert got == want
 
 
+def test_groups_of_an_entry_as_by_brute_force(monkeypatch):
+    r = np.random.default_rng(5)
+    for pairs in (7, 10**6):
+        monkeypatch.setattr(simhash, "PAIRS", pairs)
+        for _ in range(30):
+            n = int(r.integers(2, 60))
+            base = r.integers(0, 2**64, (4, 3), np.uint64)
+            prints = base[r.integers(0, 4, n)]
+            for i in range(n):
+                for k in r.integers(0, 192, r.integers(0, 30)):
+                    prints[i, k // 64] ^= np.uint64(1 << int(k) % 64)
+            want = list(range(n))
+            for _ in range(n):
+                for i in range(n):
+                    for j in range(n):
+                        if np.bitwise_count(prints[i] ^ prints[j]).sum() <= 24:
+                            want[i] = want[j] = min(want[i], want[j])
+            assert simhash.entry_groups(prints, 24).tolist() == want
+
+
 def test_components_of_long_chains(spark):
     chain = [(i, i + 1) for i in range(200)] + [(300, 301), (301, 300), (5, 5)]
     got = {x["node"]: x["label"] for x in components(spark.createDataFrame(chain, "a long, b long"), Scratch(spark, "test")).collect()}
