@@ -19,8 +19,9 @@ from reconspark.session import ship
 from reconspark.storage import temporary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: SimHash of five-word shingles: 960 bits, of which 0.8 at least are equal.
-SHINGLE, LANES, RADIUS = 5, 15, 192
+#: SimHash of five-word shingles: 512 bits, of which 0.8 at least are equal; a Jaccard similarity of 0.8 differs in 78 bits, give
+#: or take 8, which is what the search aims at.
+SHINGLE, LANES, RADIUS, AIM = 5, 8, 102, 82
 #: Score from which a prediction replaces another lang; trigrams from which a text is judged by its cosine, and the cosine that a
 #: text of random letters stays below (three deviations at 1024 dimensions).
 SURE, LONG, NOISE = 0.99, 64, 0.094
@@ -47,7 +48,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     tag = F.xxhash64("text")
     own = F.coalesce(F.col("doc_id").cast("long"), tag.bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62)))
     keyed = docs.select(*COLUMNS, own.alias("__id"), tag.alias("__tag"))
-    groups = near_duplicates(keyed, shingle=SHINGLE, lanes=LANES, radius=RADIUS, id_col="__id", tag_col="__tag")
+    groups = near_duplicates(keyed, shingle=SHINGLE, lanes=LANES, radius=RADIUS, aim=AIM, id_col="__id", tag_col="__tag")
     first = groups.groupBy("component").agg(F.min(F.struct("doc_id", "tag")).alias("x")).select(F.col("x.doc_id").alias("__id"), F.col("x.tag").alias("__tag")).distinct()
     kept = keyed.join(first, ["__id", "__tag"], "left_semi")
     same = Window.partitionBy("__id", "__tag").orderBy("lang", "source", "n_chars")
