@@ -12,9 +12,11 @@ from __future__ import annotations
 
 import functools
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,8 +25,6 @@ from pyspark.sql import types as T
 #: Two primes below 2^31 and a base for each: products of residues fit into 64 bits.
 PRIMES, BASES = (2147483647, 2147483629), (911382323, 972663749)
 PER_OCTAVE, ROWS_AT_ONCE = 8, 256
-#: Ranges of ids at most: their bounds are compared in one expression.
-MOST_RANGES = 2048
 
 
 @functools.cache
@@ -120,28 +120,60 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+def _bounds(rows: DataFrame, parts: int) -> list[tuple[int | None, int]]:
+    """At most about `parts` bounds (id, hash), null ids first: quantiles of the ids. An id that fills several ranges, null too, is cut
+    evenly by the hash of the text."""
+    n, empty = rows.agg(F.count("*"), F.count_if(F.col("doc_id").isNull())).first()
+    cut = lambda m: [-(2**63) + j * 2**64 // m for j in range(1, m)]
+    found: list[tuple[int | None, int]] = [(None, h) for h in cut(-(-empty * parts // n) if n else 1)] + [(None, 2**63 - 1)] * (empty > 0)
+    ids = Counter(int(b) for b in rows.where("doc_id is not null").approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts))
+    for i, m in sorted(ids.items()):
+        found += [(i, h) for h in [*cut(m), 2**63 - 1]]
+    return found
+
+
+def _range(bounds: list[tuple[int | None, int]]) -> F.Column:
+    """The number of bounds below (id, hash of the text)."""
+    first = sum(i is None for i, _ in bounds)
+    ids, hashes = np.array([i for i, _ in bounds[first:]], np.int64), np.array([h for _, h in bounds], np.int64)
+    own = np.unique(ids)
+
+    @F.pandas_udf("int")
+    def part(i: pd.Series, null: pd.Series, h: pd.Series) -> pd.Series:
+        i, null, h = i.to_numpy(), null.to_numpy(), h.to_numpy()
+        out = first + np.searchsorted(ids, i)
+        same = np.searchsorted(ids, i, "right") > out - first
+        for x in np.intersect1d(i[same], own):
+            low, high = np.searchsorted(ids, x), np.searchsorted(ids, x, "right")
+            at = i == x
+            out[at] = first + low + np.searchsorted(hashes[first + low : first + high], h[at])
+        out[null] = np.searchsorted(hashes[:first], h[null])
+        return pd.Series(out.astype(np.int32))
+
+    return part(F.coalesce("doc_id", F.lit(0).cast("long")), F.col("doc_id").isNull(), F.xxhash64("text"))
+
+
 def _dealt(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows beside the next row by id, after the last the first; null ids first, equal ids by text.
+    """Rows beside the next row by id, after the last the first; null ids first, equal ids by the hash of the text.
 
-    One shuffle of the texts: rows are dealt to ranges of ids of about equal numbers; the least row of a range is also dealt,
-    as a look-ahead, to the range before it. What the driver holds is one bound and one key for each range.
+    One shuffle of the texts: rows are dealt to ranges of about equal numbers, as many as shuffle partitions, each a partition of its own; the
+    least row of a range is also dealt, as a look-ahead, to the range before it. What the driver holds is one bound and one key for each
+    range. Null ids and an id with many texts fill several ranges; equal rows stay together.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    parts = min(MOST_RANGES, max(2, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    bounds = sorted({int(b) for b in rows.where("doc_id is not null").approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts)})
-    part = _range(bounds)
+    bounds = _bounds(rows, max(2, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    placed = rows.withColumn("part", _range(bounds))
     key = F.struct(F.col("doc_id"), F.xxhash64("text").alias("h"))
-    least = {r["part"]: (r["k"]["doc_id"], r["k"]["h"]) for r in rows.groupBy(part.alias("part")).agg(F.min(key).alias("k")).collect()}
+    least = {r["part"]: (r["k"]["doc_id"], r["k"]["h"]) for r in placed.groupBy("part").agg(F.min(key).alias("k")).collect()}
     order = sorted(least)
     before = {p: order[i - 1] for i, p in enumerate(order)}
     # (id, hash) of the least row of each range -> the range before it, whose look-ahead it is
     looked = spark.createDataFrame([(k[0], k[1], before[p]) for p, k in least.items()] or [(None, None, None)], "i long, h long, before int")
-    marked = rows.join(F.broadcast(looked), F.col("doc_id").eqNullSafe(F.col("i")) & (F.xxhash64("text") == F.col("h")), "left")
-    own = F.struct(part.cast("int").alias("part"), F.lit(False).alias("ahead"))
+    marked = placed.join(F.broadcast(looked), F.col("doc_id").eqNullSafe(F.col("i")) & (F.xxhash64("text") == F.col("h")), "left")
+    own = F.struct("part", F.lit(False).alias("ahead"))
     both = marked.select("doc_id", "text", F.when(F.col("before").isNotNull(), F.array(own, F.struct(F.col("before").alias("part"), F.lit(True).alias("ahead")))).otherwise(F.array(own)).alias("to"))
-    dealt = both.select("doc_id", "text", F.inline("to")).repartition(F.col("part")).sortWithinPartitions("part", "ahead", "doc_id", F.xxhash64("text"))
-    return dealt
+    return both.select("doc_id", "text", F.inline("to")).repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part", "ahead", "doc_id", F.xxhash64("text"))
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, list]]:
@@ -171,18 +203,6 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return _dealt(docs, id_col, text_col).mapInArrow(run, "doc_id long, text string, next_text string")
 
 
-def _range(bounds: list[int]) -> F.Column:
-    """The number of bounds below the id, by nested comparisons."""
-
-    def pick(low: int, high: int) -> F.Column:
-        if low == high:
-            return F.lit(low)
-        mid = (low + high) // 2
-        return F.when(F.col("doc_id") <= F.lit(bounds[mid]), pick(low, mid)).otherwise(pick(mid + 1, high))
-
-    return F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(pick(0, len(bounds)))
-
-
 def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_chars, edited_text, fingerprint, edited_fingerprint, near_edited, near_next), a row for each row of docs.
 

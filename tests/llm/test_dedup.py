@@ -214,6 +214,35 @@ def test_next_and_edited_texts(spark):
     assert one["edited_text"] == "abab" and one["near_next"] == 1.0
 
 
+def test_null_and_hot_ids_fill_several_ranges(spark):
+    """Every row once, ids in order, in one cycle, over more ranges than there are distinct ids."""
+    rows = [(None, f"n{k}") for k in range(60)] + [(7, f"h{k}") for k in range(60)] + [(k, f"t{k}") for k in range(100, 130)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    bounds = prefix._bounds(docs, 8)
+    assert len({i for i, _ in bounds if i is None}) == 1 and sum(i is None for i, _ in bounds) >= 3 and sum(i == 7 for i, _ in bounds) >= 3
+    got = prefix.with_next(docs, "doc_id", "text").collect()
+    by, ids = {r["text"]: r["next_text"] for r in got}, {t: i for i, t in rows}
+    assert len(got) == len(rows) and by.keys() == set(by.values()) == ids.keys()
+    start = next(t for t in by if ids[by[t]] is None and ids[t] is not None)
+    seen, at = [], by[start]
+    for _ in rows:
+        seen.append(at)
+        at = by[at]
+    assert len(set(seen)) == len(rows) and [ids[t] is None for t in seen] == [True] * 60 + [False] * 90
+    assert [ids[t] for t in seen[60:]] == sorted(ids[t] for t in seen[60:])
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text("ab", max_size=60), st.text("ab", max_size=60), st.text("abc", max_size=30))
+def test_likeness_by_brute_force(head, tail, middle):
+    a, b = head + tail, head + middle + tail
+    p = next(k for k in range(len(a) + 1) if a[: k + 1] != b[: k + 1] or k == min(len(a), len(b)))
+    s = next(k for k in range(len(a) + 1) if a[len(a) - k - 1 :] != b[len(b) - k - 1 :] or k == min(len(a), len(b)))
+    step = lambda n: max([0, *(int(g) for g in prefix.GRID if g <= n)])
+    want = 1.0 if a == b else min(step(p) + step(s), len(a), len(b)) / max(len(a), len(b))
+    assert prefix.likeness(prefix.fingerprint(a), prefix.fingerprint(b)) == pytest.approx(want)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text("abé😀", max_size=40), st.text("abé😀", max_size=40), st.data())
 def test_common_extension(a, b, data):
