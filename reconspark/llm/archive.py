@@ -223,9 +223,9 @@ def arc_to_warc(spark: SparkSession, arc_path: str, warc_path: str, least: int =
     _write(joined.select("place", "version", "page_id", original.alias("original"), "record").mapInArrow(run, "value binary"), warc_path)
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each record: its identifiers, type, address, time, digests and sizes. Payload size of a revisit: as its head says."""
-    schema = "record_id string, record_type string, page_id long, url string, captured string, payload_bytes long, payload_digest string, refers_to_record string, refers_to long, block binary"
+def read_warc(spark: SparkSession, path: str, with_block: bool = True) -> DataFrame:
+    """A row for each record: its identifiers, type, address, time, digests, sizes and on request block. Payload size of a revisit: as its head says."""
+    schema = "record_id string, record_type string, page_id long, url string, captured string, payload_bytes long, payload_digest string, refers_to_record string, refers_to long" + ", block binary" * with_block
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -239,10 +239,10 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                     size = len(payload) if f["warc-type"] == "response" else int(http["content-length"])
                     to, page = f.get("x-refers-to-page-id"), http.get("x-page-id", "")
                     digest = base64.b32decode(f["warc-payload-digest"].removeprefix("sha1:")).hex()
-                    rows.append((f["warc-record-id"], f["warc-type"], int(page) if page else None, f["warc-target-uri"], f["warc-date"], size, digest, f.get("warc-refers-to"), int(to) if to else None, block))
+                    rows.append((f["warc-record-id"], f["warc-type"], int(page) if page else None, f["warc-target-uri"], f["warc-date"], size, digest, f.get("warc-refers-to"), int(to) if to else None, block)[: 9 + with_block])
                 if rows:
                     kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[c.split()[0] for c in schema.split(", ")])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=False)], names=[c.split()[0] for c in schema.split(", ")])
 
     return _archives(spark, path).mapInArrow(run, schema)
 
@@ -257,4 +257,4 @@ def archive_round_trip(pages: DataFrame, least: int = 1000) -> DataFrame:
     write_arc(pages, f"{scratch.path}/arc")
     arc_to_warc(spark, f"{scratch.path}/arc", f"{scratch.path}/warc", least)
     scratch.drop("arc")
-    return read_warc(spark, f"{scratch.path}/warc")
+    return read_warc(spark, f"{scratch.path}/warc", with_block=False)

@@ -7,6 +7,7 @@ and around each hit the distance of the whole item to the best-fitting stretch i
 
 from __future__ import annotations
 
+import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -22,6 +23,8 @@ from reconspark.llm.common import mixed
 
 WORD = re.compile(r"\w+")
 SHARE, LONGEST_PIECE, ITEMS_AT_ONCE, FILTER_BITS = 0.2, 4, 20_000, 22
+#: Bytes that the bit masks of a block's items take at most, but for a single item of more.
+MASK_BYTES = 64 << 20
 
 
 class Hashes(dict):
@@ -145,13 +148,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, id
     """(doc_id, item_id, budget, distance, first_word, n_words): a row for each document and item it holds.
 
     An item is held if a stretch of the document's words differs from it by at most share of its words (inserted, dropped
-    or replaced). Items are a stated query set: they are read in blocks of about `items_at_once`, each compared with all documents, so
-    what a task holds is bounded. Null and wordless items and documents match nothing; repeated documents repeat their
+    or replaced). Items are a stated query set: they are read in blocks of about `items_at_once` and of about MASK_BYTES (an item's masks grow
+    with the square of its words), each compared with all documents, so what a task holds is bounded. Null and wordless items and documents match nothing; repeated documents repeat their
     rows; repeated items with one id count as one text each. Other columns are not read.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
-    blocks = max(1, -(-items.count() // items_at_once))
+    words = F.size(F.split("text", "\\s+")).cast("double")
+    many, masks = items.agg(F.count("*"), F.coalesce(F.sum(words * words / 4), F.lit(0.0))).first()
+    blocks = max(1, -(-many // items_at_once), math.ceil(masks / MASK_BYTES))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     parts = []
     for block in range(blocks):

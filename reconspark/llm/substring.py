@@ -1,10 +1,10 @@
-"""Repeated passages by relative Lempel-Ziv parsing over anchored reference blocks.
+"""Repeated passages by hashed blocks and windows, in place of a greedy relative Lempel-Ziv parse.
 
-Every document is cut into blocks whose borders depend on content alone, and every block of the corpus is indexed as a
-reference. Parsing a document against that index is then a join: maximal runs of blocks that an earlier document holds are
-the long factors. A factor usually starts and ends inside a block, so the blocks at its borders, which share their anchor
-with other blocks but not their whole content, are compared window by window. Both steps together give exactly the
-windows that also start in a document with a smaller id.
+A greedy parse reads its reference in sequence, and a passage that a third of all documents share would be read against all of
+them; so no factor is formed or extended here. Every document is cut into blocks whose borders depend on content alone, and every block of
+the corpus is indexed as a reference. Blocks that an earlier document holds whole are found by a join of their hashes. A repeated
+passage usually starts and ends inside a block, so blocks that share their anchor with other blocks but not their whole content
+are compared window by window. Both steps together give exactly the windows that also start in a document with a smaller id.
 
 Blocks: of the ``window - anchor + 1`` word ``anchor``-grams in a window the one with the least hash is its anchor; the
 neighbouring windows with one anchor hash are a block. Equal windows have equal anchor hashes, whatever stands around them.
