@@ -25,16 +25,22 @@ def complete(rows: DataFrame, group: list[str], prefix: Column, full: str) -> Da
     return rows.withColumn("__p", prefix).join(lone, [*group, "__p"], "left").drop("__p")
 
 
-def longest_unique(texts: DataFrame, keys: DataFrame, text: str, key: str, ids: list[str], grams: int = 4) -> DataFrame:
-    """ids, key: the longest key that a text (a name, an address) contains, if no other key of that length is in it.
+def _parts(text: Column, lengths: Column) -> Column:
+    """Every different part of a text that has one of these lengths."""
+    of = lambda n: F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, n))
+    return F.array_distinct(F.flatten(F.transform(F.filter(lengths, lambda n: (n > 0) & (n <= F.length(text))), of)))
 
-    A key is offered to a text only where its first characters stand: runs of `grams` characters of texts are joined to the
-    beginnings of keys by equality, so nothing is compared with everything. Shorter keys are not matched.
-    """
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - grams + 1, F.lit(1))), lambda i: F.substring(F.col(text), i, F.lit(grams)))
-    spots = texts.select(*ids, text, F.explode(F.array_distinct(runs)).alias("__gram"))
-    offered = keys.where(F.length(key) >= grams).select(key).distinct().withColumn("__gram", F.substring(key, 1, grams))
-    met = spots.join(offered, "__gram").where(F.col(text).contains(F.col(key)))
+
+def _held(texts: DataFrame, keys: DataFrame, text: str, key: str) -> DataFrame:
+    """texts with each of the keys that they contain, by equality: texts offer their parts of all lengths that keys have. The lengths are
+    one row, at most as many as a text has characters."""
+    lengths = keys.agg(F.collect_set(F.length(key)).alias("__lengths"))
+    return texts.join(F.broadcast(lengths)).withColumn(key, F.explode(_parts(F.col(text), F.col("__lengths")))).drop("__lengths").join(keys, key)
+
+
+def longest_unique(texts: DataFrame, keys: DataFrame, text: str, key: str, ids: list[str]) -> DataFrame:
+    """ids, key: the longest key that a text (a name, an address) contains, if no other key of that length is in it."""
+    met = _held(texts.select(*ids, text), keys.where(F.length(key) > 0).select(key).distinct(), text, key)
     found = met.groupBy(*ids, F.length(key).alias("__len")).agg(F.min(key).alias("__low"), F.max(key).alias("__high"))
     best = found.groupBy(*ids).agg(F.max(F.struct("__len", "__low", "__high")).alias("x"))
     return best.where("x.__low = x.__high").select(*ids, F.col("x.__low").alias(key))
@@ -44,11 +50,8 @@ def match_files(files: DataFrame, codes: DataFrame, file: str, ids: list[str], c
     """ids, code: the code that a file name holds as a whole; longest first, none if two equally long ones fit."""
     keys = codes.where(X.value(code).isNotNull()).select(code).distinct().select(code, X.key(code).alias("__key")).withColumn("__pattern", X.lone_key_pattern(F.col("__key")))
     names = files.withColumn("__value", F.regexp_replace(X.value(file), X.EXTENSIONS, "")).withColumn("__compact", F.regexp_replace("__value", "(?U)\\s+", "")).where("__compact is not null")
-    spots = names.select(*ids, "__value", "__compact", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("__compact")), lambda i: F.substring(F.col("__compact"), i, F.lit(2))))).alias("__gram"))
-    met = spots.join(keys.withColumn("__gram", F.substring("__key", 1, 2)), "__gram").where(F.col("__compact").contains(F.col("__key")) & F.call_function("rlike", F.col("__value"), F.col("__pattern")))
-    single = names.join(keys.where(F.length("__key") == 1), F.col("__compact").contains(F.col("__key"))).where(F.call_function("rlike", F.col("__value"), F.col("__pattern")))
-    both = met.select(*ids, code, "__key").unionByName(single.select(*ids, code, "__key"))
-    sized = both.groupBy(*ids, F.length("__key").alias("__len")).agg(F.min(code).alias("__low"), F.max(code).alias("__high"))
+    met = _held(names.select(*ids, "__value", "__compact"), keys, "__compact", "__key").where(F.call_function("rlike", F.col("__value"), F.col("__pattern")))
+    sized = met.groupBy(*ids, F.length("__key").alias("__len")).agg(F.min(code).alias("__low"), F.max(code).alias("__high"))
     return sized.groupBy(*ids).agg(F.max(F.struct("__len", "__low", "__high")).alias("x")).where("x.__low = x.__high").select(*ids, F.col("x.__low").alias(code))
 
 

@@ -45,10 +45,14 @@ def type_pages(ocr: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
     head = _words(ocr).where(F.col("y") < F.col("h") * 0.17).groupBy("photo_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y", "x", "text"))), lambda w: w["text"]), " ").alias("__head"))
     p = p.join(head, "photo_id", "left")
     p = p.join(fields.codes_under_labels(ocr).withColumnRenamed("field", "__below"), "photo_id", "left").join(fields.title_codes(ocr), "photo_id", "left").join(fields.iul_bodies(ocr), "photo_id", "left")
+    # Rows matter only where nothing but rows is missing.
+    maybe = ocr.where(looks_like_inventory(F.col("text"), F.lit(True)) & ~looks_like_inventory(F.col("text"), F.lit(False)))
+    parsed = inventory_rows(maybe, maybe.select("photo_id", F.lit(INVENTORY_KIND).alias("kind"))).select("photo_id").distinct().withColumn("__rows", F.lit(True))
+    p = p.join(parsed, "photo_id", "left")
     p = p.withColumn("legacy", X.page_code(t)).withColumn("__inline", inline_code(t)).withColumn("field", F.coalesce("__inline", "__below"))
     fits = F.col("__inline").isNotNull() | F.col("legacy").isNull() | (~F.col("field").contains(" ") & X.key("field").contains(X.key("legacy")))
     p = p.withColumn("code", F.when(F.col("field").isNotNull() & fits, X.code_value("field")).otherwise(F.coalesce("legacy", "token", "code_hint")))
-    p = p.withColumn("is_inventory", classify.choose(F.col("selected"), F.col("manual"), looks_like_inventory(t, F.lit(False))))
+    p = p.withColumn("is_inventory", classify.choose(F.col("selected"), F.col("manual"), looks_like_inventory(t, F.coalesce("__rows", F.lit(False)))))
     kind = classify.cascade([(F.col("is_inventory"), INVENTORY_KIND), (looks_like_iul(t), IUL), (X.fold(t).contains("ФРАГМЕНТ"), FRAGMENT_TITLE), (X.fold(t).contains("КНИГА") & F.col("code").isNotNull(), TITLE)], UNKNOWN_KIND)
     refused = F.coalesce(~F.col("selected"), F.lit(False))
     p = p.withColumn("kind", kind)
@@ -73,9 +77,12 @@ def type_pages(ocr: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
 
 
 def apply_readings(pages: DataFrame, readings: DataFrame) -> DataFrame:
-    """Readings (photo_id, field, value) replace page fields even where they are null; `Pages` readings are dropped."""
+    """Readings (photo_id, field, value) replace page fields even where they are null; `Pages` readings are dropped.
+
+    Of several readings of a field the last by `seq`, where there is such a column, else the greatest value counts."""
     fields = {"crc": ("CRC", "string"), "page": ("Page", "int"), "revision": ("Revision", "int")}
-    one = lambda c: F.max_by(F.struct(F.col("value").alias("v")), F.when(F.col("field") == fields[c][0], 1)).alias(f"__{c}")
+    order = F.struct(*(c for c in ("seq", "value") if c in readings.columns))
+    one = lambda c: F.max_by(F.struct(F.col("value").alias("v")), F.when(F.col("field") == fields[c][0], order)).alias(f"__{c}")
     wide = readings.where("field <> 'Pages'").groupBy("photo_id").agg(*(one(c) for c in fields))
     read = lambda c: F.when(F.col(f"__{c}").isNotNull(), F.col(f"__{c}.v").try_cast(fields[c][1])).otherwise(F.col(c)).alias(c)
     return pages.join(wide, "photo_id", "left").select(*(read(c) if c in fields else c for c in pages.columns))

@@ -71,17 +71,16 @@ def select_version(candidates: DataFrame, reads: DataFrame, keys: list[str], ver
     return group.select(*keys, pick.alias(version), outcome.alias("outcome"))
 
 
-def with_keyless(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """left joined by key; rows of right without a key go to every row of left.
+def with_keyless(left: DataFrame, right: DataFrame, key: str, salts: int = 32) -> DataFrame:
+    """left joined by key; rows of right without a key go to every row of left, which is what the result holds.
 
-    The keyless side is attached as one array for the whole table, so no rows are crossed until they are wanted; it is meant for
-    the few findings that concern no document.
+    Rows of left are dealt to `salts` numbers, and each keyless row is offered once under each of them, so both joins are by equality.
     """
     names = [c for c in right.columns if c != key]
     keyed = left.join(right.where(F.col(key).isNotNull()), key)
-    loose = right.where(F.col(key).isNull()).agg(F.collect_list(F.struct(*names)).alias("__loose"))
-    every = left.join(F.broadcast(loose)).select(*left.columns, F.inline("__loose"))
-    return keyed.select(*left.columns, *names).unionByName(every)
+    loose = right.where(F.col(key).isNull()).select(*names, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__salt"))
+    every = left.withColumn("__salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")).join(loose, "__salt")
+    return keyed.select(*left.columns, *names).unionByName(every.select(*left.columns, *names))
 
 
 def severity(level: Column, levels: list[str] = LEVELS) -> Column:

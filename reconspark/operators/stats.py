@@ -14,7 +14,11 @@ def upper_median(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def quantile(df: DataFrame, keys: list[str], value: str, share: float) -> DataFrame:
-    return df.groupBy(*keys).agg(F.expr(f"percentile_disc({share}) within group (order by {value})").alias("quantile"))
+    """The least value that a share of its group does not exceed: equal values are counted first, then added up in order."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__n"))
+    w = Window.partitionBy(*keys)
+    run = counts.select(*keys, value, F.sum("__n").over(w.orderBy(value)).alias("__run"), F.sum("__n").over(w).alias("__all"))
+    return run.where(F.col("__run") >= F.ceil(F.col("__all") * share)).groupBy(*keys).agg(F.min(value).alias("quantile"))
 
 
 def line_fit(df: DataFrame, keys: list[str], y: str, x: str) -> DataFrame:

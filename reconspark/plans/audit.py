@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 
 from reconspark.functions import text as X
 from reconspark.operators import fields, forms, identity, pages, reconcile, rules
-from reconspark.schemas import INVENTORY_KIND, IUL, READING, SIGNATURE, TITLE
+from reconspark.schemas import FRAGMENT_TITLE, INVENTORY_KIND, IUL, READING, SIGNATURE, TITLE
 from reconspark.storage import Scratch
 
 
-def audit(ocr: DataFrame, registry: DataFrame | None = None, overrides: DataFrame | None = None, signatures: DataFrame | None = None, readings: DataFrame | None = None) -> rules.Tables:
-    """Types pages, reads inventory rows, completes and binds codes, and readies the tables that rules work on.
+def audit(ocr: DataFrame, registry: DataFrame | None = None, overrides: DataFrame | None = None, signatures: DataFrame | None = None, readings: DataFrame | None = None, seals: DataFrame | None = None) -> rules.Tables:
+    """Types pages, reads inventory rows, binds codes, and readies the tables that rules work on.
 
+    signatures (photo_id, role, name, organization, status, approval): by default the signing rows that are read off the pages, whose
+    strokes nobody has looked at. seals (photo_id, status, score): what pixels.seals finds on the scans of titles; without it no
+    seal is judged.
     Typed pages and inventory rows are written tables, so that the many rules that read them start from short plans.
     """
     scratch = Scratch(ocr.sparkSession, "audit")
@@ -29,13 +32,17 @@ def audit(ocr: DataFrame, registry: DataFrame | None = None, overrides: DataFram
         typed = typed.join(kept, "photo_id", "left")
     else:
         typed = typed.withColumn("readings", F.lit(None).cast(f"array<{READING}>"))
-    if signatures is not None:
-        typed = typed.join(signatures.groupBy("photo_id").agg(F.collect_list(F.struct("role", "name", "organization", "status", "approval")).alias("signatures")), "photo_id", "left")
+    if signatures is None:
+        signatures = forms.roles(ocr, typed)
+    signed = signatures.groupBy("photo_id").agg(F.array_sort(F.collect_list(F.struct("role", "name", "organization", "status", "approval"))).alias("signatures"))
+    looked = F.col("kind").isin(TITLE, IUL, FRAGMENT_TITLE)
+    typed = typed.join(signed, "photo_id", "left").withColumn("signatures", F.when(looked, F.coalesce("signatures", F.array().cast(f"array<{SIGNATURE}>"))))
+    if seals is not None:
+        typed = typed.join(seals.select("photo_id", F.struct("status", F.col("score").cast("double").alias("score")).alias("seal")), "photo_id", "left")
     else:
-        typed = typed.withColumn("signatures", F.lit(None).cast(f"array<{SIGNATURE}>"))
-    typed = typed.withColumn("seal", F.lit(None).cast("struct<status:string,score:double>"))
+        typed = typed.withColumn("seal", F.lit(None).cast("struct<status:string,score:double>"))
     typed = typed.join(forms.fragment_checksums(ocr), "photo_id", "left")
-    return rules.Tables(scratch.save(typed, "pages"), rows, registry)
+    return rules.Tables(scratch.save(typed, "pages"), rows, registry).settled(scratch)
 
 
 def bind_codes(typed: DataFrame, rows: DataFrame) -> DataFrame:
@@ -61,9 +68,10 @@ def counters(t: rules.Tables) -> DataFrame:
 def recheck(ocr: DataFrame, again: DataFrame, selected: DataFrame) -> DataFrame:
     """Pages read again replace the earlier reading if they score at least as well; all others stay byte for byte.
 
-    ocr, again: photo_id and schemas.OCR; again may have several readings a page. selected: photo_id.
+    ocr, again: photo_id and schemas.OCR; again may have several readings a page, of equally good ones the new, then the first by text
+    counts. selected: photo_id.
     """
     both = ocr.join(selected.select("photo_id").distinct(), "photo_id", "left_semi").withColumn("__new", F.lit(0)).unionByName(again.join(selected.select("photo_id").distinct(), "photo_id", "left_semi").withColumn("__new", F.lit(1)))
-    both = both.withColumn("__rank", -(X.score("text") * 2 + F.col("__new"))).withColumn("__seq", F.monotonically_increasing_id())
-    best = reconcile.first_wins(both, ["photo_id"], ["__rank", "__seq"]).drop("__new", "__rank", "__seq")
+    both = both.withColumn("__rank", -(X.score("text") * 2 + F.col("__new")))
+    best = reconcile.first_wins(both, ["photo_id"], ["__rank", "text"]).drop("__new", "__rank")
     return reconcile.replace_subset(ocr, best, ["photo_id"])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from reconspark.functions import text as X
 from reconspark.operators import classify, consensus, evaluate, geometry, identity, reconcile, stats
+from reconspark.plans import known
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -67,13 +68,13 @@ def best_sample(t):
     return consensus.best_sample(samples, ["user_id"], "event_type", "score", never="error")
 
 
-@query("""with p as (select p_partkey, p_brand, p_size, regexp_replace(upper(p_name), '[^A-Z0-9]', '', 'g') c from part)
-select a.p_partkey as left_key, b.p_partkey as right_key from p a join p b on a.p_brand = b.p_brand and a.p_size = b.p_size and a.p_partkey < b.p_partkey
+@query("""with p as (select p_partkey, regexp_replace(upper(p_name), '[^A-Z0-9]', '', 'g') c from part)
+select a.p_partkey as left_key, b.p_partkey as right_key from p a join p b on b.p_partkey = a.p_partkey + 1
 where least(length(a.c), length(b.c)) >= 4 and levenshtein(a.c, b.c)::double / greatest(length(a.c), length(b.c)) > 0.28""")
 def name_mismatch(t):
-    a = t("part").select(F.col("p_partkey").alias("left_key"), "p_brand", "p_size", F.col("p_name").alias("a"))
-    b = t("part").select(F.col("p_partkey").alias("right_key"), "p_brand", "p_size", F.col("p_name").alias("b"))
-    return a.join(b, ["p_brand", "p_size"]).where((F.col("left_key") < F.col("right_key")) & X.different("a", "b")).select("left_key", "right_key")
+    a = t("part").select(F.col("p_partkey").alias("left_key"), (F.col("p_partkey") + 1).alias("right_key"), F.col("p_name").alias("a"))
+    b = t("part").select(F.col("p_partkey").alias("right_key"), F.col("p_name").alias("b"))
+    return a.join(b, "right_key").where(X.different("a", "b")).select("left_key", "right_key")
 
 
 @query("select doc_id, nullif(regexp_extract(text, '([0-9]{3})-?([0-9]{2})', 0), '') as code from documents")
@@ -131,7 +132,7 @@ def lines_explode(t):
 
 @query(r"""with c as (select distinct unnest([regexp_extract(url, '//([^/]+)', 1), regexp_extract(url, '//[^/]+(/[^?#]*)', 1)]) as code from pages),
 m as (select page_id, code, rank() over (partition by page_id order by length(code) desc) r, count(*) over (partition by page_id, length(code)) n
-  from pages join c on length(code) >= 4 and contains(url, code))
+  from pages join c on length(code) > 0 and contains(url, code))
 select page_id, code from m where r = 1 and n = 1""")
 def longest_unique_match(t):
     pages = t("pages")
@@ -218,12 +219,12 @@ def code_completion(t):
     return identity.complete(rows, ["p_brand", "p_size"], F.substring_index("p_name", " ", 1), "p_name").select("p_partkey", "completed")
 
 
-@query(r"""with c as (select c_custkey, c_nationkey n, 'KEY' || c_custkey a from customer), s as (select s_suppkey, s_nationkey n, 'KEY' || s_suppkey b from supplier)
-select c_custkey, s_suppkey from c join s using (n) where levenshtein(a, b)::double / greatest(length(a), length(b)) > 0.28""")
+@query(r"""with p as (select o_orderkey, l_linenumber, 'KEY' || o_custkey a, 'KEY' || l_suppkey b from orders join lineitem on l_orderkey = o_orderkey)
+select o_orderkey, l_linenumber from p where levenshtein(a, b)::double / greatest(length(a), length(b)) > 0.28 and least(length(a), length(b)) >= 4""")
 def pair_mismatch(t):
-    c = t("customer").select("c_custkey", F.col("c_nationkey").alias("n"), F.concat(F.lit("KEY"), F.col("c_custkey").cast("string")).alias("a"))
-    s = t("supplier").select("s_suppkey", F.col("s_nationkey").alias("n"), F.concat(F.lit("KEY"), F.col("s_suppkey").cast("string")).alias("b"))
-    return c.join(s, "n").where(X.different("a", "b")).select("c_custkey", "s_suppkey")
+    a = t("orders").select("o_orderkey", F.concat(F.lit("KEY"), F.col("o_custkey").cast("string")).alias("a"))
+    b = t("lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", F.concat(F.lit("KEY"), F.col("l_suppkey").cast("string")).alias("b"))
+    return a.join(b, "o_orderkey").where(X.different("a", "b")).select("o_orderkey", "l_linenumber")
 
 
 @query("""select n_nationkey, r_name from nation join region on n_regionkey = r_regionkey where r_regionkey < 3
@@ -364,9 +365,9 @@ def row_cluster(t):
 
 
 @query("""select o_orderkey, cast(case o_orderpriority when '1-URGENT' then 0 when '2-HIGH' then 1 when '3-MEDIUM' then 2 when '4-NOT SPECIFIED' then 3 else 4 end as int) as severity
-from orders order by severity, o_orderkey limit 100""")
+from orders order by severity, o_orderkey""")
 def severity_sort(t):
-    return t("orders").select("o_orderkey", reconcile.severity(F.col("o_orderpriority"), PRIORITIES).alias("severity")).orderBy("severity", "o_orderkey").limit(100)
+    return t("orders").select("o_orderkey", reconcile.severity(F.col("o_orderpriority"), PRIORITIES).alias("severity")).orderBy("severity", "o_orderkey")
 
 
 @query("select s_suppkey, regexp_full_match(regexp_extract(s_name, '^([A-Za-z]+)', 1), '[A-Za-z][A-Za-z -]*') as valid from supplier")
@@ -412,5 +413,9 @@ def summary_metrics(t):
     return _findings(t).groupBy("level", "topic").agg(F.count("*").alias("findings"), F.count_distinct("code").alias("documents"))
 
 
+for _made, _sql in known.QUERIES.values():
+    query(_sql)(_made)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["findings_union"](spark, sf_dir)
+    return QUERIES["rule_findings"](spark, sf_dir)

@@ -49,7 +49,28 @@ def test_title_and_iul_disagree(spark):
 
 
 def test_title_and_iul_agree(spark):
-    assert "Название книги в ИУЛ" not in topics(audit.audit(frame(spark, [page(1, TITLE), page(2, iul("Шумозащитные экраны"))])), rules.book_names)
+    # No signing rows can be read off the sheet; nothing else is wrong.
+    assert topics(audit.audit(frame(spark, [page(1, TITLE), page(2, iul("Шумозащитные экраны"))]))).keys() == {"Подписная таблица не распознана"}
+
+
+def test_signing_rows_are_read_and_seals_judged(spark):
+    """R19 and R22 in the audit itself: a sheet with a signing row is not reported, a title with a weak seal is."""
+    signed = json.loads(page(2, iul("Шумозащитные экраны"))[1])
+    signed["lines"].append({"text": "Нормоконтроль Иванов", "words": [word("Нормоконтроль", 60, 900), word("Иванов", 420, 900)]})
+    seals = spark.createDataFrame([(1, "Круглая форма не найдена", 0.4)], "photo_id int, status string, score double")
+    t = audit.audit(frame(spark, [page(1, TITLE), (2, json.dumps(signed, ensure_ascii=False))]), seals=seals)
+    found = topics(t, rules.page_rules)
+    assert found["Печать на титуле"]["photos"] == [1] and "Подписная таблица не распознана" not in found
+    assert found["Подписи: проверка отдельных строк"]["photos"] == [2]
+    unseen = rules.Tables(t.pages.withColumn("signatures", F.lit(None).cast(dict(t.pages.dtypes)["signatures"])), t.inventory)
+    assert not {"Подписная таблица не распознана", "Подписи: проверка отдельных строк", "Титул фрагмента"} & topics(unseen, rules.page_rules).keys()
+
+
+def test_inventory_without_heading_words(spark):
+    """Columns of an inventory and rows that can be read make a page an inventory, though its text names no code."""
+    ws = [word("123-45-6789-", 260, 600), word("ИЛО3.7.1", 260, 630)]
+    row = (1, json.dumps({"file": "a", "text": "Шифр Наименование", "language": "ru", "width": W, "height": H, "lines": [{"text": "x", "words": ws}]}, ensure_ascii=False))
+    assert audit.audit(frame(spark, [row])).pages.first()["kind"] == "Опись"
 
 
 def test_inventory_page(spark):
