@@ -227,6 +227,10 @@ def wide_links(classes: DataFrame, lanes: int, radius: int, distinct: int, scrat
     else:
         entries = entries.withColumn("part", F.lit(0).cast("long"))
     met = scratch.save(meetings(entries, lanes, radius), "met")
+    # A member that met several first ones keeps the least, and the others are linked to that: few of them are distinct.
+    least = scratch.save(met.groupBy("x").agg(F.min("y").alias("least")), "least")
+    others = met.join(least, "x").where("y <> least").select(F.col("y").alias("x"), F.col("least").alias("y")).distinct()
+    met = scratch.save(least.select("x", F.col("least").alias("y")).union(others), "spanning")
     names = numbered.select("num", "rep")
     return met.join(names.withColumnsRenamed({"num": "x", "rep": "a"}), "x").join(names.withColumnsRenamed({"num": "y", "rep": "b"}), "y").select("a", "b")
 
