@@ -13,7 +13,7 @@ from reconspark.schemas import FRAGMENT_TITLE, INVENTORY_KIND, IUL, TITLE, UNKNO
 from reconspark.storage import Scratch
 
 GRAVE, CHECK, NOTE = reconcile.LEVELS
-# Organisations that rules name, roles, and the limit of seal evidence.
+# Topics (in the rules below), organisations that rules name, roles, and the limit of seal evidence.
 MAKER, DESIGNER = "Росжелдорпроект", "Ленгипротранс"
 CHIEF, PROJECT_CHIEF = "Главный инженер", "Главный инженер проекта"
 SEAL_LIMIT, VERIFIED = 0.60, "Найдены"
@@ -74,29 +74,29 @@ def merge_inventory(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 def inventory_conflicts(t: Tables) -> list[DataFrame]:
     """R1, R2."""
     return [
-        finding(t.box_conflicts, CHECK, "code", "Разные номера короба в описи", F.concat("values", F.lit(". Номер короба автоматически не переносится.")), F.col("photos")),
-        finding(t.kind_conflicts, CHECK, "code", "Разные виды документации в описи", F.concat("values", F.lit(". Вид документации автоматически не переносится.")), F.col("photos")),
+        finding(t.box_conflicts, CHECK, "code", "Разные номера короба в описи", F.concat("values", F.lit(". Короб не заносится в реестр, пока номер не выбран.")), F.col("photos")),
+        finding(t.kind_conflicts, CHECK, "code", "Разные виды документации в описи", F.concat("values", F.lit(". Вид не заносится в реестр, пока он не выбран.")), F.col("photos")),
     ]
 
 
 def unread_inventory(t: Tables) -> list[DataFrame]:
     """R3."""
     empty = t.pages.where(F.col("kind") == INVENTORY_KIND).join(t.inventory.select("photo_id"), "photo_id", "left_anti")
-    return [finding(empty, CHECK, F.lit(None).cast("string"), "Строки описи не распознаны", F.lit("Страница определена как опись, но строки с шифрами томов не извлечены. Откройте фотографию и проверьте качество распознавания."), F.array("photo_id"))]
+    return [finding(empty, CHECK, F.lit(None).cast("string"), "Строки описи не распознаны", F.lit("Лист отнесён к описям, но ни одного шифра на нём не прочитано: нужен более чёткий снимок."), F.array("photo_id"))]
 
 
 def missing_volumes(t: Tables) -> list[DataFrame]:
     """R4; silent where all pages are inventory."""
     other = t.pages.agg(F.count_if(F.col("kind") != INVENTORY_KIND).alias("__others"))
     gone = t.merged.join(t.groups.select("code"), "code", "left_anti").join(F.broadcast(other)).where("__others > 0")
-    return [finding(gone, CHECK, "code", "Нет фотографий тома", F.lit("Том указан в распознанной описи, но его титулы и ИУЛ не найдены среди загруженных изображений."), F.array("photo_id"))]
+    return [finding(gone, CHECK, "code", "Нет фотографий тома", F.lit("Опись называет этот шифр, а листов с ним в наборе нет."), F.array("photo_id"))]
 
 
 def book_numbers(t: Tables) -> list[DataFrame]:
     """R5."""
     read = t.titles.union(t.iuls).where("book_number is not null").groupBy("code").agg(F.min("book_number").alias("low"), F.max("book_number").alias("high"), F.count("*").alias("n"), F.array_sort(F.collect_list("photo_id")).alias("p"))
     bad = read.where("low = high").join(t.expected.select("code", "inv_number", "inv_photo"), "code").where("inv_number <> low")
-    detail = F.concat(F.lit("Опись: книга "), F.col("inv_number").cast("string"), F.lit(". Титульные листы и ИУЛ: книга "), F.col("low").cast("string"), F.lit("."))
+    detail = F.concat(F.lit("В описи книга "), F.col("inv_number").cast("string"), F.lit(", на листах комплекта книга "), F.col("low").cast("string"))
     return [finding(bad, F.when(F.col("n") >= 2, GRAVE).otherwise(CHECK), "code", "Номер книги в описи / комплекте", detail, F.concat("p", F.array("inv_photo")))]
 
 
@@ -105,10 +105,10 @@ def book_names(t: Tables) -> list[DataFrame]:
     named = t.iuls.where("book is not null").join(t.expected, "code").where(F.col("expected").isNotNull() & X.different("expected", "book"))
     by = named.groupBy("code", "expected", "inv_photo", F.get("titles", F.lit(0)).alias("title")).agg(F.array_sort(F.collect_list(F.struct("photo_id", "book"))).alias("all"))
     names = F.array_join(F.array_distinct(F.transform("all", lambda x: x["book"])), "»; «")
-    detail = F.concat(F.lit("Опись / титул: «"), F.col("expected"), F.lit("». ИУЛ: «"), names, F.lit("». Сравните фрагменты фотографий."))
+    detail = F.concat(F.lit("Ожидалось «"), F.col("expected"), F.lit("», в листе стоит «"), names, F.lit("»"))
     six = finding(by, GRAVE, "code", "Название книги в ИУЛ", detail, F.concat(F.transform("all", lambda x: x["photo_id"]), F.array(F.coalesce("inv_photo", "title"))))
     title = t.titles.where("book is not null").join(t.expected, "code").where(F.col("expected").isNotNull() & X.different("expected", "book"))
-    detail = F.concat(F.lit("Опись: «"), F.col("expected"), F.lit("». Титул: «"), F.col("book"), F.lit("». Возможна ошибка OCR."))
+    detail = F.concat(F.lit("Ожидалось «"), F.col("expected"), F.lit("», на титуле прочитано «"), F.col("book"), F.lit("»"))
     return [six, finding(title, CHECK, "code", "Название на титуле", detail, F.array("photo_id", "inv_photo"))]
 
 
@@ -117,7 +117,7 @@ def chiefs(t: Tables) -> list[DataFrame]:
     a = t.titles.where((F.col("organization") == DESIGNER) & F.col("chief").isNotNull()).select("code", "organization", F.col("chief").alias("a"), F.col("photo_id").alias("p"))
     b = t.iuls.where("chief is not null and (book is not null or crc is not null)").select("code", "organization", F.col("chief").alias("b"), F.col("photo_id").alias("q"))
     bad = a.join(b, ["code", "organization"]).where(X.different("a", "b"))
-    return [finding(bad, GRAVE, "code", "Главный инженер: титул / ИУЛ", F.concat(F.lit("Титул: "), F.col("a"), F.lit(". ИУЛ: "), F.col("b"), F.lit(". Подписанты распознаны по строке «Главный инженер» на основной странице ИУЛ.")), F.array("p", "q"))]
+    return [finding(bad, GRAVE, "code", "Главный инженер: титул / ИУЛ", F.concat(F.lit("На титуле "), F.col("a"), F.lit(", в листе "), F.col("b")), F.array("p", "q"))]
 
 
 def checksums(t: Tables) -> tuple[list[DataFrame], DataFrame]:
@@ -127,14 +127,14 @@ def checksums(t: Tables) -> tuple[list[DataFrame], DataFrame]:
     named = sums.where(F.col("sum").rlike("^[0-9A-F]{1,8}$")).select("code", X.fragment("file").try_cast("int").alias("number"), X.pad8(F.col("sum")).alias("sum"), "row").where("number is not null")
     lone = named.groupBy("code", "number").agg(F.min("sum").alias("low"), F.max("sum").alias("sum"), F.min("row").alias("row")).where("low = sum")
     bound = parts.where("number is not null").join(lone, ["code", "number"])
-    bad = bound.where("read <> sum").groupBy("code").agg(F.array_sort(F.collect_set(F.concat(F.lit("Фрагмент "), F.col("number").cast("string"), F.lit(": ИУЛ "), F.col("read"), F.lit("; Excel "), F.col("sum"), F.lit(" (H"), F.col("row").cast("string"), F.lit(")")))).alias("all"), F.array_sort(F.collect_set("photo_id")).alias("p"))
-    note = ". Суммы сравниваются с конкретным именем фрагмента. Пересчитайте CRC32 исходных файлов, чтобы определить правильный источник."
+    bad = bound.where("read <> sum").groupBy("code").agg(F.array_sort(F.collect_set(F.concat(F.lit("Фрагмент "), F.col("number").cast("string"), F.lit(": в листе "), F.col("read"), F.lit(", в реестре "), F.col("sum"), F.lit(" (строка "), F.col("row").cast("string"), F.lit(")")))).alias("all"), F.array_sort(F.collect_set("photo_id")).alias("p"))
+    note = ". Каждая сумма отнесена к файлу своего фрагмента; верную даст пересчёт по исходному файлу."
     nine = finding(bad, CHECK, "code", "CRC32: привязка к файлам фрагментов", F.concat(F.array_join("all", "; "), F.lit(note)), F.col("p"))
     loose = t.iuls.where("crc is not null").join(bound.select("photo_id").distinct(), "photo_id", "left_anti").select("code", "photo_id", "crc")
     padded = sums.where("sum <> ''").select("code", X.pad8(F.col("sum")).alias("sum"), "row")
     listed = padded.groupBy("code", "sum").agg(F.min("row").alias("row")).groupBy("code").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "sum"))), lambda x: x["sum"]), ", ").alias("listed"))
     checked = reconcile.contained(loose.join(sums.select("code").distinct(), "code", "left_semi"), padded.withColumnRenamed("sum", "member"), ["code"], "crc", "member", "matched").join(listed, "code", "left")
-    detail = F.concat(F.lit("ИУЛ: "), F.col("crc"), F.lit("; Excel: "), F.coalesce("listed", F.lit("")), F.lit(". Подтвердите чтение восьми символов на снимке."))
+    detail = F.concat(F.lit("ИУЛ: "), F.col("crc"), F.lit("; Excel: "), F.coalesce("listed", F.lit("")), F.lit(". Сверьте сумму со снимком."))
     ten = finding(checked.where("not matched"), CHECK, "code", "CRC32 не совпадает", detail, F.array("photo_id"))
     return [nine, ten], checked.select("photo_id", "matched").unionByName(bound.select("photo_id", (F.col("read") == F.col("sum")).alias("matched")))
 
@@ -142,7 +142,7 @@ def checksums(t: Tables) -> tuple[list[DataFrame], DataFrame]:
 def revisions(t: Tables) -> list[DataFrame]:
     """R11."""
     bad = t.iuls.where("revision is not null").join(t.expected.select("code", "inv_revision", "inv_photo"), "code").where("inv_revision <> revision")
-    detail = F.concat(F.lit("Опись: "), F.col("inv_revision").cast("string"), F.lit("; ИУЛ: "), F.col("revision").cast("string"), F.lit(". Номер разрешения не используется как номер изменения."))
+    detail = F.concat(F.lit("В описи изменение "), F.col("inv_revision").cast("string"), F.lit(", в листе изменение "), F.col("revision").cast("string"))
     return [finding(bad, GRAVE, "code", "Номер изменения", detail, F.array("inv_photo", "photo_id"))]
 
 
@@ -154,9 +154,9 @@ def groups(t: Tables) -> list[DataFrame]:
     approved = t.titles.where((F.col("organization") == MAKER) | F.exists(F.coalesce("signatures", F.array()), lambda s: s["approval"] & (s["organization"] == MAKER))).select("code")
     fourteen = t.groups.join(t.iuls.where(F.col("organization") == MAKER).select("code"), "code", "left_semi").join(approved, "code", "left_anti")
     return [
-        finding(twelve, CHECK, "code", "Разные CRC32 на листах ИУЛ", F.concat("values", F.lit(". Возможна ошибка OCR.")), F.col("p")),
-        finding(t.groups.where("iuls = 0"), CHECK, "code", "ИУЛ не найден", F.lit("В группе есть титул, но не найден ИУЛ."), F.col("titles")),
-        finding(fourteen, CHECK, "code", "Титул Росжелдорпроекта не найден", F.lit("Не найден отдельный основной титул изготовителя. Возможна неполная загрузка или ошибка распознавания логотипа."), F.array("first")),
+        finding(twelve, CHECK, "code", "Разные CRC32 на листах ИУЛ", F.concat("values", F.lit(". Одна из сумм могла быть прочитана неверно.")), F.col("p")),
+        finding(t.groups.where("iuls = 0"), CHECK, "code", "ИУЛ не найден", F.lit("У шифра есть титульный лист, а листа с подписями и суммой нет."), F.col("titles")),
+        finding(fourteen, CHECK, "code", "Титул Росжелдорпроекта не найден", F.lit("Среди листов шифра нет титула изготовителя: он не загружен либо не узнан."), F.array("first")),
     ]
 
 
@@ -168,9 +168,9 @@ def roles(t: Tables) -> list[DataFrame]:
     iul = t.iuls.select("code", F.col("photo_id").alias("q"), "organization", F.inline(F.transform("signatures", lambda s: F.struct(s["role"].alias("role"), s["name"].alias("b")))))
     sheets = t.iuls.groupBy("code", "organization").agg(F.min("photo_id").alias("sheet"))
     lacking = title.join(iul.select("code", "organization", "role"), ["code", "organization", "role"], "left_anti").join(iul.select("code", "organization", F.col("b").alias("a")), ["code", "organization", "a"], "left_anti").join(sheets, ["code", "organization"])
-    detail = F.concat(F.lit("На титуле есть «"), F.col("role"), F.lit("», но эта роль не распознана в ИУЛ той же организации: "), F.col("organization"), F.lit("."))
+    detail = F.concat(F.lit("Роль «"), F.col("role"), F.lit("» с титула не встретилась в листе организации "), F.col("organization"))
     met = title.join(iul, ["code", "organization", "role"]).where(X.different("b", "a") & ~((F.col("role") == CHIEF) & (F.col("own") == DESIGNER)))
-    other = F.concat(F.lit("Организация: "), F.col("organization"), F.lit(". Титул: "), F.col("a"), F.lit("; ИУЛ: "), F.col("b"), F.lit(". Проверьте распознанные фамилии одной и той же роли."))
+    other = F.concat("organization", F.lit(": на титуле "), F.col("a"), F.lit(", в листе "), F.col("b"))
     return [finding(lacking, CHECK, "code", "Состав подписантов ИУЛ", detail, F.array("p", "sheet")), finding(met, CHECK, "code", F.concat("role", F.lit(": титул / ИУЛ")), other, F.array("p", "q"))]
 
 
@@ -179,10 +179,10 @@ def section_names(t: Tables) -> list[DataFrame]:
     of = lambda df, value, page: df.select("code", F.col("photo_id").alias(page), F.explode("sections").alias("field", value))
     iul = of(t.iuls.where("book is not null"), "b", "q")
     seventeen = of(t.titles, "a", "p").join(iul, ["code", "field"]).where(X.different("a", "b"))
-    first = F.concat(F.lit("Поле: "), F.col("field"), F.lit(". Титул: «"), F.col("a"), F.lit("»; ИУЛ: «"), F.col("b"), F.lit("». Возможны обрыв строки или ошибка OCR."))
+    first = F.concat("field", F.lit(": на титуле «"), F.col("a"), F.lit("», в листе «"), F.col("b"), F.lit("»"))
     listed = t.expected.select("code", F.col("inv_photo").alias("p"), F.explode("inv_sections").alias("field", "a"))
     eighteen = listed.join(of(t.titles, "b", "q").union(iul.select("code", "q", "field", "b")), ["code", "field"]).where(X.different("a", "b"))
-    second = F.concat(F.lit("Поле: "), F.col("field"), F.lit(". Опись: «"), F.col("a"), F.lit("»; документ: «"), F.col("b"), F.lit("». Проверьте полный заголовок."))
+    second = F.concat("field", F.lit(": в описи «"), F.col("a"), F.lit("», в документе «"), F.col("b"), F.lit("»"))
     return [finding(seventeen, CHECK, "code", "Название раздела / части", first, F.array("p", "q")), finding(eighteen, CHECK, "code", "Раздел / часть: опись и документ", second, F.array("p", "q"))]
 
 
@@ -195,21 +195,21 @@ def page_rules(t: Tables) -> list[DataFrame]:
     cover = bare.alias("x").join(evidence.alias("e"), F.col("x.code").eqNullSafe(F.col("e.code")) & F.col("x.organization").eqNullSafe(F.col("e.organization")) & (F.col("x.photo_id") != F.col("e.other")), "left_semi").select("photo_id")
     seal = p.where((F.col("kind") == TITLE) & (F.col("seal.score") <= SEAL_LIMIT)).join(cover, "photo_id", "left_anti")
     open_ = F.filter("signatures", lambda s: ~s["status"].startswith(VERIFIED))
-    rows = F.array_join(F.transform(open_, lambda s: F.concat(s["role"], F.lit(" ("), F.coalesce(s["name"], F.lit("фамилия не прочитана")), F.lit("): "), s["status"])), "; ")
+    rows = F.array_join(F.transform(open_, lambda s: F.concat(s["role"], F.lit(" ("), F.coalesce(s["name"], F.lit("имя не прочитано")), F.lit("): "), s["status"])), "; ")
     r = p.select("photo_id", "code", F.inline(F.transform("readings", lambda v: F.struct(v["field"].alias("field"), v["value"].alias("value"), v["status"].alias("status"), v["candidates"].alias("candidates"))))).withColumn("label", X.field_label("field"))
     disputed = F.size(F.coalesce("candidates", F.array())) > 0
-    shape = F.concat(F.lit("Windows OCR не прочитал отдельную цифру. По сходству с образцами шрифтов предложено значение «"), F.col("value"), F.lit("». Это предварительное чтение: подтвердите его по увеличенному фрагменту."))
-    two = F.concat(F.lit("Повторные попытки дали разные значения: "), F.array_join("candidates", " / "), F.lit(". Проверьте графу «"), F.col("label"), F.lit("» на увеличенном фрагменте."))
-    none = F.concat(F.lit("Программа не получила значение графы «"), F.col("label"), F.lit("». Поле может быть заполнено на фотографии, даже если OCR его пропустил. Откройте увеличенный фрагмент; это не подтверждённое расхождение."))
+    shape = F.concat(F.lit("Значение «"), F.col("value"), F.lit("» предложено по форме цифр; его следует подтвердить по снимку."))
+    two = F.concat(F.lit("Чтения графы «"), F.col("label"), F.lit("» разошлись: "), F.array_join("candidates", " / "))
+    none = F.concat(F.lit("Графа «"), F.col("label"), F.lit("» не прочитана ни разу; заполнена ли она, видно на снимке."))
     page = F.array("photo_id")
     return [
-        finding(seal, CHECK, "code", "Печать на титуле", F.concat("seal.status", F.lit(". Круговая форма проверяется отдельно от подписных строк; другие формы штампа требуют просмотра.")), page),
-        finding(p.where((F.col("kind") == FRAGMENT_TITLE) & examined & (signed == 0)), NOTE, "code", "Титул фрагмента", F.lit("Дополнительный титул фрагмента: состав подписантов и необходимость отдельного подписания определяются по правилам вашей документации."), page),
-        finding(p.where(F.size(F.coalesce(open_, F.array())) > 0), CHECK, "code", "Подписи: проверка отдельных строк", F.concat(rows, F.lit(". Показаны отдельные ячейки; наличие штрихов не подтверждает подлинность подписи.")), page),
-        finding(p.where((F.col("kind") == IUL) & examined & (signed == 0)), CHECK, "code", "Подписная таблица не распознана", F.lit("Не удалось выделить подписные строки. Отсутствие распознанной таблицы не означает отсутствие подписей."), page),
+        finding(seal, CHECK, "code", "Печать на титуле", F.concat("seal.status", F.lit(". Оценивается только круглый оттиск.")), page),
+        finding(p.where((F.col("kind") == FRAGMENT_TITLE) & examined & (signed == 0)), NOTE, "code", "Титул фрагмента", F.lit("Титул одного из фрагментов без подписных строк; нужны ли они, решают правила комплекта."), page),
+        finding(p.where(F.size(F.coalesce(open_, F.array())) > 0), CHECK, "code", "Подписи: проверка отдельных строк", F.concat(rows, F.lit(". По штрихам не видно, чья это подпись.")), page),
+        finding(p.where((F.col("kind") == IUL) & examined & (signed == 0)), CHECK, "code", "Подписная таблица не распознана", F.lit("Подписных строк на листе прочитать не удалось; это не значит, что подписей нет."), page),
         finding(r.where(F.col("status").startswith("Предложено по форме цифры")), CHECK, "code", F.concat(F.lit("Проверьте чтение: "), F.col("label")), shape, page),
         finding(r.where("value is null"), CHECK, "code", F.concat(F.when(disputed, "Разные результаты чтения: ").otherwise("Не удалось прочитать: "), F.col("label")), F.when(disputed, two).otherwise(none), page),
-        finding(p.where((F.col("kind") == UNKNOWN_KIND) | ((F.col("kind") != INVENTORY_KIND) & F.col("code").isNull())), CHECK, "code", "Документ не распознан уверенно", F.lit("Не удалось определить вид листа или шифр. Снимок сохранён для просмотра."), page),
+        finding(p.where((F.col("kind") == UNKNOWN_KIND) | ((F.col("kind") != INVENTORY_KIND) & F.col("code").isNull())), CHECK, "code", "Документ не распознан уверенно", F.lit("Вид листа или шифр не определены однозначно."), page),
     ]
 
 
