@@ -103,6 +103,29 @@ def labelled_revision(ocr: DataFrame) -> DataFrame:
     return values.groupBy("photo_id").agg(F.when(F.min(n) == F.max(n), F.max(n)).try_cast("int").alias("revision"))
 
 
+def chiefs(ocr: DataFrame, typed: DataFrame) -> DataFrame:
+    """photo_id, chief: the surname beside the role "главный инженер" (not "... проекта"); the topmost role with a name counts."""
+    sheet = F.col("kind") == IUL
+    w = _words(ocr).join(typed.select("photo_id", "kind"), "photo_id").withColumn("n", X.fold("text"))
+    of = lambda on_sheet, else_: F.when(sheet, on_sheet).otherwise(else_)
+    head = w.where(F.col("n").endswith("ЛАВНЫЙ") & (F.col("x") < F.col("w") * 0.27) & (F.col("y") > F.col("h") * of(0.14, 0.65))).select("photo_id", F.col("x").alias("cx"), F.col("y").alias("cy"))
+    both = head.join(w, "photo_id")
+    role = (F.col("x") < F.col("w") * 0.29) & (F.col("y") >= F.col("cy") - 12) & (F.col("y") < F.col("cy") + of(110, 55))
+    name = (F.col("x") >= F.col("w") * of(0.24, 0.62)) & (F.col("x") < F.col("w") * of(0.59, 1.0)) & (F.abs(F.col("y") - F.col("cy")) < 28) & F.col("text").rlike("^[А-Яа-яЁё]{4,}$")
+    starts = lambda stem: F.coalesce(F.bool_or(role & F.col("n").startswith(stem)), F.lit(False))
+    found = both.groupBy("photo_id", "cx", "cy").agg(starts("ИНЖЕНЕР").alias("engineer"), starts("ПРОЕКТА").alias("project"), F.min_by("n", F.when(name, F.struct("x", "y"))).alias("name"))
+    return found.where("engineer and not project and name is not null").groupBy("photo_id").agg(F.min_by("name", F.struct("cy", "cx")).alias("chief"))
+
+
+def placed_checksums(ocr: DataFrame) -> DataFrame:
+    """photo_id, crc: the first eight hexadecimal digits close under the first word that starts with "CRC32"."""
+    w = _words(ocr)
+    marker = w.where(F.translate(X.compact("text"), "СР", "CR").startswith("CRC32")).groupBy("photo_id").agg(F.min(F.struct(F.col("y").alias("my"), F.col("x").alias("mx"))).alias("m")).select("photo_id", "m.*")
+    digits = F.btrim(F.translate(X.digits("text"), "СВАЕ", "CBAE"), F.lit(",:;•"))
+    near = marker.join(w, "photo_id").where((F.abs(F.col("x") - F.col("mx")) < 120) & (F.col("y") >= F.col("my") - 8) & (F.col("y") < F.col("my") + 80)).withColumn("crc", digits)
+    return near.where(F.col("crc").rlike("^[0-9A-F]{8}$")).groupBy("photo_id").agg(F.min_by("crc", F.struct("y", "x")).alias("crc"))
+
+
 def _words(ocr: DataFrame) -> DataFrame:
     """photo_id, w, h (page), text, x, y, bw, bh (box)."""
     pages = ocr.select("photo_id", F.col("width").alias("w"), F.col("height").alias("h"), "lines")

@@ -7,13 +7,15 @@ import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reconspark.schemas import OCR
 
 EXTENSIONS = [".jpg", ".jpeg", ".png", ".bmp", ".pdf"]
 MOST_FILES, MOST_ENTRIES, ENTRY_BYTES, ARCHIVE_BYTES = 1000, 1000, 150_000_000, 2_000_000_000
+# Fixed value: the file of a finished check.
+RESULTS = "Результаты.json"
 
 
 def extension(path) -> F.Column:
@@ -63,6 +65,47 @@ def drop_copies(files: DataFrame, content: str = "content", order: str = "path",
     return (kept.withColumn(explicit, F.col("__any")) if explicit else kept).drop("__x", "__sha", "__len", "__first", "__any")
 
 
+def _passed(rows: DataFrame, problem: Column) -> DataFrame:
+    """rows, or an error where there is a problem; checked in the plan."""
+    ok = F.when(problem.isNull(), F.lit(True)).otherwise(F.raise_error(problem).cast("boolean"))
+    return rows.withColumn("__ok", ok).where("__ok").drop("__ok")
+
+
+def read_prior(spark: SparkSession, root: str) -> DataFrame:
+    """Pages of a finished check, in the folder that holds its results and assets: photo_id, image_file and schemas.OCR.
+
+    Reading it is an error if there is no list of pages or an empty one, ids are beyond 1 to 1000 or repeat, an image has another page's name,
+    or a page lacks its image, its original or usable recognised text.
+    """
+    assets = spark.read.format("binaryFile").load(f"{root}/assets").select(F.lower(F.regexp_extract("path", "([^/]+)$", 1)).alias("name"))
+    has = lambda pages, name, column: pages.join(assets.select(F.col("name").alias("__name"), F.lit(True).alias(column)), F.lower(name) == F.col("__name"), "left").drop("__name")
+    report = spark.read.schema("Photos array<struct<Id:int,ImageFile:string>>").option("multiLine", True).json(f"{root}/{RESULTS}")
+    listed = _passed(report, F.when(F.col("Photos").isNull() | (F.size("Photos") == 0), "the report has no saved pages"))
+    listed = _passed(listed, F.when(F.size(F.array_distinct("Photos.Id")) < F.size("Photos"), "repeated page id"))
+    pages = listed.select(F.inline_outer("Photos")).select(F.col("Id").alias("photo_id"), F.nullif("ImageFile", F.lit("")).alias("image_file"))
+    pages = _passed(pages, F.when(F.coalesce(~F.col("photo_id").between(1, 1000), F.lit(True)), "page id beyond 1 to 1000"))
+    stem = F.format_string("p%04d", F.col("photo_id"))
+    pages = has(pages, F.concat(stem, F.lit("-processed.jpg")), "__processed")
+    pages = pages.withColumn("image_file", F.coalesce("image_file", F.concat(stem, F.when(F.col("__processed"), "-processed.jpg").otherwise(".jpg"))))
+    pages = has(has(pages, F.col("image_file"), "__image"), F.concat(stem, F.lit(".jpg")), "__original")
+    own = F.lower("image_file").isin(F.concat(stem, F.lit(".jpg")), F.concat(stem, F.lit("-processed.jpg")))
+    ocr = spark.read.schema(OCR).option("multiLine", True).option("pathGlobFilter", "p*.json").json(f"{root}/assets")
+    ocr = ocr.select(F.regexp_extract("_metadata.file_name", "^p(\\d{4})\\.json$", 1).try_cast("int").alias("photo_id"), "*", F.lit(True).alias("__ocr"))
+    pages = pages.join(ocr, "photo_id", "left")
+    usable = F.coalesce(F.col("__ocr") & (F.col("width") >= 1) & (F.col("height") >= 1) & F.col("lines").isNotNull(), F.lit(False))
+    problem = F.when(~own, "image of another page").when(F.col("__image").isNull() | F.col("__original").isNull(), "no image").when(~usable, "no usable recognised text")
+    return _passed(pages, F.concat(F.lit("page "), F.col("photo_id").cast("string"), F.lit(": "), problem)).drop("__processed", "__image", "__original", "__ocr")
+
+
+def read_gold(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Hand labels as evaluate.metrics takes them: known and negative (label_id, code, topic, topics, photo), expected (photo, field, value)."""
+    label = "array<struct<Code:string,Topic:string,Topics:array<string>,Photo:string>>"
+    gold = spark.read.schema(f"KnownFindings {label}, NegativeChecks {label}, Fields array<struct<Photo:string,Field:string,Value:string>>").option("multiLine", True).json(path)
+    rows = lambda c: gold.select(F.posexplode(c).alias("label_id", "x")).select("label_id", F.col("x.Code").alias("code"), F.col("x.Topic").alias("topic"), F.col("x.Topics").alias("topics"), F.col("x.Photo").try_cast("int").alias("photo"))
+    expected = gold.select(F.inline("Fields")).select(F.col("Photo").try_cast("int").alias("photo"), F.col("Field").alias("field"), F.coalesce("Value", F.lit("")).alias("value"))
+    return rows("KnownFindings"), rows("NegativeChecks"), expected
+
+
 def write_report(tables: dict[str, DataFrame], path: str) -> None:
     """Pages, inventory, findings, counters, choices and timings as JSON, a folder each."""
     for name, df in tables.items():
