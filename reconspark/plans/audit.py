@@ -22,11 +22,12 @@ def audit(ocr: DataFrame, registry: DataFrame | None = None, overrides: DataFram
     scratch = Scratch(ocr.sparkSession, "audit")
     typed = scratch.save(pages.type_pages(ocr, overrides), "typed")
     revision = pages.labelled_revision(ocr).withColumnRenamed("revision", "__r")
-    typed = typed.join(revision, "photo_id", "left").withColumn("revision", F.when(F.col("kind") == IUL, F.col("__r"))).drop("__r")
-    typed = typed.join(pages.chiefs(ocr, typed).withColumnRenamed("chief", "__c"), "photo_id", "left").withColumn("chief", F.col("__c")).drop("__c")
+    chief = pages.chiefs(ocr, typed).withColumnRenamed("chief", "__c")
     # A label in Latin letters settles the checksum by text alone.
     placed = pages.placed_checksums(ocr.where(~X.fold("text").rlike("CRC\\s*32"))).withColumnRenamed("crc", "__p")
-    typed = typed.join(placed, "photo_id", "left").withColumn("crc", F.coalesce("crc", "__p")).drop("__p")
+    typed = typed.join(revision, "photo_id", "left").join(chief, "photo_id", "left").join(placed, "photo_id", "left")
+    typed = typed.withColumns({"revision": F.when(F.col("kind") == IUL, F.col("__r")), "chief": F.col("__c"), "crc": F.coalesce("crc", "__p")})
+    typed = scratch.save(typed.drop("__r", "__c", "__p"), "read")
     rows = scratch.save(pages.inventory_rows(ocr, typed), "anchors")
     rows = scratch.save(fields.inventory_sections(ocr, fields.inventory_books(ocr, rows)), "rows")
     typed = bind_codes(typed, rows).join(fields.footer_numbers(ocr), "photo_id", "left").withColumn("page", F.when(F.col("kind") == IUL, F.col("number"))).drop("number")
