@@ -4,14 +4,15 @@ A shard is what a task has read of one language, up to a bound. Its words become
 doubling, and each interval of suffixes with a common prefix of n words is a phrase of n words with its count. Spark
 adds the counts of all shards up by language and phrase.
 
-Most longer phrases occur once, so they are not passed on unseen: a phrase can be frequent only if its first and last n - 1 words
-are. The frequent phrases of one length go into a bit table of fixed size, and the next pass cuts each piece of text wherever a phrase
-is not in the table before it sorts suffixes. Bits of other phrases let rare ones through, which costs rows and changes no count.
+Most phrases occur once, so they are not passed on as text. A first pass counts pairs of words by 64-bit keys; a phrase can be frequent
+only if all pairs of words in it are. The frequent keys go into a bit table of fixed size, and the pass that reads phrases cuts each
+piece of text wherever a pair is not in the table before it sorts suffixes. Equal keys of different pairs, and bits of other pairs,
+let rare phrases through, which costs rows and changes no count. Longer phrases take a pass each, by those a word shorter.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from reconspark.llm.common import Scratch, mixed
 
 WORDS, LEAST, TOP, SCALE, COVERED = 3, 10, 2000, 1_000_000, 50
 #: Words that a task sorts at once, different words it keeps numbers of, and bits of the table (8 MiB).
-SHARD, KNOWN, BITS = 2_000_000, 1_000_000, 1 << 26
+SHARD, KNOWN, BITS = 500_000, 1_000_000, 1 << 26
 #: Letters A-Z become lower case, the signs that end a piece a full stop.
 SIGNS = bytes(i + 32 if 65 <= i <= 90 else 46 if i in b".,;:!?\n\x0b\x0c\r" else i for i in range(256))
 
@@ -111,84 +112,110 @@ def _hash(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word)
 
 
-def _phrases(texts: DataFrame, sizes: range, table: np.ndarray | None) -> DataFrame:
-    """texts(lang, text as binary) -> lang, size, phrase, f of each shard. table: the frequent phrases a word shorter than sizes[0].
-
-    Without a table a row of size 0 has the number of the shard's words.
-    """
-    names = ["lang", "size", "phrase", "f"]
-    bits = texts.sparkSession.sparkContext.broadcast(table) if table is not None else None
-
-    def shard(lang: str, ids: np.ndarray, known: Numbers, hashes: np.ndarray) -> Iterator[pa.RecordBatch]:
-        words, left = pieces(ids)
-        total, fits = len(words), left >= sizes[0]
-        if bits is not None:  # the first and the last size - 1 words must be in the table
-            step = sizes[0] - 1
-            at = np.flatnonzero(left >= step)
-            key = keys([np.uint64(_hash(lang.encode())), *(hashes[words[at + i]] for i in range(step))]) % np.uint64(len(bits.value) * 64)
-            there = np.zeros(len(words), bool)
-            there[at] = (bits.value[(key >> np.uint64(6)).astype(np.int64)] >> (key & np.uint64(63))) & np.uint64(1) > 0
-            fits &= there & np.append(there[1:], False)[: len(there)]
-            place, left = windows(left, fits, sizes[0])
-            words, fits = words[place], fits[place]
-        order, common = suffixes(words, left, sizes[-1])
-        text = pa.array(known.words, pa.binary())
-        for size in sizes:
-            place, f = intervals(order, common, fits if bits is not None else left >= size, size)
-            parts = [text.take(pa.array(words[place + i])) for i in range(size)]
-            phrase = pa.compute.binary_join_element_wise(*parts, pa.scalar(b" ", pa.binary())) if size > 1 else parts[0]
-            for i in range(0, len(f), 100_000):
-                n = len(f[i : i + 100_000])
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * n, pa.string()), pa.array(np.full(n, size, np.int32)), phrase[i : i + n].cast(pa.string()), pa.array(f[i : i + n])], names=names)
-        if bits is None:
-            yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), pa.array([0], pa.int32()), pa.array([""], pa.string()), pa.array([total], pa.int64())], names=names)
+def _shards(texts: DataFrame, schema: str, shard: Callable[[str, np.ndarray, Numbers, np.ndarray], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """shard(lang, numbers of its words with 0 between pieces, their words, hashes of these) over texts(lang, text as binary)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute  # noqa: F401
 
         known, hashes, held, size = Numbers(), np.zeros(0, np.uint64), {}, 0
+
+        def settle() -> Iterator[pa.RecordBatch]:
+            nonlocal hashes, size
+            new = known.words[len(hashes) :]
+            hashes, size = np.append(hashes, np.fromiter(map(_hash, new), np.uint64, len(new))), 0
+            for lang in sorted(held):
+                yield from shard(lang, np.concatenate(held.pop(lang)), known, hashes)
+
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 held.setdefault(lang, []).append(np.append(numbered(text.as_py() or b"", known), 0))
                 size += len(held[lang][-1])
-            full = size > SHARD or len(known.words) > KNOWN
-            for lang in sorted(held) if full else []:
-                hashes = _hashed(known, hashes, bits)
-                yield from shard(lang, np.concatenate(held.pop(lang)), known, hashes)
-            if full:
-                size = 0
-            if len(known.words) > KNOWN:
-                known, hashes = Numbers(), np.zeros(0, np.uint64)
-        hashes = _hashed(known, hashes, bits)
-        for lang in sorted(held):
-            yield from shard(lang, np.concatenate(held[lang]), known, hashes)
+                if size > SHARD or len(known.words) > KNOWN:
+                    yield from settle()
+                    if len(known.words) > KNOWN:
+                        known, hashes = Numbers(), np.zeros(0, np.uint64)
+        yield from settle()
 
-    return texts.mapInArrow(run, "lang string, size int, phrase string, f long")
+    return texts.mapInArrow(run, schema)
 
 
-def _hashed(known: Numbers, hashes: np.ndarray, wanted: object) -> np.ndarray:
-    """hashes, with those of the words that came since; nothing where no table is asked."""
-    if wanted is None:
-        return hashes
-    new = known.words[len(hashes) :]
-    return np.append(hashes, np.fromiter(map(_hash, new), np.uint64, len(new)))
+def _lang_key(lang: str) -> np.uint64:
+    return np.uint64(_hash(lang.encode()))
 
 
-def _table(frequent: DataFrame, bits: int) -> np.ndarray:
-    """Bit table of phrases(lang, phrase). Spark puts its 64-bit words together; at most bits / 64 of them reach the driver."""
+def _pairs(texts: DataFrame) -> DataFrame:
+    """(key, f): counts of pairs of words in each shard, by key."""
+
+    def shard(lang: str, ids: np.ndarray, known: Numbers, hashes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        words, left = pieces(ids)
+        place, f = intervals(*suffixes(words, left, 2), left >= 2, 2)
+        key = keys([_lang_key(lang), hashes[words[place]], hashes[words[np.minimum(place + 1, len(words) - 1)]]])
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)[: len(place)]), pa.array(f)], names=["key", "f"])
+
+    return _shards(texts, "key long, f long", shard)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            key = [int(keys([np.array([_hash(w)], np.uint64) for w in (lang.encode(), *phrase.encode().split(b" "))])[0]) % bits for lang, phrase in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([k >> 6 for k in key], pa.int64()), pa.array([k & 63 for k in key], pa.int32())], names=["word", "bit"])
 
-    rows = frequent.select("lang", "phrase").mapInArrow(run, "word long, bit int")
-    words = rows.groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits")).toArrow()
+def _phrases(texts: DataFrame, step: int, sizes: range, table: np.ndarray) -> DataFrame:
+    """(lang, size, phrase, f) of each shard: phrases of these sizes, all of whose parts of `step` words are in the table.
+
+    With sizes from 2 also the words, and a row of size 0 with how many the shard has.
+    """
+    names = ["lang", "size", "phrase", "f"]
+    bits = texts.sparkSession.sparkContext.broadcast(table)
+
+    def rows(lang: str, size: int, phrase: pa.Array, f: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(f), 100_000):
+            n = len(f[i : i + 100_000])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * n, pa.string()), pa.array(np.full(n, size, np.int32)), phrase[i : i + n].cast(pa.string()), pa.array(f[i : i + n])], names=names)
+
+    def shard(lang: str, ids: np.ndarray, known: Numbers, hashes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        words, left = pieces(ids)
+        if sizes[0] == 2:
+            f = np.bincount(words, minlength=1)
+            some = np.flatnonzero(f)
+            yield from rows(lang, 0, pa.array([b""], pa.binary()), np.array([len(words)], np.int64))
+            yield from rows(lang, 1, pa.array([known.words[i] for i in some.tolist()], pa.binary()), f[some])
+        at = np.flatnonzero(left >= step)
+        key = keys([_lang_key(lang), *(hashes[words[at + i]] for i in range(step))])[: len(at)] & np.uint64(len(bits.value) * 64 - 1)
+        there = np.zeros(len(words), bool)
+        there[at] = (bits.value[(key >> np.uint64(6)).astype(np.int64)] >> (key & np.uint64(63))) & np.uint64(1) > 0
+        place, left = windows(left, there, step)
+        words, there = words[place], there[place]
+        order, common = suffixes(words, left, sizes[-1])
+        numbers, words = np.unique(words, return_inverse=True)
+        text = pa.array([known.words[i] for i in numbers.tolist()], pa.binary())
+        for size in sizes:
+            fits = (left >= size) & there
+            for i in range(1, size - step + 1):
+                fits[:-i] &= there[i:]
+            start, f = intervals(order, common, fits, size)
+            parts = [text.take(pa.array(words[start + i])) for i in range(size)]
+            yield from rows(lang, size, pa.compute.binary_join_element_wise(*parts, pa.scalar(b" ", pa.binary())), f)
+
+    return _shards(texts, "lang string, size int, phrase string, f long", shard)
+
+
+def _table(keyed: DataFrame, bits: int) -> np.ndarray:
+    """Bit table (bits: a power of two) of keys(key). Spark puts its 64-bit words together; at most bits / 64 of them reach the driver."""
+    at = F.col("key").bitwiseAND(F.lit(bits - 1))
+    words = keyed.select(F.shiftright(at, 6).alias("word"), at.bitwiseAND(F.lit(63)).cast("int").alias("bit")).groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits")).toArrow()
     table = np.zeros(bits // 64, np.uint64)
     table[words.column(0).to_numpy()] = words.column(1).to_numpy().view(np.uint64)
     return table
 
 
+def _keyed(phrases: DataFrame) -> DataFrame:
+    """Keys of phrases(lang, phrase)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            key = [int(keys([np.array([_hash(w)], np.uint64) for w in (lang.encode(), *phrase.encode().split(b" "))])[0]) for lang, phrase in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(key, np.uint64).view(np.int64))], names=["key"])
+
+    return phrases.select("lang", "phrase").mapInArrow(run, "key long")
+
+
 def frequent_phrases(texts: DataFrame, scratch: Scratch, words: int = WORDS, least: int = LEAST, bits: int = BITS) -> DataFrame:
     """texts(lang, text) -> lang, size, phrase, f >= least, for sizes up to `words`; size 0 has the number of words of each lang."""
     cast = texts.select("lang", F.col("text").cast("binary"))
@@ -197,10 +224,11 @@ def frequent_phrases(texts: DataFrame, scratch: Scratch, words: int = WORDS, lea
         total = df.groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f"))
         return scratch.save(total.where((F.col("f") >= least) | (F.col("size") == 0)), name)
 
-    found = added(_phrases(cast, range(1, min(words, 2) + 1), None), "phrases-2")
-    for size in range(3, words + 1):
-        shorter = found.where(F.col("size") == size - 1)
-        found = found.unionByName(added(_phrases(cast, range(size, size + 1), _table(shorter, bits)), f"phrases-{size}"))
+    pairs = scratch.save(_pairs(cast).groupBy("key").agg(F.sum("f").alias("f")).where(F.col("f") >= least).select("key"), "pairs")
+    found = added(_phrases(cast, 2, range(2, max(2, min(words, 3)) + 1), _table(pairs, bits)), "phrases")
+    for size in range(4, words + 1):
+        shorter = _keyed(found.where(F.col("size") == size - 1))
+        found = found.unionByName(added(_phrases(cast, size - 1, range(size, size + 1), _table(shorter, bits)), f"phrases-{size}"))
     return found
 
 
