@@ -34,6 +34,19 @@ def fold(column: str, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, sample: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, text, label) of at most `sample` labelled rows: the texts with the least hashes under the ids with the least.
+
+    Ids and texts are bounded each, so an id with any number of texts brings no more. Equal texts count once, with the larger label;
+    rows with a null label are left out.
+    """
+    chosen = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("label")).orderBy(F.xxhash64("__id"), "__id").limit(sample)
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).alias("__id"), text.alias("text"), F.xxhash64(text).alias("id")).join(F.broadcast(chosen), "__id")
+    texts = rows.groupBy("id").agg(F.max("label").alias("label")).orderBy("id").limit(sample)
+    return rows.select("id", "text").join(F.broadcast(texts), "id").groupBy("id", "label").agg(F.first("text").alias("text")).select("id", "text", "label")
+
+
 def unused(df: DataFrame, stem: str) -> str:
     """A column name that df does not have."""
     taken = {c.lower() for c in df.columns}

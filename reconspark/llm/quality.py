@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reconspark.llm.common import unused
+from reconspark.llm.common import labelled_sample, unused
 
 PASSAGE_BYTES, BLOCK_BYTES, TRAINING_PASSAGES = 512, 2_000_000, 64
 #: Kinds of bytes: lower case, upper case, digit, space, line end, and signs by use; then UTF-8 lead and following bytes.
@@ -121,14 +121,12 @@ class Attention:
 
 
 def learn_quality(docs: DataFrame, labels: DataFrame, sample: int = 6000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Attention:
-    """Fits on at most `sample` labelled ids (those with the least hash), equal texts once (with the larger label).
+    """Fits on at most `sample` labelled rows, equal texts once: see labelled_sample.
 
     For fitting alone, at most TRAINING_PASSAGES evenly spaced passages of a text are taken; scoring reads all. An id with several
     texts labels each of them. Rows with a null label are left out. Without labelled documents the model is the untrained one.
     """
-    chosen = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("label")).orderBy(F.xxhash64("__id"), "__id").limit(sample)
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "__id")
-    rows = rows.groupBy(F.xxhash64("text").alias("__id")).agg(F.first("text").alias("text"), F.max("label").alias("label"))
+    rows = labelled_sample(docs, labels, label_col, sample, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

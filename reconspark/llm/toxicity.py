@@ -2,9 +2,10 @@
 
 The lexicon is learned from labelled documents: whole words, and stems that stand for all words starting with them. A
 word of a text runs through the product of the lexicon's trie and the Levenshtein automata of its terms; the product is
-made deterministic only as far as texts need it, so a common word costs a step for each of its first letters. Each hit
-is weighed by its edits and by its window before hits are added up: in quotation marks and beside a word that reports what
-others say it counts less. A document's score never falls with a hit more, an edit less, or a quotation mark less.
+made deterministic only as far as texts need it, so a common word costs a step for each of its first letters. A hit is worth
+what its term tells of the label; a misspelled one what is left of that once the other words so near the term are counted. Each is
+weighed by its window before hits are added up: in quotation marks and beside a word that reports what others say it counts
+less. A document's score never falls with a hit more, an edit less, or a quotation mark less.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reconspark.llm.common import Scratch, unused
+from reconspark.llm.common import Scratch, labelled_sample, unused
 
 TOKEN = re.compile(r"[^\W\d_]+|\s\"|[\"“”„«»‹›]")
 #: A straight mark after white space opens, any other closes; a high one at the left of a word closes what a low one opened.
@@ -28,11 +29,12 @@ OPENING, CLOSING = frozenset([*(f'{c}"' for c in " \t\n\r\f\v\xa0"), *"“„«
 #: Words that report what others say, in the languages of the corpus.
 REPORTING = frozenset("said says wrote quoted quote called calling word term dijo palabra llamó wort sagte nannte dit mot appelé".split())
 STEMS, WINDOW, MOST_KEPT = range(4, 8), 20, 500_000
-#: What an edit, quotation marks and a reporting word leave of a hit's weight.
-EDIT, QUOTED, REPORTED = 0.6, 0.25, 0.5
+#: What quotation marks and a reporting word leave of a hit's weight.
+QUOTED, REPORTED = 0.25, 0.5
 FEATURES = ("sum", "strongest", "dense")
-#: Label-1 documents that hold a term, and different words that stand before it in them, at least; their share of all that hold it.
-LEAST, PRECISION = 4, 0.8
+#: Label-1 documents that hold a term, and different words that stand before it in them, at least; their share of all that hold it;
+#: and the number of terms that chance may bring in, over all candidates together.
+LEAST, PRECISION, BY_CHANCE = 4, 0.8, 0.05
 
 
 def budget(length: int) -> int:
@@ -41,13 +43,13 @@ def budget(length: int) -> int:
 
 
 class Automaton(dict):
-    """word -> (0 whole word or 1 stem, edits) of its best term, or None. Terms ending in * are stems."""
+    """word -> (0 whole word or 1 stem, edits, number of the term) of its best term, or None. Terms ending in * are stems."""
 
     def __init__(self, terms: list[str]):
         self.children: list[dict[str, int]] = [{}]
-        self.ends: list[list[tuple[int, int]]] = [[]]
+        self.ends: list[list[tuple[int, int, int]]] = [[]]
         self.most = [0]
-        for term in terms:
+        for number, term in enumerate(terms):
             stem, text, at = term.endswith("*"), term.rstrip("*"), 0
             self.most[0] = max(self.most[0], budget(len(text)))
             for c in text:
@@ -58,7 +60,7 @@ class Automaton(dict):
                     self.most.append(0)
                 at = self.children[at][c]
                 self.most[at] = max(self.most[at], budget(len(text)))
-            self.ends[at].append((int(stem), budget(len(text))))
+            self.ends[at].append((int(stem), budget(len(text)), number))
         self.start = self._state({(0, 0)})
 
     def _state(self, pairs: set[tuple[int, int]]) -> tuple[frozenset, dict, tuple | None, tuple | None]:
@@ -71,8 +73,8 @@ class Automaton(dict):
                 if pair[1] <= self.most[child] and pair not in all_:
                     all_.add(pair)
                     todo.append(pair)
-        word = min(((0, e) for n, e in all_ for s, most in self.ends[n] if not s and e <= most), default=None)
-        stem = min(((1, e) for n, e in all_ for s, most in self.ends[n] if s and e <= most), default=None)
+        word = min(((0, e, k) for n, e in all_ for s, most, k in self.ends[n] if not s and e <= most), default=None)
+        stem = min(((1, e, k) for n, e in all_ for s, most, k in self.ends[n] if s and e <= most), default=None)
         return frozenset(all_), {}, word, stem
 
     def _step(self, state: tuple, letter: str) -> tuple | None:
@@ -91,7 +93,7 @@ class Automaton(dict):
             self.states[key] = self._state(out)
         return self.states[key]
 
-    def __missing__(self, word: str) -> tuple[int, int] | None:
+    def __missing__(self, word: str) -> tuple[int, int, int] | None:
         if not hasattr(self, "states") or len(self.states) > 100_000:
             self.states: dict = {}
             self.start = self._state({(0, 0)})
@@ -107,21 +109,35 @@ class Automaton(dict):
             if state[3] and (stem is None or state[3] < stem):
                 stem = state[3]
         found = [x for x in (state[2] if state else None, stem) if x]
-        self[word] = out = min(found, key=lambda x: (x[1], x[0]), default=None)
+        self[word] = out = min(found, key=lambda x: (x[1], x[0], x[2]), default=None)
         return out
 
 
-def weigh(tokens: list[str], automaton: Automaton, benign: frozenset[str] = frozenset()) -> list[tuple[int, float]]:
+@dataclass
+class Toxicity:
+    """Terms, what a hit of each is worth exact and misspelled, weights of FEATURES, and words that are no misspelled terms."""
+
+    terms: list[str] = field(default_factory=list)
+    exact: list[float] = field(default_factory=list)
+    near: list[float] = field(default_factory=list)
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(len(FEATURES)))
+    bias: float = -3.0
+    benign: frozenset[str] = frozenset()
+
+
+def weigh(tokens: list[str], automaton: Automaton, model: Toxicity, misspelled: bool = False) -> list[tuple[int, float]]:
     """(place, weight) of each hit. A hit is quoted if, within WINDOW tokens, the last mark before it opens and the next one closes; it
-    is reported if a reporting word stands within half a window. Benign words are no misspelled terms."""
-    hits = [(i, h[1]) for i, t in enumerate(tokens) if (h := automaton[t]) and not (h[1] and t in benign)]
+    is reported if a reporting word stands within half a window. misspelled: as if each hit had an edit (words too short for one are none)."""
+    hits = [(i, h[1], h[2]) for i, t in enumerate(tokens) if (h := automaton[t]) and not (h[1] and t in model.benign)]
+    if misspelled:
+        hits = [(i, 1, k) for i, _, k in hits if budget(len(tokens[i]))]
     if not hits:
         return []
     marks = np.array([i for i, t in enumerate(tokens) if t in OPENING or t in CLOSING], np.int64)
     cues = np.array([i for i, t in enumerate(tokens) if t in REPORTING], np.int64)
     out = []
-    for i, edits in hits:
-        weight, k = EDIT**edits, int(np.searchsorted(marks, i))
+    for i, edits, number in hits:
+        weight, k = (model.near if edits else model.exact)[number], int(np.searchsorted(marks, i))
         if 0 < k < len(marks) and i - marks[k - 1] <= WINDOW and marks[k] - i <= WINDOW and tokens[marks[k - 1]] in OPENING and tokens[marks[k]] in CLOSING:
             weight *= QUOTED
         near = np.searchsorted(cues, [i - WINDOW // 2, i + WINDOW // 2 + 1])
@@ -129,9 +145,9 @@ def weigh(tokens: list[str], automaton: Automaton, benign: frozenset[str] = froz
     return out
 
 
-def measure(text: str | None, automaton: Automaton, benign: frozenset[str] = frozenset()) -> list[float]:
+def measure(text: str | None, automaton: Automaton, model: Toxicity, misspelled: bool = False) -> list[float]:
     """FEATURES of a text: logarithm of the sum of its hits' weights, the largest weight, logarithm of the largest sum in a window."""
-    hits = weigh(TOKEN.findall(" " + text.lower()), automaton, benign) if text else []
+    hits = weigh(TOKEN.findall(" " + text.lower()), automaton, model, misspelled) if text else []
     if not hits:
         return [0.0] * len(FEATURES)
     at, w = np.array([i for i, _ in hits]), np.array([x for _, x in hits])
@@ -140,14 +156,6 @@ def measure(text: str | None, automaton: Automaton, benign: frozenset[str] = fro
     return [float(np.log1p(w.sum())), float(w.max()), float(np.log1p(dense))]
 
 
-@dataclass
-class Toxicity:
-    terms: list[str] = field(default_factory=list)
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(len(FEATURES)))
-    bias: float = -3.0
-    benign: frozenset[str] = frozenset()
-
-
 def choose(good: dict[str, int]) -> list[str]:
     """Terms, from the number of documents with label 1 of each candidate: without stems that a longer form explains, and
     without what a chosen stem covers."""
@@ -184,19 +192,26 @@ def _forms(word: str) -> list[str]:
     return [word, *(word[:k] + "*" for k in STEMS if len(word) >= k)] if len(word) >= 3 else []
 
 
-def learn_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 8000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Toxicity:
-    """Fits on at most `sample` labelled rows (those with the least hash of the id), equal texts once.
+def beyond_chance(share: float, candidates: int) -> F.Column:
+    """True where yes of yes + no is so far above this share that chance brings in less than BY_CHANCE of so many candidates (Chernoff's bound)."""
+    n = F.col("yes") + F.col("no")
+    q = F.col("yes") / n
+    rest = F.when(q < 1, (1 - q) * F.ln((1 - q) / F.lit(1 - share))).otherwise(0.0)
+    return (q > share) & (n * (q * F.ln(q / F.lit(share)) + rest) >= float(np.log(max(1, candidates) / BY_CHANCE)))
+
 
-    Counts of words and stems are added up by Spark. A term must stand after LEAST different words, since words that only copies of
-    one document share always have the same neighbours. The terms and the near hits of the sample reach the driver. A near hit that a
-    label-0 row of the sample holds is a word of its own, not a misspelled term. Without labelled documents, or with one label only,
-    the lexicon is empty and every score low.
+def learn_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 8000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Toxicity:
+    """Fits on at most `sample` labelled rows, equal texts once: see labelled_sample.
+
+    Counts of words and stems are added up by Spark. A term's share of label 1 must be beyond chance, however many candidates there
+    are, and it must stand after LEAST different words, since words that only copies of one document share always have the
+    same neighbours. An exact hit is worth the logarithm of the term's odds against those of all rows; a misspelled one
+    the same with the label-0 rows that hold a neighbour of the term counted against it. The terms and the near hits of the sample reach the
+    driver. A near hit that a label-0 row of the sample holds is a word of its own, not a misspelled term. The weights are fitted on
+    the rows and on copies of the label-1 rows with every hit misspelled; a row is measured by what the others tell of its terms, and each half of the rows with the words of the other half, so near hits by accident are as frequent as they will be in new texts. Without labelled documents, or with one label only, the lexicon is empty and every score low.
     """
     scratch = Scratch(docs.sparkSession, "toxicity")
-    chosen = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("label")).orderBy(F.xxhash64("__id"), "__id").limit(sample)
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "__id")
-    rows = rows.groupBy(F.xxhash64("text").alias("id")).agg(F.first("text").alias("text"), F.max("label").alias("label"))
-    rows = scratch.save(rows, "sample")
+    rows = scratch.save(labelled_sample(docs, labels, label_col, sample, id_col, text_col), "sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -212,40 +227,66 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 8000, id_co
             found = list({(f, before) for t in tokens for before, w in zip(["", *t], t, strict=False) for f in _forms(w)})
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*found, strict=True)] or [pa.array([], pa.string())] * 2, names=["term", "before"])
 
-    total = rows.select("text", "label").mapInArrow(count, "term string, yes long, no long").groupBy("term").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
-    told = scratch.save(total.where((F.col("yes") >= LEAST) & (F.col("yes") / (F.col("yes") + F.col("no") + 1) >= PRECISION)), "told")
-    held = rows.where("label > 0").select("text").mapInArrow(places, "term string, before string").join(told, "term")
-    free = held.groupBy("term").agg(F.first("yes").alias("yes"), F.count_distinct("before").alias("ways")).where(F.col("ways") >= LEAST)
-    model = Toxicity(choose({r["term"]: r["yes"] for r in free.collect()}))
+    model, all_rows = Toxicity(), rows.agg(F.count("*"), F.count_if(F.col("label") > 0)).first()
+    if 0 < all_rows[1] < all_rows[0]:
+        total = rows.select("text", "label").mapInArrow(count, "term string, yes long, no long").groupBy("term").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
+        total = scratch.save(total.where((F.col("yes") + F.col("no")) >= LEAST), "terms")
+        told = total.where((F.col("yes") >= LEAST) & (F.col("yes") / (F.col("yes") + F.col("no")) >= PRECISION) & beyond_chance(all_rows[1] / all_rows[0], total.count()))
+        held = rows.where("label > 0").select("text").mapInArrow(places, "term string, before string").join(told, "term")
+        free = held.groupBy("term").agg(F.first("yes").alias("yes"), F.first("no").alias("no"), F.count_distinct("before").alias("ways")).where(F.col("ways") >= LEAST)
+        found = {r["term"]: (r["yes"], r["no"]) for r in free.collect()}
+        model.terms = choose({t: yes for t, (yes, _) in found.items()})
     if model.terms:
-        model.benign = _benign(rows.where("label = 0"), model.terms)
-        measured = sorted(_measured(rows.select("id", "label", "text"), model, ["id", "label"]).collect(), key=lambda r: tuple(r))
+        half = F.pmod("id", F.lit(2)).cast("int")
+        near = _neighbours(rows.where(F.col("label") == 0).select(half.alias("half"), "text"), model.terms)
+        words, beside = (set(), set()), [0] * len(model.terms)
+        for word, number, h, n in near:
+            words[h].add(word)
+            beside[number] += n
+        prior = (all_rows[0] - all_rows[1] + 0.5) / (all_rows[1] + 0.5)
+
+        def worth(label: int | None = None) -> dict[str, list[float]]:
+            """For new texts, or for a row of the sample with this label: what its terms are worth by the other rows."""
+            odds = lambda yes, no: max(0.0, float(np.log((max(0, yes - (label == 1)) + 0.5) / (max(0, no - (label == 0)) + 0.5) * prior)))
+            return {"exact": [odds(*found[t]) for t in model.terms], "near": [odds(found[t][0], found[t][1] + n) for t, n in zip(model.terms, beside, strict=True)]}
+
+        measured = []
+        for h in (0, 1):
+            for label, misspelled in ((0, False), (1, False), (1, True)):
+                own = replace(model, benign=frozenset(words[1 - h]), **worth(label))
+                part = rows.where((half == h) & ((F.col("label") > 0) == F.lit(label > 0)))
+                measured += _measured(part.select("id", "label", "text"), own, ["id", "label"], misspelled).collect()
+        model = replace(model, **worth())
+        measured.sort(key=lambda r: tuple(r))
+        model.benign = frozenset(words[0] | words[1])
         model.weights, model.bias = fit(np.array([r["features"] for r in measured]), np.array([r["label"] > 0 for r in measured], float))
     scratch.keep()
     return model
 
 
-def _benign(rows: DataFrame, terms: list[str]) -> frozenset[str]:
-    """The near hits among the words of these rows."""
+def _neighbours(rows: DataFrame, terms: list[str]) -> list[tuple[str, int, int, int]]:
+    """rows(half, text) -> (word, number of its term, half, rows that hold it) of each near hit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = Automaton(terms)
         for b in batches:
-            near = {w for t in b.column(0) for w in TOKEN.findall((t.as_py() or "").lower()) if (h := automaton[w]) and h[1]}
-            yield pa.RecordBatch.from_arrays([pa.array(sorted(near), pa.string())], names=["word"])
+            near = [(w, h[2], half) for half, t in zip(b.column(0).to_pylist(), b.column(1), strict=True) for w in sorted(set(TOKEN.findall((t.as_py() or "").lower()))) if (h := automaton[w]) and h[1]]
+            columns = [pa.array(c, k) for c, k in zip(zip(*near, strict=True), (pa.string(), pa.int32(), pa.int32()), strict=True)] if near else [pa.array([], k) for k in (pa.string(), pa.int32(), pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=["word", "number", "half"])
 
-    return frozenset(r["word"] for r in rows.select("text").mapInArrow(run, "word string").distinct().collect())
+    counted = rows.mapInArrow(run, "word string, number int, half int").groupBy("word", "number", "half").count()
+    return sorted(tuple(r) for r in counted.collect())
 
 
-def _measured(docs: DataFrame, model: Toxicity, kept: list[str]) -> DataFrame:
+def _measured(docs: DataFrame, model: Toxicity, kept: list[str], misspelled: bool = False) -> DataFrame:
     """docs(kept..., text) -> kept..., features."""
     schema = T.StructType([*docs.select(*kept).schema.fields]).add("features", T.ArrayType(T.DoubleType()))
-    out, terms, benign = schema.names, model.terms, model.benign
+    out = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = Automaton(terms)
+        automaton = Automaton(model.terms)
         for b in batches:
-            found = [measure(t.as_py(), automaton, benign) for t in b.column(b.num_columns - 1)]
+            found = [measure(t.as_py(), automaton, model, misspelled) for t in b.column(b.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found, pa.list_(pa.float64()))], names=out)
 
     return docs.mapInArrow(run, schema)
