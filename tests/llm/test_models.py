@@ -35,15 +35,83 @@ def test_quality_on_held_out_rows(spark):
 
 def test_context_and_edits_of_hits():
     """A quoted or reported insult scores below a direct one, an edited one between a clean text and the exact one; a far mark changes nothing."""
-    model = toxicity.Toxicity(["idiot", "worthless", "clown*"], np.array([0.5, 4.0, 1.5]), -3.0, frozenset({"idiom"}))
+    model = toxicity.Toxicity(["idiot", "worthless", "clown*"], [6.0, 6.0, 6.0], [4.0, 4.0, 4.0], np.array([0.5, 0.6, 0.5]), -3.0, frozenset({"idiom"}))
     automaton = toxicity.Automaton(model.terms)
-    score = lambda t: float(np.dot(toxicity.measure(t, automaton, model.benign), model.weights) + model.bias)
+    score = lambda t: float(np.dot(toxicity.measure(t, automaton, model), model.weights) + model.bias)
     far = " ".join(f"w{chr(97 + k % 26)}" for k in range(60))
     assert score("you idiot") > score('he wrote on a wall: you idiot') > score('They used "you idiot" there') > score('He said "you idiot" there') > score("a stone")
     assert score("you idiot") > score("you idiott") > score("a stone") == score("an idiom") == score("") == score(None)
     assert score("you idiot, worthless clowns") > score("you idiot, wortless clowns") > score("you idiot")
     assert score(f'stray " mark {far} you idiot {far}') == score("you idiot") == score(f'"one" {far} you idiot {far} "two"')
     assert score('"one" you idiot "two"') == score("you idiot") and score("„du idiot“ ging") == score("« idiot » allait") < score("idiot")
+    misspelled = lambda t: toxicity.measure(t, automaton, model, misspelled=True)
+    assert misspelled("you idiot") == toxicity.measure("you idiott", automaton, model)
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def plain_score(text, model):
+    """The score by its definition: every word against every term, every window by itself."""
+    tokens, hits = re.findall(r"[^\W\d_]+|\s\"|[\"“”„«»‹›]", " " + (text or "").lower()), []
+    for i, t in enumerate(tokens):
+        best = None
+        for k, term in enumerate(model.terms):
+            stem, name = term.endswith("*"), term.rstrip("*")
+            edits = min(distance(t[:n], name) for n in range(len(t) + 1)) if stem else distance(t, name)
+            if edits <= toxicity.budget(len(name)):
+                best = min(filter(None, (best, (edits, stem, k))))
+        if best and not (best[0] and t in model.benign):
+            w = (model.near if best[0] else model.exact)[best[2]]
+            before = next((t2 for t2 in reversed(tokens[max(0, i - 20) : i]) if t2 in toxicity.OPENING | toxicity.CLOSING), "")
+            after = next((t2 for t2 in tokens[i : i + 21] if t2 in toxicity.OPENING | toxicity.CLOSING), "")
+            w *= 0.25 if before in toxicity.OPENING and after in toxicity.CLOSING else 1
+            hits.append((i, w * (0.5 if set(tokens[max(0, i - 10) : i + 11]) & toxicity.REPORTING else 1)))
+    total = sum(w for _, w in hits)
+    dense = max((sum(w for j, w in hits if i <= j <= i + 20) for i, _ in hits), default=0)
+    x = np.log1p(total) * model.weights[0] + max((w for _, w in hits), default=0) * model.weights[1] + np.log1p(dense) * model.weights[2] + model.bias
+    return 1 / (1 + np.exp(-x))
+
+
+def test_toxicity_by_brute_force(spark):
+    """The learned model over texts with planted edits: the query's scores are those of the definition; misspelled insults are predicted."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.learn_toxicity(docs, labels)
+    r, texts = random.Random(3), [None, "", "a stone", *(x["text"][:2000] for x in docs.orderBy("doc_id").limit(25).collect())]
+    insults = [t for t in model.terms if not t.endswith("*") and len(t) >= 5]
+    assert "clown" in insults and "worthless" in insults
+    for term in insults:
+        k = r.randrange(1, len(term))
+        texts += [f"you {term[:k]}{term[k + 1:]} there", f"you {term[:k]}q{term[k:]}", f'he said "{term}" to me', f"the {term} and the {term}"]
+    got = toxicity.score_toxicity(spark.createDataFrame([(t,) for t in texts], "text string"), model).collect()
+    for x in got:
+        assert x["score"] == pytest.approx(plain_score(x["text"], model), abs=1e-9)
+    near = toxicity.score_toxicity(spark.createDataFrame([("you are a clwn",), ("worthles",), ("disgustng",), ("a stone",)], "text string"), model).collect()
+    assert [x["score"] >= 0.7 for x in near] == [True, True, True, False]
+
+
+def test_few_clean_rows_are_predicted_toxic(spark):
+    """Held out, at ten times the rows: at most one label-0 row in a hundred, and most toxic ones."""
+    sf = "/root/testdata/sf0.1"
+    d = Q.op10_toxicity(spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").groupBy("toxic").agg(F.avg("predicted").alias("p")).collect()
+    p = {x["toxic"]: x["p"] for x in d}
+    assert p[0] < 0.01 and p[1] > 0.8
+
+
+def test_an_id_of_many_texts_brings_no_more_rows(spark):
+    from reconspark.llm.common import labelled_sample
+
+    docs = spark.range(500).selectExpr("7L as doc_id", "concat('text ', id) as text").unionByName(spark.range(20).selectExpr("id as doc_id", "concat('other ', id) as text"))
+    labels = spark.range(10).selectExpr("id as doc_id", "cast(id % 2 as int) as quality")
+    got = labelled_sample(docs, labels, "quality", 30, "doc_id", "text").collect()
+    assert len(got) == 30 and len({x["id"] for x in got}) == 30
+    assert labelled_sample(docs, labels, "quality", 1000, "doc_id", "text").count() == 510
 
 
 def test_learned_weights_never_reward_a_hit():
@@ -156,13 +224,6 @@ def test_profile_of_a_long_text_of_many_letters_is_bounded():
     assert int(out.stdout.split()[-1]) < 1024
 
 
-def distance(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        row = [i, *[0] * len(b)] if False else _next(row, i, x, b)
-    return row[-1]
-
-
 def _next(before, i, x, b):
     row = [i]
     for j, y in enumerate(b, 1):
@@ -183,7 +244,7 @@ def test_near_terms_are_met_by_the_automaton():
         words = [(0, d) for x in terms if not x.endswith("*") and (d := distance(x, w)) <= toxicity.budget(len(x))]
         stems = [(1, d) for x in terms if x.endswith("*") and (d := min(distance(x[:-1], w[:k]) for k in range(len(w) + 1))) <= toxicity.budget(len(x) - 1)]
         best = min(words + stems, key=lambda x: (x[1], x[0]), default=None)
-        assert automaton[w] == best, w
+        assert (automaton[w] and automaton[w][:2]) == best, w
 
 
 def test_contamination_as_by_brute_force(spark):

@@ -44,6 +44,25 @@ def test_null_and_repeated_ids_lose_no_clean_text(spark):
     assert sorted((x["doc_id"] or 0, x["text"]) for x in got.collect()) == sorted([(3, a), (5, b), (7, c), (7, d), (0, e), (0, f)])
 
 
+def test_items_and_passages_in_rows_without_an_id_of_their_own(spark, tmp_path):
+    """A benchmark item and a repeated passage in null-id and repeated-id rows: nothing clean is lost, nothing planted kept."""
+    r = random.Random(6)
+    prose = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+    item, passage, lone = prose(40), prose(70), prose(60)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    bad = [prose(30) + " " + item + " " + prose(30) for _ in range(2)]
+    clean = [prose(90) for _ in range(4)]
+    rows = [(None, bad[0]), (5, bad[1]), (5, clean[0]), (6, clean[1]), (None, clean[2]), (None, None), (7, clean[3]), (7, clean[3])]
+    got = P.decontamination(spark, made(spark, [(*x, "en") for x in rows]), str(tmp_path)).collect()
+    assert sorted(((x["doc_id"] or 0, x["text"] or "") for x in got)) == sorted((i or 0, t or "") for i, t in rows if t not in bad)
+
+    own = [prose(80) for _ in range(8)]
+    rows = [(3, f"{own[0]} {passage}"), (None, f"{own[1]} {passage}"), (None, f"{passage} {own[2]}"), (5, f"{passage} {own[3]}"), (5, f"{own[4]} {passage}"), (None, f"{lone} {own[5]}"), (None, f"{lone} {own[6]}"), (9, own[7])]
+    got = [x["text"] for x in P.passages(spark, made(spark, [(*x, "en") for x in rows]), "").collect()]
+    assert len(got) == len(rows) and sum(passage in t for t in got) == 1 and rows[0][1] in got
+    assert sum(lone in t for t in got) == 1 and all(any(o in t for t in got) for o in own)
+
+
 def test_letters_stay_where_no_language_is_learned(spark):
     held_out = [i for i in range(60) if zlib.crc32(str(i).encode()) % 3 == 1]
     rows = [(i, t, lang) for i, (t, lang) in zip(held_out, [("one text", None), ("слова", None), ("12 !", None), (None, None)], strict=False)]
