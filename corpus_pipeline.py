@@ -6,7 +6,7 @@ of documents. Each stage's result is written to the shared folder as Parquet and
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reconspark.llm.common import Scratch, fold, table
@@ -42,12 +42,15 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.withColumn("lang", lang).select(*COLUMNS)
 
 
+def _own_id() -> Column:
+    """doc_id, and above all of these a number of the text for rows without one."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62)))
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of copies and near copies: that with the smallest id, and of texts with one id the first
     by hash. Rows without an id come last and each of their texts is a document of its own."""
-    tag = F.xxhash64("text")
-    own = F.coalesce(F.col("doc_id").cast("long"), tag.bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62)))
-    keyed = docs.select(*COLUMNS, own.alias("__id"), tag.alias("__tag"))
+    keyed = docs.select(*COLUMNS, _own_id().alias("__id"), F.xxhash64("text").alias("__tag"))
     groups = near_duplicates(keyed, shingle=SHINGLE, lanes=LANES, radius=RADIUS, aim=AIM, id_col="__id", tag_col="__tag")
     first = groups.groupBy("component").agg(F.min(F.struct("doc_id", "tag")).alias("x")).select(F.col("x.doc_id").alias("__id"), F.col("x.tag").alias("__tag")).distinct()
     kept = keyed.join(first, ["__id", "__tag"], "left_semi")
@@ -56,21 +59,33 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts repeated passages of 50 words and more out of the texts; documents of which nothing is left go."""
-    cut = remove_repeats(docs.select(*COLUMNS))
+    """Cuts repeated passages of 50 words and more out of the texts; documents of which nothing is left go.
+
+    The document with the smallest id keeps a passage. Rows without an id, and all but the first text (by hash) of an id that several
+    texts have, come after those with an id of their own, each with a number of its text; so they lose what others hold, and one of them
+    keeps what only they hold.
+    """
+    keyed = docs.select(*COLUMNS, _own_id().alias("__own"), F.xxhash64("text").alias("__tag"))
+    shared = keyed.groupBy("__own").agg(F.min("__tag").alias("__low"), F.max("__tag").alias("__high")).where("__low < __high").select("__own", "__low")
+    number = F.col("__tag").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    numbered = keyed.join(shared, "__own", "left").withColumn("__own", F.when(F.col("__tag") > F.col("__low"), number).otherwise(F.col("__own")))
+    cut = remove_repeats(numbered.select(*COLUMNS, "__own"), id_col="__own")
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
     kept = cut.where("n_words = 0 or n_removed < n_words").withColumn("text", text)
     return kept.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item."""
-    found = contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(found, "doc_id", "left_anti").select(*COLUMNS)
+    """Drops the rows whose text holds a benchmark item. Rows are told apart by their texts, so those without an id or with that of
+    another text go or stay by what they hold themselves."""
+    tagged = docs.select(*COLUMNS, F.xxhash64("text").alias("__tag"))
+    found = contaminated(tagged, table(spark, sf_dir, "benchmark"), id_col="__tag").select(F.col("doc_id").alias("__tag")).distinct()
+    return tagged.join(found, "__tag", "left_anti").select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into sequences of at most 1024 tokens."""
+    """Packs what is left into sequences of at most 1024 tokens. Rows without an id, or with that of another text, are packed too; their
+    pieces bear the id that they have."""
     return pack(docs)
 
 
