@@ -27,7 +27,7 @@ def as_word(*extra: str) -> Column:
     return F.struct(F.col("text"), F.col("x"), F.col("y"), F.col("bw").alias("width"), F.col("bh").alias("height"))
 
 
-def _rows(ws: Column) -> Column:
+def rows_of(ws: Column) -> Column:
     """Texts of the rows of an array of words, from the top."""
     ordered = F.array_sort(ws, lambda a, b: F.when(a["y"] < b["y"], -1).when(a["y"] > b["y"], 1).when(a["x"] < b["x"], -1).when(a["x"] > b["x"], 1).otherwise(0))
     text = lambda r: F.array_join(F.transform(F.array_sort(F.transform(r["words"], lambda w: F.struct(w["x"].alias("x"), w["text"].alias("t")))), lambda w: w["t"]), " ")
@@ -49,7 +49,7 @@ def codes_under_labels(ocr: DataFrame) -> DataFrame:
     met = label.join(w.select("photo_id", "text", "x", "y", "bw", "bh"), "photo_id")
     met = met.where((F.col("x") >= F.greatest(F.lit(0.0), F.col("lx") - F.col("w") * 0.025)) & (F.col("x") + F.col("bw") / 2 < F.col("right")) & (F.col("y") > F.col("line_end") + 2) & (F.col("y") < F.col("line_end") + F.col("h") * 0.12) & ~F.col("text").rlike(LABEL_TAIL))
     first = met.groupBy("photo_id", "n", "w").agg(F.collect_list(as_word()).alias("ws")).select("photo_id", "n", "w", _cut_at_gap("ws").alias("ws"))
-    rows = _rows(F.col("ws"))
+    rows = rows_of(F.col("ws"))
     value = F.aggregate(F.slice(rows, 2, 3), F.get(rows, F.lit(0)), lambda v, r: F.when(v.endswith("-") | v.endswith("/"), F.concat(v, r)).otherwise(v))
     return first.groupBy("photo_id").agg(F.min_by(value, "n").alias("__v")).select("photo_id", X.value("__v").alias("field")).where("field is not null")
 
@@ -88,21 +88,34 @@ def iul_bodies(ocr: DataFrame) -> DataFrame:
     start = w.where(n.rlike("^(?:РАЗДЕЛ|ПОДРАЗДЕЛ|ЧАСТЬ|КНИГА)$") & (F.col("y") > F.col("h") * 0.25) & (F.col("x") > F.col("w") * 0.15)).groupBy("photo_id", "w", "h").agg(F.min_by(F.struct("x", "y", "bh"), "y").alias("a"))
     end = start.join(w.drop("w", "h"), "photo_id").where((n == "ТОМ") & (F.col("y") > F.col("a.y") + F.col("a.bh")) & (F.col("x") >= F.col("a.x") - F.col("w") * 0.03)).groupBy("photo_id", "w", "h", "a").agg(F.min_by(F.struct("y", "bh"), "y").alias("e")).where(F.col("e.y") - F.col("a.y") <= F.col("h") * 0.50)
     inside = (F.col("x") >= F.col("a.x") - F.col("w") * 0.02) & (F.col("x") + F.col("bw") / 2 < F.col("w") * 0.82) & (F.col("y") >= F.col("a.y") - F.col("a.bh") * 0.5) & (F.col("y") < F.col("e.y") - F.col("e.bh") * 0.25)
-    return end.join(w.drop("w", "h"), "photo_id").where(inside).groupBy("photo_id").agg(F.collect_list(as_word()).alias("ws")).select("photo_id", F.array_join(_rows(F.col("ws")), "\n").alias("body"))
+    return end.join(w.drop("w", "h"), "photo_id").where(inside).groupBy("photo_id").agg(F.collect_list(as_word()).alias("ws")).select("photo_id", F.array_join(rows_of(F.col("ws")), "\n").alias("body"))
 
 
 def inventory_books(ocr: DataFrame, rows: DataFrame) -> DataFrame:
-    """rows with the book beside each anchor: from КНИГА, left of the marks, to the next КНИГА, ЧАСТЬ or ПОДРАЗДЕЛ."""
+    """rows with the book beside each anchor: from КНИГА, left of the marks, to the next КНИГА, ЧАСТЬ or ПОДРАЗДЕЛ.
+
+    Rows with a band (columns at, top, bottom, continuation, column_right, as tables.banded_rows gives them) look for it there and end
+    with it; a continuation without the word has all that stands right of the code column in its band, below the head of the names.
+    """
     w, n = page_words(ocr), X.fold("text")
     at = ["photo_id", "code", "anchor_y"]
+    extra = {"at": F.col("anchor_y"), "top": F.lit(None).cast("double"), "bottom": F.lit(None).cast("double"), "continuation": F.lit(False), "column_right": F.lit(None).cast("double")}
+    placed = rows.withColumns({c: v for c, v in extra.items() if c not in rows.columns}).select(*at, *extra)
     books = w.where(n.startswith("КНИГА") & (F.col("x") > F.col("w") * 0.34)).select("photo_id", "w", "h", F.col("x").alias("kx"), F.col("y").alias("ky"))
-    own = rows.select(*at).join(books, "photo_id").where(F.abs(F.col("ky") - F.col("anchor_y")) < 85).groupBy(*at, "w", "h").agg(F.min_by(F.struct("kx", "ky"), F.abs(F.col("ky") - F.col("anchor_y"))).alias("k"))
+    far = F.abs(F.col("ky") - F.col("at"))
+    beside = F.when(F.col("top").isNotNull(), (F.col("ky") >= F.col("top")) & (F.col("ky") < F.col("bottom"))).otherwise(far < 85)
+    own = placed.join(books, "photo_id").where(beside).groupBy(*at, "w", "h", "bottom").agg(F.min_by(F.struct("kx", "ky"), far).alias("k"))
     stops = w.where(((n.startswith("КНИГА") & (F.col("x") < F.col("w") * 0.76)) | (n.rlike("^(?:ЧАСТЬ|ПОДРАЗДЕЛ)") & (F.col("x") < F.col("w") * 0.75))) & (F.col("x") > F.col("w") * 0.34)).select("photo_id", F.col("y").alias("sy"), F.when(n.startswith("КНИГА"), 20).otherwise(15).alias("gap"))
     limit = own.join(stops, "photo_id").where(F.col("sy") > F.col("k.ky") + F.col("gap")).groupBy(*at).agg((F.min("sy") - 4).alias("limit"))
-    met = own.join(limit, at, "left").withColumn("limit", F.coalesce("limit", F.col("h").cast("double"))).join(w.drop("w", "h"), "photo_id")
-    inside = (F.col("x") >= F.col("k.kx") - 2) & (F.col("x") < F.col("w") * 0.72) & (F.col("y") >= F.col("k.ky") - 8) & (F.col("y") < F.col("limit"))
-    text = met.where(inside).groupBy(*at).agg(F.collect_list(as_word()).alias("ws"))
-    name = F.trim(F.regexp_replace(F.array_join(_rows(F.col("ws")), " "), "(?iu)^Книга\\s*[0-9ЗзбБ]+(?:[.][0-9ЗзбБ]+)*[.,]?\\s*", ""))
+    low = F.least(F.coalesce("limit", F.col("h").cast("double")), F.coalesce("bottom", F.lit(float("inf"))))
+    region = own.join(limit, at, "left").select(*at, (F.col("k.kx") - 2).alias("x0"), (F.col("w") * 0.72).alias("x1"), (F.col("k.ky") - 8).alias("y0"), low.alias("y1"))
+    # A row that goes on from the page before.
+    heads = w.where(n.startswith("НАИМЕНОВАНИЕ") & (F.col("x") > F.col("w") * 0.34)).groupBy("photo_id", "w").agg(F.min("y").alias("hy"))
+    goes_on = placed.where("continuation and top is not null").join(own.select(*at), at, "left_anti").join(heads, "photo_id").where("hy < top")
+    region = region.unionByName(goes_on.select(*at, F.col("column_right").alias("x0"), (F.col("w") * 0.72).alias("x1"), F.col("top").alias("y0"), F.col("bottom").alias("y1")))
+    met = region.join(w.drop("w", "h"), "photo_id").where((F.col("x") >= F.col("x0")) & (F.col("x") < F.col("x1")) & (F.col("y") >= F.col("y0")) & (F.col("y") < F.col("y1")))
+    text = met.groupBy(*at).agg(F.collect_list(as_word()).alias("ws"))
+    name = F.trim(F.regexp_replace(F.array_join(rows_of(F.col("ws")), " "), "(?iu)^Книга\\s*[0-9ЗзбБ]+(?:[.][0-9ЗзбБ]+)*[.,]?\\s*", ""))
     return rows.drop("book").join(text.select(*at, name.alias("book")), at, "left").select(*rows.columns)
 
 

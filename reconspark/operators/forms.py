@@ -10,8 +10,9 @@ from reconspark.operators import classify, geometry
 from reconspark.operators.pages import _words
 from reconspark.schemas import INVENTORY_KIND, IUL, TITLE
 
-# Words that start a signing row and the names of roles.
+# Words that start a signing row and the names of roles, words that begin the name of the project.
 ROLE_WORDS = "^(?:Г?ЛАВНЫЙ|ВЕДУЩИЙ|ЗАМЕСТИТЕЛЬ|НАЧАЛЬНИК|НОРМОКОНТРОЛЬ|РУКОВОДИТЕЛЬ|ИНЖЕНЕР)$"
+PROJECT_WORDS = "^(?:СОЗДАНИЕ|ПРОЕКТНАЯ|РАЗДЕЛ|ВЫСОКОСКОРОСТНОЙ)$"
 SURNAME = "^(?:[А-Яа-яЁё][.,]){0,2}[А-Яа-яЁё]{4,}[,.;]?$"
 #: field, kind of page, box as shares of the page (x, y, w, h), enlargement, variants, condition on the page.
 CROPS = [
@@ -57,10 +58,11 @@ def role_name(label: Column) -> Column:
 
 
 def roles(ocr: DataFrame, pages: DataFrame) -> DataFrame:
-    """photo_id, role, name, organization, status, approval, top: the signing rows of title and IUL pages.
+    """photo_id, role, name, organization, status, approval, top, bounds: the signing rows of title and IUL pages.
 
     A row starts at a role word that stands clear of the row above; its label is what stands left, its name the leftmost surname
-    of the topmost line at the right. Approval rows (upper part of a title) are marked.
+    of the topmost line at the right. Approval rows (upper part of a title) are marked; they end above the words that name the project.
+    bounds is where the row is signed. Nobody has looked at the strokes yet: see signatures.evidence.
     """
     kinds = pages.select("photo_id", (F.col("kind") == IUL).alias("iul"), "organization", (~(F.col("kind") == IUL) & X.fold_form("text").contains("СОГЛАСОВАНО")).alias("approved"))
     w = _words(ocr).join(kinds, "photo_id")
@@ -72,6 +74,9 @@ def roles(ocr: DataFrame, pages: DataFrame) -> DataFrame:
     h = F.col("h")
     rows = rows.withColumn("end", F.least(F.coalesce(F.col("band_end") - h * 0.008, h * 0.94), F.col("top") + h * 0.13)).withColumn("approval", F.col("approved") & (F.col("top") < h * 0.30))
     rows = rows.withColumn("end", F.when(F.col("approval"), F.least("end", F.col("top") + h * 0.11)).otherwise(F.col("end")))
+    heading = w.where(X.fold_form("text").rlike(PROJECT_WORDS) & (F.col("y") < F.col("h") * 0.45)).select("photo_id", F.col("y").alias("hy"))
+    stop = rows.where("approval").select("photo_id", "top").join(heading, "photo_id").where("hy > top").groupBy("photo_id", "top").agg(F.min("hy").alias("stop"))
+    rows = rows.join(stop, ["photo_id", "top"], "left").withColumn("end", F.least("end", F.coalesce(F.col("stop") - h * 0.005, "end"))).drop("stop")
     met = rows.join(_words(ocr).select("photo_id", "text", "x", "y", "bh"), "photo_id")
     left = (F.col("x") < F.col("w") * F.when(F.col("iul"), 0.30).otherwise(0.45)) & (F.col("y") >= F.col("top") - h * 0.006) & (F.col("y") < F.least("end", F.col("top") + h * 0.07))
     low = F.when(F.col("iul"), 0.23).when(F.col("approval"), 0.22).otherwise(0.64) * F.col("w")
@@ -79,12 +84,13 @@ def roles(ocr: DataFrame, pages: DataFrame) -> DataFrame:
     right = F.col("text").rlike(SURNAME) & (F.col("x") >= low) & (F.col("x") < high) & (F.col("y") >= F.col("top") + F.when(F.col("approval"), h * 0.025).otherwise(-h * 0.012)) & (F.col("y") < F.col("end"))
     word = lambda when, *cols: F.array_sort(F.collect_list(F.when(when, F.struct(*cols))))
     block = (F.col("y") >= F.col("top") - h * 0.01) & (F.col("y") < F.col("end"))
-    found = met.groupBy("photo_id", "top", "organization", "approval").agg(word(left, "y", "x", "text").alias("label"), word(right, "y", "x", "bh", "text").alias("names"), word(block, "y", "x", "text").alias("block"))
+    found = met.groupBy("photo_id", "top", "end", "w", "h", "iul", "organization", "approval").agg(word(left, "y", "x", "text").alias("label"), word(right, "y", "x", "bh", "text").alias("names"), word(block, "y", "x", "text").alias("block"))
     mean = F.aggregate("names", F.lit(0.0), lambda s, n: s + n["bh"]) / F.size("names")
     line = F.filter("names", lambda n: F.col("approval") | (n["y"] <= F.get("names", F.lit(0))["y"] + mean * 0.75))
     lead = F.get(F.array_sort(F.transform(line, lambda n: F.struct(F.when(F.col("approval"), -n["y"]).otherwise(F.lit(0.0)).alias("o"), n["x"].alias("x"), n["text"].alias("t")))), F.lit(0))["t"]
     name = X.fold_form(F.nullif(F.regexp_extract(lead, "[А-Яа-яЁё]{4,}", 0), F.lit("")))
     texts = lambda c: F.array_join(F.transform(c, lambda t: t["text"]), " ")
+    side = lambda sheet, approval, title: F.when(F.col("iul"), sheet).when(F.col("approval"), approval).otherwise(title) * F.col("w")
     return found.select(
         "photo_id",
         role_name(X.fold_form(texts("label"))).alias("role"),
@@ -93,6 +99,7 @@ def roles(ocr: DataFrame, pages: DataFrame) -> DataFrame:
         F.lit("Не определено").alias("status"),
         "approval",
         "top",
+        F.struct(side(0.55, 0.07, 0.30).alias("x"), (F.col("top") - h * 0.010).alias("y"), side(0.28, 0.24, 0.34).alias("w"), (F.col("end") - F.col("top") + h * 0.008).alias("h")).alias("bounds"),
     )
 
 

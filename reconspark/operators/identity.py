@@ -2,11 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable, Iterator
+from functools import reduce
+
+import ahocorasick
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from reconspark.functions import text as X
 
+#: Characters of the keys that one automaton holds.
+KEY_CHARACTERS = 1_000_000
+
 
 def unique_keys(codes: DataFrame, code: str = "code") -> DataFrame:
     """key, code: the keys that exactly one code has."""
@@ -25,22 +37,53 @@ def complete(rows: DataFrame, group: list[str], prefix: Column, full: str) -> Da
     return rows.withColumn("__p", prefix).join(lone, [*group, "__p"], "left").drop("__p")
 
 
-def _parts(text: Column, lengths: Column) -> Column:
-    """Every different part of a text that has one of these lengths."""
-    of = lambda n: F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, n))
-    return F.array_distinct(F.flatten(F.transform(F.filter(lengths, lambda n: (n > 0) & (n <= F.length(text))), of)))
+def _automaton(keys: Broadcast) -> ahocorasick.Automaton:
+    """One automaton a worker process: tasks of the same search use it again."""
+    name, words = keys.value
+    if name not in _built:
+        _built.clear()
+        _built[name] = found = ahocorasick.Automaton()
+        for k in words:
+            found.add_word(k, k)
+        found.make_automaton()
+    return _built[name]
+
+
+_built: dict[str, ahocorasick.Automaton] = {}
 
 
 def _held(texts: DataFrame, keys: DataFrame, text: str, key: str) -> DataFrame:
-    """texts with each of the keys that they contain, by equality: texts offer their parts of all lengths that keys have. The lengths are
-    one row, at most as many as a text has characters."""
-    lengths = keys.agg(F.collect_set(F.length(key)).alias("__lengths"))
-    return texts.join(F.broadcast(lengths)).withColumn(key, F.explode(_parts(F.col(text), F.col("__lengths")))).drop("__lengths").join(keys, key)
+    """texts with each of the keys that they contain (and the other columns of keys): each text is read once by an automaton of the keys.
+
+    The keys are a stated query set: they go to the tasks in blocks of about KEY_CHARACTERS, each compared with all texts, so what a task
+    holds is bounded however many keys there are. Null and empty keys are in no text, null texts hold none.
+    """
+    asked = keys.where(F.length(key) > 0).select(key).distinct()
+    blocks = max(1, -(-asked.agg(F.coalesce(F.sum(F.length(key)), F.lit(0))).first()[0] // KEY_CHARACTERS))
+    schema = T.StructType([*texts.schema.fields]).add(key, "string")
+    at = texts.columns.index(text)
+
+    def search(block: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                automaton = _automaton(block)
+                met = [sorted({k for _, k in automaton.iter(t)}) if t and len(automaton) else [] for t in b.column(at).to_pylist()]
+                rows = pa.array(np.repeat(np.arange(len(met)), [len(m) for m in met]), pa.int64())
+                yield pa.RecordBatch.from_arrays([*b.take(rows).columns, pa.array([k for m in met for k in m], pa.string())], names=schema.names)
+
+        return run
+
+    found = []
+    for block in range(blocks):
+        own = asked.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == block)
+        found.append(texts.mapInArrow(search(texts.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, sorted(r[0] for r in own.collect())))), schema))
+    held = reduce(DataFrame.unionByName, found)
+    return held if keys.columns == [key] else held.join(keys, key)
 
 
 def longest_unique(texts: DataFrame, keys: DataFrame, text: str, key: str, ids: list[str]) -> DataFrame:
     """ids, key: the longest key that a text (a name, an address) contains, if no other key of that length is in it."""
-    met = _held(texts.select(*ids, text), keys.where(F.length(key) > 0).select(key).distinct(), text, key)
+    met = _held(texts.select(*ids, text), keys.select(key), text, key)
     found = met.groupBy(*ids, F.length(key).alias("__len")).agg(F.min(key).alias("__low"), F.max(key).alias("__high"))
     best = found.groupBy(*ids).agg(F.max(F.struct("__len", "__low", "__high")).alias("x"))
     return best.where("x.__low = x.__high").select(*ids, F.col("x.__low").alias(key))

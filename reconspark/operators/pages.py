@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reconspark.functions import text as X
-from reconspark.operators import classify, fields, geometry
+from reconspark.operators import classify, fields, geometry, tables
 from reconspark.schemas import FRAGMENT_TITLE, INVENTORY_KIND, IUL, TITLE, UNKNOWN_KIND
+from reconspark.storage import Scratch
 
 
 def looks_like_iul(text: Column) -> Column:
@@ -29,10 +30,11 @@ def inline_code(text: Column) -> Column:
     return X.value(F.nullif(F.regexp_extract(text, "(?iuU)(?:Обозначение\\s+документа|Шифр(?:\\s+(?:документа|тома))?)\\s*[:=]\\s*([^\\r\\n]+)", 1), F.lit("")))
 
 
-def type_pages(ocr: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
+def type_pages(ocr: DataFrame, overrides: DataFrame | None = None, rules: DataFrame | None = None) -> DataFrame:
     """ocr: photo_id and the columns of schemas.OCR (and optionally kind_hint, code_hint) -> pages as in schemas.PAGE.
 
     Order is meaning: an inventory (chosen by hand or found) first, then IUL, fragment title, title, unknown; hints fill what is open.
+    rules: ruled lines of the scans (tables.table_rules), for pages that only the rows of their table show to be inventories.
     """
     cols = set(ocr.columns)
     hint = lambda c: F.col(c) if c in cols else F.lit(None).cast("string")
@@ -47,7 +49,7 @@ def type_pages(ocr: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
     p = p.join(fields.codes_under_labels(ocr).withColumnRenamed("field", "__below"), "photo_id", "left").join(fields.title_codes(ocr), "photo_id", "left").join(fields.iul_bodies(ocr), "photo_id", "left")
     # Rows matter only where nothing but rows is missing.
     maybe = ocr.where(looks_like_inventory(F.col("text"), F.lit(True)) & ~looks_like_inventory(F.col("text"), F.lit(False)))
-    parsed = inventory_rows(maybe, maybe.select("photo_id", F.lit(INVENTORY_KIND).alias("kind"))).select("photo_id").distinct().withColumn("__rows", F.lit(True))
+    parsed = Scratch(ocr.sparkSession, "pages").save(tables.pages_with_rows(maybe, rules), "rows").withColumn("__rows", F.lit(True))
     p = p.join(parsed, "photo_id", "left")
     p = p.withColumn("legacy", X.page_code(t)).withColumn("__inline", inline_code(t)).withColumn("field", F.coalesce("__inline", "__below"))
     fits = F.col("__inline").isNotNull() | F.col("legacy").isNull() | (~F.col("field").contains(" ") & X.key("field").contains(X.key("legacy")))
@@ -130,32 +132,3 @@ def _words(ocr: DataFrame) -> DataFrame:
     """photo_id, w, h (page), text, x, y, bw, bh (box)."""
     pages = ocr.select("photo_id", F.col("width").alias("w"), F.col("height").alias("h"), "lines")
     return geometry.words(pages, ["photo_id", "w", "h"]).select("photo_id", "w", "h", "text", "x", "y", F.col("width").alias("bw"), F.col("height").alias("bh"))
-
-
-def inventory_rows(ocr: DataFrame, pages: DataFrame) -> DataFrame:
-    """Rows of inventory pages by code suffix and nearest prefix, with revision, box, book number and kind beside each anchor."""
-    own = ocr.join(pages.where(F.col("kind") == INVENTORY_KIND).select("photo_id"), "photo_id", "left_semi")
-    w = _words(own)
-    suffix = w.where((F.col("x") > F.col("w") * 0.145) & (F.col("x") < F.col("w") * 0.4)).withColumn("suffix", X.inventory_suffix("text")).where("suffix is not null").select("photo_id", "w", "h", F.col("x").alias("ax"), F.col("y").alias("ay"), "suffix")
-    prefix = w.select("photo_id", F.col("x").alias("px"), F.col("y").alias("py"), F.nullif(F.regexp_extract(X.code_text("text"), "^(\\d{3}-\\d{2}-\\d{4})-?$", 1), F.lit("")).alias("prefix")).where("prefix is not null")
-    lone = prefix.groupBy("photo_id").agg(F.when(F.min("prefix") == F.max("prefix"), F.max("prefix")).alias("lone"))
-    near = suffix.join(prefix, "photo_id").where((F.abs(F.col("px") - F.col("ax")) < F.col("w") * 0.1) & (F.abs(F.col("py") - F.col("ay")) < 85))
-    near = near.groupBy("photo_id", "ax", "ay").agg(F.min_by("prefix", F.abs(F.col("py") - F.col("ay"))).alias("near"))
-    rows = suffix.join(near, ["photo_id", "ax", "ay"], "left").join(lone, "photo_id", "left").withColumn("code", F.concat(F.coalesce("near", "lone"), F.lit("-"), F.col("suffix"))).where("code is not null")
-    # The same code again within 80 pixels is the same row.
-    ys = rows.groupBy("photo_id", "w", "h", "code").agg(F.array_sort(F.collect_set("ay")).alias("ys"))
-    rows = ys.select("photo_id", "w", "h", "code", F.explode(geometry.spaced(F.col("ys"), 80.0)).alias("ay"))
-    at = ["photo_id", "code", "ay"]
-    beside = lambda labels, when, name: labels.where(when).groupBy(*at).agg(F.when(F.min("__v") == F.max("__v"), F.max("__v")).alias(name))
-    label = lambda pattern: w.where(X.fold("text").rlike(pattern)).select("photo_id", F.col("x").alias("lx"), F.col("y").alias("ly"), F.col("bw").alias("lw"), F.col("bh").alias("lh"))
-    number = lambda n: w.select("photo_id", "x", "y", "bw", X.digits("text").alias("__t")).where(F.col("__t").rlike(f"^[0-9]{{1,{n}}}[.,]?$")).withColumn("__v", F.regexp_extract("__t", "^([0-9]+)", 1).try_cast("int"))
-    marks = rows.join(label("^ИЗМ"), "photo_id").where((F.col("lx") > F.col("w") * 0.72) & (F.abs(F.col("ly") - F.col("ay")) < 60)).join(number(2), "photo_id")
-    revision = beside(marks, (F.col("x") > F.col("lx")) & (F.col("x") - F.col("lx") < 145) & (F.abs(F.col("y") - F.col("ly")) < 22), "revision")
-    head = rows.join(label("^КОРОБ"), "photo_id").where(F.col("lx") > F.col("w") * 0.6).join(number(5), "photo_id")
-    box = beside(head, (F.abs(F.col("x") + F.col("bw") / 2 - F.col("lx") - F.col("lw") / 2) < F.col("w") * 0.06) & (F.col("y") > F.col("ly")) & (F.abs(F.col("y") - F.col("ay")) < F.greatest(F.lit(65.0), F.col("h") * 0.024)) & (F.col("__v") > 0), "box")
-    books = rows.join(label("^КНИГА"), "photo_id").where((F.col("lx") > F.col("w") * 0.34) & (F.abs(F.col("ly") - F.col("ay")) < 85)).join(number(3), "photo_id")
-    book = beside(books, (F.col("x") > F.col("lx")) & (F.col("x") - F.col("lx") < F.col("w") * 0.12) & (F.abs(F.col("y") - F.col("ly")) < F.greatest("lh", F.lit(20.0))), "book_number")
-    kinds = own.select("photo_id", X.documentation_kind("text").alias("documentation_kind"))
-    out = rows.join(revision, at, "left").join(box, at, "left").join(book, at, "left").join(kinds, "photo_id", "left")
-    seq = (F.col("photo_id").cast("long") * 1_000_000 + F.round(F.col("ay")).cast("long")).alias("seq")
-    return out.select(seq, "code", X.tom("code").alias("tom"), F.lit(None).cast("string").alias("book"), "documentation_kind", "revision", "box", "book_number", "photo_id", F.lit(None).cast("map<string,string>").alias("sections"), F.col("ay").alias("anchor_y"), F.lit(False).alias("book_continuation"))

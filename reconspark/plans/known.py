@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reconspark.functions import text as X
-from reconspark.operators import consensus, evaluate, geometry, identity, pages, reconcile, rules
+from reconspark.operators import consensus, evaluate, geometry, identity, pages, reconcile, rules, tables
 from reconspark.plans import audit
 from reconspark.schemas import FRAGMENT_TITLE, INVENTORY, INVENTORY_KIND, IUL, PAGE, READING, SIGNATURE, TITLE, UNKNOWN_KIND
 from reconspark.storage import Scratch
@@ -311,7 +311,7 @@ def inventory_read(t) -> DataFrame:
     """Rows of inventory pages: code from suffix and nearest prefix, revision and box beside the anchor."""
     ocr = _ocr(t)
     typed = Scratch(ocr.sparkSession, "known").save(pages.type_pages(ocr).select("photo_id", "kind"), "typed")
-    return pages.inventory_rows(ocr, typed).select("seq", "code", "tom", "revision", "box", "photo_id")
+    return tables.inventory_rows(ocr, typed).select("seq", "code", "tom", "revision", "box", "photo_id")
 
 
 INVENTORY_READ = _PAGES + "select k * 1000000 + 630 as seq, code, '4.3.7.' || m as tom, cast(m as int) as revision, cast(k % 90 + 1 as int) as box, cast(k as int) as photo_id from p where g = 2"

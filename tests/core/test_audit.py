@@ -59,7 +59,7 @@ def test_signing_rows_are_read_and_seals_judged(spark):
     signed["lines"].append({"text": "Нормоконтроль Иванов", "words": [word("Нормоконтроль", 60, 900), word("Иванов", 420, 900)]})
     seals = spark.createDataFrame([(1, "Круглая форма не найдена", 0.4)], "photo_id int, status string, score double")
     t = audit.audit(frame(spark, [page(1, TITLE), (2, json.dumps(signed, ensure_ascii=False))]), seals=seals)
-    found = topics(t, rules.page_rules)
+    found = topics(t)
     assert found["Печать на титуле"]["photos"] == [1] and "Подписная таблица не распознана" not in found
     assert found["Подписи: проверка отдельных строк"]["photos"] == [2]
     unseen = rules.Tables(t.pages.withColumn("signatures", F.lit(None).cast(dict(t.pages.dtypes)["signatures"])), t.inventory)
@@ -84,6 +84,17 @@ def test_inventory_page(spark):
     assert "Нет фотографий тома" not in topics(t, rules.missing_volumes) and audit.counters(t).first()["inventory_only"]
 
 
+def test_cut_codes_are_completed_and_lines_bind_pages(spark):
+    """A code cut at a hyphen takes the only longer one of its volume; a page whose line is a known code takes it and becomes a title."""
+    rows = spark.createDataFrame([(1, "ABC-", "5.1"), (2, "ABC-17", "5.1"), (3, "ABC-", "5.2"), (4, "X/", "5.3"), (5, "X/1", "5.3"), (6, "X/2", "5.3"), (7, "ABC-", None)], "seq int, code string, tom string")
+    assert {r["seq"]: r["code"] for r in audit.completed_codes(rows).collect()} == {1: "ABC-17", 2: "ABC-17", 3: "ABC-", 4: "X/", 5: "X/1", 6: "X/2", 7: "ABC-"}
+    ws = [word("Шифр", 260, 300), word("Наименование", 600, 300), word("1.", 30, 600), word("СП-12/Б", 260, 600), word("2.", 30, 800), word("СП-14", 260, 800)]
+    listed = (1, json.dumps({"file": "a", "text": "Опись Шифр Наименование ТКР", "language": "ru", "width": W, "height": H, "lines": [{"text": "", "words": ws}]}, ensure_ascii=False))
+    t = audit.audit(frame(spark, [listed, page(2, "Книга 3. Отчет\nСП-12/Б (Изм. 2)"), page(3, "Книга 4. Смета\nсм. СП-12/Б и другие"), page(4, "Письмо\nСП-14\nСП-12/Б")]))
+    got = {r["photo_id"]: (r["kind"], r["code"]) for r in t.pages.collect()}
+    assert got == {1: ("Опись", None), 2: ("Титул", "СП-12/Б"), 3: ("Не определено", None), 4: ("Не определено", None)}
+
+
 def test_override_has_three_states(spark):
     o = frame(spark, [page(1, "Опись\nИЛО3"), page(2, "Книга"), page(3, "Текст")])
     choice = spark.createDataFrame([(1, False, False), (3, True, False)], "photo_id int, selected boolean, manual boolean")
