@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reconspark.functions import text as X
+from reconspark.storage import Scratch
 
 #: Characters of the keys that one automaton holds.
 KEY_CHARACTERS = 1_000_000
@@ -58,7 +59,7 @@ def _held(texts: DataFrame, keys: DataFrame, text: str, key: str) -> DataFrame:
     The keys are a stated query set: they go to the tasks in blocks of about KEY_CHARACTERS, each compared with all texts, so what a task
     holds is bounded however many keys there are. Null and empty keys are in no text, null texts hold none.
     """
-    asked = keys.where(F.length(key) > 0).select(key).distinct()
+    asked = Scratch(texts.sparkSession, "keys").save(keys.where(F.length(key) > 0).select(key).distinct(), "keys")
     blocks = max(1, -(-asked.agg(F.coalesce(F.sum(F.length(key)), F.lit(0))).first()[0] // KEY_CHARACTERS))
     schema = T.StructType([*texts.schema.fields]).add(key, "string")
     at = texts.columns.index(text)

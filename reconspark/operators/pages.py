@@ -49,7 +49,9 @@ def type_pages(ocr: DataFrame, overrides: DataFrame | None = None, rules: DataFr
     p = p.join(fields.codes_under_labels(ocr).withColumnRenamed("field", "__below"), "photo_id", "left").join(fields.title_codes(ocr), "photo_id", "left").join(fields.iul_bodies(ocr), "photo_id", "left")
     # Rows matter only where nothing but rows is missing.
     maybe = ocr.where(looks_like_inventory(F.col("text"), F.lit(True)) & ~looks_like_inventory(F.col("text"), F.lit(False)))
-    parsed = Scratch(ocr.sparkSession, "pages").save(tables.pages_with_rows(maybe, rules), "rows").withColumn("__rows", F.lit(True))
+    scratch = Scratch(ocr.sparkSession, "pages")
+    parsed = scratch.save(tables.pages_with_rows(maybe, scratch, rules), "rows").withColumn("__rows", F.lit(True))
+    scratch.keep("rows")
     p = p.join(parsed, "photo_id", "left")
     p = p.withColumn("legacy", X.page_code(t)).withColumn("__inline", inline_code(t)).withColumn("field", F.coalesce("__inline", "__below"))
     fits = F.col("__inline").isNotNull() | F.col("legacy").isNull() | (~F.col("field").contains(" ") & X.key("field").contains(X.key("legacy")))

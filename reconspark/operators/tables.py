@@ -131,7 +131,7 @@ def cell_text(ws: Column) -> Column:
     return F.aggregate(fields.rows_of(ws), F.lit(""), glue)
 
 
-def table_rows(ocr: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+def table_rows(ocr: DataFrame, rules: DataFrame | None = None, scratch: Scratch | None = None) -> DataFrame:
     """photo_id, code, volume, y, top, bottom, continuation, column_right: the physical rows of a page's table, whatever their codes look like.
 
     Bands are cut by ruled lines, row numbers or volumes; the words whose centres a band holds in the code column are its code. Head
@@ -144,7 +144,8 @@ def table_rows(ocr: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     inside = (F.col("x") + F.col("bw") / 2 >= F.col("left")) & (F.col("x") + F.col("bw") / 2 < F.col("right"))
     number = (F.col("x") < F.least(F.col("w") * NUMBER_RIGHT_W, F.col("left") * NUMBER_OF_LEFT)) & below & F.col("text").rlike(ROW_NUMBER)
     volume = (F.col("x") < F.col("left")) & (F.col("x") > F.col("w") * VOLUME_LEFT_W) & below & F.col("text").rlike(VOLUME)
-    w = w.withColumns({"inside": inside, "number": number, "volume": volume, "centre": at})
+    w = w.withColumns({"inside": inside, "number": number, "volume": volume, "centre": at}).where("inside or number or volume or text rlike '" + GUIDE_WORD + "'")
+    w = (scratch or Scratch(ocr.sparkSession, "cells")).save(w.drop("w", "nx", "mx", "my", "mw", "left"), "cells")
     sorted_ = lambda when: F.array_sort(F.collect_list(F.when(when, F.struct("y", "line_no", "x", "bh"))))
     head = ["photo_id", "h", "bottom", "mh", "right", "rules"]
     pages = w.groupBy(head).agg(sorted_(F.col("number")).alias("numbers"), sorted_(F.col("volume")).alias("volumes"), F.min(F.when(F.col("inside") & below, F.col("y"))).alias("first"))
@@ -162,21 +163,26 @@ def table_rows(ocr: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     return rows.where(F.col("code").isNotNull() & ~title & ~guide).select("photo_id", "code", "volume", "y", "top", F.col("end").alias("bottom"), ((F.coalesce("numbers", F.lit(0)) == 0) & F.col("volume").isNull()).alias("continuation"), F.col("right").alias("column_right"))
 
 
-def _families(w: DataFrame, own: DataFrame) -> DataFrame:
-    """photo_id, rows (code, tom, y): rows found by a code's suffix, then by a volume where the page has codes of its family.
+def _families(own: DataFrame, scratch: Scratch) -> DataFrame:
+    """photo_id, code, tom, anchor_y: rows found by a code's suffix, then by a volume where the page has codes of its family.
 
     A suffix takes the nearest prefix, or the page's only one; the same code within SAME_CODE_Y is the same row. A volume within SAME_ROW_Y
     of a row may only complete that row's code.
     """
-    prefix = w.select("photo_id", F.col("x").alias("px"), F.col("y").alias("py"), F.regexp_extract(X.code_text("text"), f"^({PREFIX})-?$", 1).alias("prefix")).where("prefix <> ''")
+    read = F.replace(X.digits("text"), F.lit(","), F.lit("."))
+    rest = lambda family: F.concat(F.lit(family), F.substr("v", F.lit(3)))
+    marks = fields.page_words(own).select("photo_id", "w", "x", "y", "line_no", F.nullif(F.regexp_extract(X.code_text("text"), f"^({PREFIX})-?$", 1), F.lit("")).alias("prefix"), F.when((F.col("x") > F.col("w") * SUFFIX_FROM_W) & (F.col("x") < F.col("w") * SUFFIX_TO_W), X.inventory_suffix("text")).alias("own"), F.when(F.col("x") < F.col("w") * VOLUME_W, read).alias("v"))
+    marks = marks.withColumn("volume", F.when(F.col("v").rlike(TKR_VOLUME), rest("ТКР")).when(F.col("v").rlike(ILO_VOLUME), rest("ИЛО"))).drop("v")
+    # Written, since what follows reads it several times and these expressions are long.
+    marks = scratch.save(marks.where("prefix is not null or own is not null or volume is not null"), "marks")
+    prefix = marks.where("prefix is not null").select("photo_id", F.col("x").alias("px"), F.col("y").alias("py"), "prefix")
     every = F.array_distinct(F.regexp_extract_all(X.code_text("text"), F.lit(f"({PREFIX})"), F.lit(1)))
     lone = own.select("photo_id", F.when(F.size(every) == 1, F.get(every, F.lit(0))).alias("lone"))
-    suffix = w.where((F.col("x") > F.col("w") * SUFFIX_FROM_W) & (F.col("x") < F.col("w") * SUFFIX_TO_W)).select("photo_id", "w", "x", "y", "line_no", X.inventory_suffix("text").alias("suffix")).where("suffix is not null").withColumn("own", F.lit(True))
-    read = F.replace(X.digits("text"), F.lit(","), F.lit("."))
-    volume = w.where(F.col("x") < F.col("w") * VOLUME_W).select("photo_id", "w", "x", "y", "line_no", read.alias("v")).withColumn("suffix", F.when(F.col("v").rlike(TKR_VOLUME), F.concat(F.lit("ТКР"), F.substr("v", F.lit(3)))).when(F.col("v").rlike(ILO_VOLUME), F.concat(F.lit("ИЛО"), F.substr("v", F.lit(3))))).where("suffix is not null")
+    suffix = marks.where("own is not null").select("photo_id", "w", "x", "y", "line_no", F.col("own").alias("suffix"), F.lit(True).alias("own"))
+    volume = marks.where("volume is not null").select("photo_id", "w", "x", "y", "line_no", F.col("volume").alias("suffix"), F.lit(False).alias("own"))
     family = lambda c: F.substring(c, 1, 3)
     met = suffix.select("photo_id", family("suffix").alias("f")).distinct()
-    volume = volume.join(met, (volume["photo_id"] == met["photo_id"]) & (family("suffix") == met["f"]), "left_semi").drop("v").withColumn("own", F.lit(False))
+    volume = volume.join(met, (volume["photo_id"] == met["photo_id"]) & (family("suffix") == met["f"]), "left_semi")
     anchors = suffix.unionByName(volume)
     near = anchors.join(prefix, "photo_id").where((F.abs(F.col("px") - F.col("x")) < F.col("w") * PREFIX_W) & (F.abs(F.col("py") - F.col("y")) < PREFIX_Y))
     near = near.groupBy("photo_id", "x", "y", "suffix", "own").agg(F.min_by("prefix", F.abs(F.col("py") - F.col("y"))).alias("near"))
@@ -196,10 +202,10 @@ def _families(w: DataFrame, own: DataFrame) -> DataFrame:
     return found.select("photo_id", F.explode(F.aggregate("found", F.array().cast(row), step)).alias("r")).select("photo_id", "r.code", X.tom("r.code").alias("tom"), F.col("r.y").alias("anchor_y"))
 
 
-def pages_with_rows(ocr: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+def pages_with_rows(ocr: DataFrame, scratch: Scratch, rules: DataFrame | None = None) -> DataFrame:
     """photo_id of the pages on which a row can be read, by its code's family or by its cell."""
-    known = _families(fields.page_words(ocr), ocr).select("photo_id")
-    return known.union(table_rows(ocr, rules).select("photo_id")).distinct()
+    known = _families(ocr, scratch).select("photo_id")
+    return known.union(table_rows(ocr, rules, scratch).select("photo_id")).distinct()
 
 
 def banded_rows(ocr: DataFrame, scratch: Scratch, rules: DataFrame | None = None) -> DataFrame:
@@ -208,8 +214,8 @@ def banded_rows(ocr: DataFrame, scratch: Scratch, rules: DataFrame | None = None
     Rows known by their code's family that stand in a band of the table take that band, whose code is theirs; bands in which none stands
     are rows of their own, with the code that the cell holds. Rows outside all bands have none (top is null).
     """
-    known = scratch.save(_families(fields.page_words(ocr), ocr), "known")
-    physical = scratch.save(table_rows(ocr, rules), "physical")
+    known = scratch.save(_families(ocr, scratch), "known")
+    physical = scratch.save(table_rows(ocr, rules, scratch), "physical")
     kept = ["top", "bottom", "y", "continuation", "column_right"]
     banded = geometry.last_start(known, physical, ["photo_id"], "anchor_y", "top", kept, "bottom").where("anchor_y < bottom")
     outside = known.join(banded.select("photo_id", "code", "anchor_y"), ["photo_id", "code", "anchor_y"], "left_anti")

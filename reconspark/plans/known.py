@@ -317,6 +317,25 @@ def inventory_read(t) -> DataFrame:
 INVENTORY_READ = _PAGES + "select k * 1000000 + 630 as seq, code, '4.3.7.' || m as tom, cast(m as int) as revision, cast(k % 90 + 1 as int) as box, cast(k as int) as photo_id from p where g = 2"
 
 
+def table_read(t) -> DataFrame:
+    """Rows of tables whose codes are of no family: by row numbers (with a guide row under the head) or by volumes, codes wrapped in their cells."""
+    k, n, m = F.col("k"), F.col("n").cast("string"), F.col("m").cast("string")
+    word = lambda text, x, y: F.struct((F.lit(text) if isinstance(text, str) else text).alias("text"), F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y"), F.lit(90.0).alias("width"), F.lit(25.0).alias("height"))
+    every = [word("Шифр", 260, 300), word("Наименование", 600, 300), word("K-", 260, 600), word(_join(k, "/А"), 260, 640), word("СП", 260, 800), word(_join(n, "-", m), 360, 800)]
+    every += [word("Книга", 600, 600), word(_join(n, "."), 705, 600), word("Отчет", 800, 600), word("Изм.", 970, 600), word(m, 1070, 600)]
+    numbered = [word("3", 270, 440), word("4", 650, 440), word("5", 990, 440), word("1.", 30, 600), word("2.", 30, 800)]
+    volumes = [word(_join("5.", n), 130, 600), word(_join("6.", n), 130, 800)]
+    lines = F.array(F.struct(F.lit("").alias("text"), F.concat(F.array(*every), F.when(F.col("even"), F.array(*volumes)).otherwise(F.array(*numbered))).alias("words")))
+    ocr = _codes(t).select(k.cast("int").alias("photo_id"), F.lit("a").alias("file"), F.lit("Опись").alias("text"), F.lit("ru").alias("language"), F.lit(1200).alias("width"), F.lit(2200).alias("height"), lines.alias("lines"))
+    rows = tables.inventory_rows(ocr, ocr.select("photo_id", F.lit(INVENTORY_KIND).alias("kind")))
+    return rows.select("photo_id", "code", "tom", "book", "revision", "book_number", "anchor_y", "book_continuation")
+
+
+TABLE_READ = """with c as (select p_partkey as k, 1 + p_partkey % 9 as n, 1 + p_partkey % 8 as m, p_partkey % 2 = 0 as even from part)
+select cast(k as int) as photo_id, 'K-' || k || '/А' as code, case when even then '5.' || n end as tom, 'Отчет' as book, cast(m as int) as revision, cast(n as int) as book_number, 600.0::double as anchor_y, false as book_continuation from c
+union all select cast(k as int), 'СП ' || n || '-' || m, case when even then '6.' || n end, null, null, null, 800.0::double, false from c"""
+
+
 def revision_read(t) -> DataFrame:
     """The number under the label of a change, and readings of other passes that replace page fields."""
     ocr = _ocr(t)
@@ -341,5 +360,5 @@ select cast(k as int) as photo_id, cast(0 as bigint) as line_no, cast(i - 1 as b
 QUERIES = {
     "rule_findings": (rule_findings, FINDINGS + "select * from found"), "audit_counters": (audit_counters, COUNTERS), "code_forms": (code_forms, CODE_FORMS), "text_forms": (text_forms, TEXT_FORMS), "section_forms": (section_forms, SECTION_FORMS),
     "date_forms": (date_forms, DATE_FORMS), "line_codes": (line_codes, LINE_CODES), "crc_votes": (crc_votes, CRC_VOTES), "choice_covers": (choice_covers, CHOICE_COVERS), "label_matches": (label_matches, LABEL_MATCHES), "rectangles": (rectangles, RECTANGLES),
-    "page_kinds": (page_kinds, PAGE_KINDS), "inventory_read": (inventory_read, INVENTORY_READ), "revision_read": (revision_read, REVISION_READ), "page_words": (page_words, PAGE_WORDS),
+    "page_kinds": (page_kinds, PAGE_KINDS), "inventory_read": (inventory_read, INVENTORY_READ), "revision_read": (revision_read, REVISION_READ), "table_read": (table_read, TABLE_READ), "page_words": (page_words, PAGE_WORDS),
 }
