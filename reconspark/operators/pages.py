@@ -92,14 +92,26 @@ def apply_readings(pages: DataFrame, readings: DataFrame) -> DataFrame:
     return pages.join(wide, "photo_id", "left").select(*(read(c) if c in fields else c for c in pages.columns))
 
 
-def labelled_revision(ocr: DataFrame) -> DataFrame:
-    """photo_id, revision: the one number under the label "номер ... изменения"."""
+def revision_labels(ocr: DataFrame) -> DataFrame:
+    """photo_id, w, h, lx, ly, lw, lh: the topmost label "номер ... изменения" of each page."""
     w = _words(ocr)
     n = X.fold_form("text")
     label = w.where(n.rlike("^ИЗМЕНЕНИ[ЯЙ][.:]?$")).select("photo_id", "w", "h", F.col("x").alias("lx"), F.col("y").alias("ly"), F.col("bw").alias("lw"), F.col("bh").alias("lh"))
     above = w.where(n == "НОМЕР").select("photo_id", F.col("x").alias("nx"), F.col("y").alias("ny"), F.col("bw").alias("nw"))
     near = label.join(above, "photo_id").where((F.col("ny") <= F.col("ly") + F.col("lh")) & (F.col("ny") > F.col("ly") - F.greatest(F.col("lh") * 5, F.col("h") * 0.10)) & (F.abs(F.col("nx") + F.col("nw") / 2 - F.col("lx") - F.col("lw") / 2) < F.greatest(F.col("lw") * 1.5, F.col("w") * 0.13)))
-    label = near.groupBy("photo_id").agg(F.min_by(F.struct("w", "h", "lx", "ly", "lw", "lh"), F.struct("ly", "lx")).alias("l")).select("photo_id", "l.*")
+    return near.groupBy("photo_id").agg(F.min_by(F.struct("w", "h", "lx", "ly", "lw", "lh"), F.struct("ly", "lx")).alias("l")).select("photo_id", "l.*")
+
+
+def current_readings(readings: DataFrame, ocr: DataFrame, typed: DataFrame) -> DataFrame:
+    """Readings without those of `Pages`, and without those of `Revision` on IUL pages that have no labelled cell for it."""
+    allowed = revision_labels(ocr).select("photo_id").union(typed.where(F.col("kind") != IUL).select("photo_id"))
+    return readings.where("field not in ('Pages', 'Revision')").unionByName(readings.where("field = 'Revision'").join(allowed, "photo_id", "left_semi"))
+
+
+def labelled_revision(ocr: DataFrame) -> DataFrame:
+    """photo_id, revision: the one number under the label "номер ... изменения"."""
+    w, label = _words(ocr), revision_labels(ocr)
+    n = X.fold_form("text")
     pad, top = F.greatest(F.col("lh") * 2, F.col("w") * 0.025), F.greatest(F.lit(0.0), F.col("ly") - F.greatest(F.col("lh") * 4, F.col("h") * 0.04))
     cx, cy = F.col("x") + F.col("bw") / 2, F.col("y") + F.col("bh") / 2
     inside = cx.between(F.col("lx") - pad, F.col("lx") + F.col("lw") + pad) & cy.between(top, F.col("ly") + F.col("lh") + F.greatest(F.col("lh") * 7, F.col("h") * 0.12))

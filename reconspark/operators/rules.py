@@ -192,7 +192,10 @@ def page_rules(t: Tables) -> list[DataFrame]:
     examined = F.col("signatures").isNotNull()
     evidence = p.where((F.col("kind") == TITLE) & ((signed > 0) | (F.col("seal.score") > SEAL_LIMIT))).select("code", "organization", F.col("photo_id").alias("other"))
     bare = p.where((F.col("kind") == TITLE) & (signed == 0) & ~F.coalesce("text", F.lit("")).rlike("(?iu)(?:Главный|Заместитель|Начальник)\\s"))
-    cover = bare.alias("x").join(evidence.alias("e"), F.col("x.code").eqNullSafe(F.col("e.code")) & F.col("x.organization").eqNullSafe(F.col("e.organization")) & (F.col("x.photo_id") != F.col("e.other")), "left_semi").select("photo_id")
+    # Another page than the cover itself: the least or the greatest page with evidence. A row a key, so that no two sides of a hot key meet.
+    others = evidence.groupBy("code", "organization").agg(F.min("other").alias("low"), F.max("other").alias("high"))
+    same = F.col("x.code").eqNullSafe(F.col("e.code")) & F.col("x.organization").eqNullSafe(F.col("e.organization"))
+    cover = bare.alias("x").join(others.alias("e"), same).where("low <> photo_id or high <> photo_id").select("photo_id")
     seal = p.where((F.col("kind") == TITLE) & (F.col("seal.score") <= SEAL_LIMIT)).join(cover, "photo_id", "left_anti")
     open_ = F.filter("signatures", lambda s: ~s["status"].startswith(VERIFIED))
     rows = F.array_join(F.transform(open_, lambda s: F.concat(s["role"], F.lit(" ("), F.coalesce(s["name"], F.lit("имя не прочитано")), F.lit("): "), s["status"])), "; ")

@@ -38,8 +38,9 @@ def audit(ocr: DataFrame, registry: DataFrame | None = None, overrides: DataFram
     rows = scratch.save(completed_codes(fields.inventory_sections(ocr, rows)), "rows")
     typed = scratch.save(bind_codes(typed, rows, ocr), "bound").join(fields.footer_numbers(ocr), "photo_id", "left").withColumn("page", F.when(F.col("kind") == IUL, F.col("number"))).drop("number")
     if readings is not None:
+        readings = scratch.save(pages.current_readings(readings, ocr, typed), "readings")
         typed = pages.apply_readings(typed, readings)
-        kept = readings.where("field <> 'Pages'").groupBy("photo_id").agg(F.collect_list(F.struct("field", "value", "status", "candidates")).alias("readings"))
+        kept = readings.groupBy("photo_id").agg(F.collect_list(F.struct("field", "value", "status", "candidates")).alias("readings"))
         typed = typed.join(kept, "photo_id", "left")
     else:
         typed = typed.withColumn("readings", F.lit(None).cast(f"array<{READING}>"))

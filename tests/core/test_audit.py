@@ -4,9 +4,9 @@ import json
 
 from pyspark.sql import functions as F
 
-from reconspark.operators import reconcile, rules
+from reconspark.operators import pages, reconcile, rules
 from reconspark.plans import audit
-from reconspark.schemas import OCR
+from reconspark.schemas import INVENTORY, OCR, PAGE
 
 W, H = 1200, 2200
 
@@ -132,6 +132,25 @@ def test_unread_and_disputed_readings(spark):
     assert t.pages.where("photo_id = 2").first()["crc"] is None  # a disputed reading erases the page's own
 
 
+def test_readings_of_a_cell_that_is_not_there_are_dropped(spark):
+    """A Revision reading counts on an IUL page with a labelled cell only, and on pages of other kinds; Pages readings never."""
+    sheet = json.loads(page(2, iul("Ограждения"))[1])
+    sheet["lines"].append({"text": "", "words": [word("Номер", 600, 1460), word("изменения", 600, 1500), word("2", 620, 1560)]})
+    ocr = frame(spark, [page(1, iul("Ограждения")), (2, json.dumps(sheet, ensure_ascii=False)), page(3, "x")])
+    typed = spark.createDataFrame([(1, "ИУЛ"), (2, "ИУЛ"), (3, "Титул")], "photo_id int, kind string")
+    readings = spark.createDataFrame([(i, f, "3") for i in (1, 2, 3) for f in ("Revision", "Pages", "CRC")], "photo_id int, field string, value string")
+    assert sorted((r["photo_id"], r["field"]) for r in pages.current_readings(readings, ocr, typed).collect()) == [(1, "CRC"), (2, "CRC"), (2, "Revision"), (3, "CRC"), (3, "Revision")]
+
+
+def test_covers_beside_a_signed_title_need_no_seal(spark):
+    """A bare title is left alone if another title of its code and organization is signed or sealed; without a code too."""
+    signed = [("Разработал", "Иванов", "X", "Найдены", False)]
+    row = lambda i, code, who=(), score=0.4, text="Титул": (i, "Титул", code, None, "X", None, None, None, None, None, None, text, None, list(who), ("Круглая форма не найдена", score), None, None)
+    rows = [row(1, "A"), row(2, "A", signed, 0.7), row(3, None), row(4, None, (), 0.9), row(5, "B"), row(6, "C", (), 0.9), row(7, "A", (), 0.4, "Главный инженер")]
+    t = rules.Tables(spark.createDataFrame(rows, PAGE), spark.createDataFrame([], INVENTORY))
+    assert sorted(r["photos"][0] for r in rules.page_rules(t)[0].collect()) == [5, 7]
+
+
 def test_recheck_keeps_the_rest(spark):
     o = frame(spark, [page(1, TITLE), page(2, "x")])
     again = frame(spark, [page(1, "y"), page(2, TITLE)])
