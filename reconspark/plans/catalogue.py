@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from reconspark.functions import text as X
 from reconspark.operators import classify, consensus, evaluate, geometry, identity, reconcile, stats
 from reconspark.plans import known
+from reconspark.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -87,6 +88,13 @@ def digest_dedup(t):
     return t("documents").where("text is not null").groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("digest")).agg(F.min("doc_id").alias("survivor"), F.count("*").alias("copies"))
 
 
+@query("""with d as (select doc_id, bool_or(doc_id % 7 = 0) over (partition by text) as named, min(doc_id) over (partition by text) as low from documents where text is not null)
+select doc_id, named from d where not named or doc_id = low""")
+def copies_dropped(t):
+    files_ = t("documents").where("text is not null").select("doc_id", F.col("text").cast("binary").alias("content"), (F.col("doc_id") % 7 == 0).alias("named"))
+    return files.drop_copies(files_, order="doc_id", explicit="named").select("doc_id", "named")
+
+
 @query(r"""select doc_id, md5(trim(regexp_replace(translate(upper(replace(coalesce(text, ''), 'ß', 'ss')), 'Ё–—', 'Е--'), '\s+', ' ', 'g'))) as normal_md5
 from documents""")
 def normalize_text(t):
