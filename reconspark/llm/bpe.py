@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import json
 import re
+import struct
 
 import numpy as np
 import tiktoken
@@ -46,9 +47,12 @@ class Ids(dict):
     def __init__(self, path: str):
         self.encoding = encoding(path)
         self.special = tuple(self.encoding.special_tokens_set)
+        self.held = re.compile("|".join(map(re.escape, self.special))).search if self.special else None
 
     def __missing__(self, piece: str) -> bytes:
-        out = np.array(self.encoding.encode(piece, allowed_special="all"), "<u4").tobytes()
+        special = self.held(piece) if self.held else None
+        ids = self.encoding.encode(piece, allowed_special="all") if special else self.encoding.encode_ordinary(piece)
+        out = struct.pack(f"<{len(ids)}I", *ids)
         if len(piece) <= LONGEST_KEPT:
             if len(self) > MOST_KEPT:
                 self.clear()
