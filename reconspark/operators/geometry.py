@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reconspark.storage import unbounded
+
 WORD = "struct<text:string,x:double,y:double,width:double,height:double>"
 
 
 def words(pages: DataFrame, ids: list[str], lines: str = "lines") -> DataFrame:
     """ids, line_no, word_no, text, x, y, width, height: a row for each word; lines without words give none."""
-    return pages.select(*ids, F.posexplode(lines).alias("line_no", "__line")).select(*ids, "line_no", F.posexplode("__line.words").alias("word_no", "__w")).select(*ids, "line_no", "word_no", "__w.*")
+    return unbounded(pages).select(*ids, F.posexplode(lines).alias("line_no", "__line")).select(*ids, "line_no", F.posexplode("__line.words").alias("word_no", "__w")).select(*ids, "line_no", "word_no", "__w.*")
 
 
 def spaced(positions: Column, least: Column | float) -> Column:

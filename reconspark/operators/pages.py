@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from reconspark.functions import text as X
 from reconspark.operators import classify, fields, geometry, tables
 from reconspark.schemas import FRAGMENT_TITLE, INVENTORY_KIND, IUL, TITLE, UNKNOWN_KIND
-from reconspark.storage import Scratch
+from reconspark.storage import Scratch, unbounded
 
 
 def looks_like_iul(text: Column) -> Column:
@@ -42,14 +42,14 @@ def type_pages(ocr: DataFrame, overrides: DataFrame | None = None, rules: DataFr
     if overrides is None:
         p = p.withColumn("selected", F.lit(None).cast("boolean")).withColumn("manual", F.lit(False))
     else:
-        p = p.join(overrides.select("photo_id", "selected", "manual"), "photo_id", "left")
+        p = p.join(unbounded(overrides.select("photo_id", "selected", "manual")), "photo_id", "left")
     t = F.col("text")
     head = _words(ocr).where(F.col("y") < F.col("h") * 0.17).groupBy("photo_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y", "x", "text"))), lambda w: w["text"]), " ").alias("__head"))
     p = p.join(head, "photo_id", "left")
     p = p.join(fields.codes_under_labels(ocr).withColumnRenamed("field", "__below"), "photo_id", "left").join(fields.title_codes(ocr), "photo_id", "left").join(fields.iul_bodies(ocr), "photo_id", "left")
     # Rows matter only where nothing but rows is missing.
     maybe = ocr.where(looks_like_inventory(F.col("text"), F.lit(True)) & ~looks_like_inventory(F.col("text"), F.lit(False)))
-    scratch = Scratch(ocr.sparkSession, "pages")
+    scratch = Scratch(ocr.sparkSession, "pages", large=True)
     parsed = scratch.save(tables.pages_with_rows(maybe, scratch, rules), "rows").withColumn("__rows", F.lit(True))
     scratch.keep("rows")
     p = p.join(parsed, "photo_id", "left")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from reconspark.functions import text as X
 from reconspark.operators import fields, geometry, pixels
 from reconspark.schemas import INVENTORY_KIND
-from reconspark.storage import Scratch
+from reconspark.storage import Scratch, unbounded
 
 # Words of table heads and shares of the page's width (w) and height (h), or of the head's (m).
 CODE_HEAD, NAME_HEAD, BODY_WORD = "(?iu)^(?:ШИФР|ОБОЗНАЧЕНИЕ)", "(?iu)^НАИМЕНОВАНИЕ", "(?iu)^(?:Книга|Часть)$"
@@ -145,7 +145,7 @@ def table_rows(ocr: DataFrame, rules: DataFrame | None = None, scratch: Scratch
     number = (F.col("x") < F.least(F.col("w") * NUMBER_RIGHT_W, F.col("left") * NUMBER_OF_LEFT)) & below & F.col("text").rlike(ROW_NUMBER)
     volume = (F.col("x") < F.col("left")) & (F.col("x") > F.col("w") * VOLUME_LEFT_W) & below & F.col("text").rlike(VOLUME)
     w = w.withColumns({"inside": inside, "number": number, "volume": volume, "centre": at}).where("inside or number or volume or text rlike '" + GUIDE_WORD + "'")
-    w = (scratch or Scratch(ocr.sparkSession, "cells")).save(w.drop("w", "nx", "mx", "my", "mw", "left"), "cells")
+    w = (scratch or Scratch(ocr.sparkSession, "cells", large=True)).save(w.drop("w", "nx", "mx", "my", "mw", "left"), "cells")
     sorted_ = lambda when: F.array_sort(F.collect_list(F.when(when, F.struct("y", "line_no", "x", "bh"))))
     head = ["photo_id", "h", "bottom", "mh", "right", "rules"]
     pages = w.groupBy(head).agg(sorted_(F.col("number")).alias("numbers"), sorted_(F.col("volume")).alias("volumes"), F.min(F.when(F.col("inside") & below, F.col("y"))).alias("first"))
@@ -156,7 +156,7 @@ def table_rows(ocr: DataFrame, rules: DataFrame | None = None, scratch: Scratch
     cells = cells.groupBy("photo_id", *kept).agg(cell_text(F.collect_list(fields.as_word())).alias("cell"), F.min("y").alias("y"), F.max("y").alias("lowest"))
     started = geometry.last_start(plain.where(F.col("number") | F.col("volume") | F.col("text").rlike(GUIDE_WORD)), bands, ["photo_id"], "y", "top", kept, "end").where("y < end")
     started = started.groupBy("photo_id", "top").agg(F.count_if("number").alias("numbers"), F.min(F.when(F.col("volume"), F.struct("y", "line_no", "text")))["text"].alias("volume"), F.count_if(F.col("text").rlike(GUIDE_WORD)).alias("guides"))
-    rows = cells.join(started, ["photo_id", "top"], "left").withColumn("code", X.value("cell"))
+    rows = cells.join(unbounded(started), ["photo_id", "top"], "left").withColumn("code", X.value("cell"))
     high = lambda heads: F.col("lowest") < F.col("head") + F.col("mh") * heads
     title = F.col("code").rlike(HEAD_WORD) & high(2)
     guide = high(4) & (F.coalesce("guides", F.lit(0)) >= 3)
@@ -177,7 +177,7 @@ def _families(own: DataFrame, scratch: Scratch) -> DataFrame:
     marks = scratch.save(marks.where("prefix is not null or own is not null or volume is not null"), "marks")
     prefix = marks.where("prefix is not null").select("photo_id", F.col("x").alias("px"), F.col("y").alias("py"), "prefix")
     every = F.array_distinct(F.regexp_extract_all(X.code_text("text"), F.lit(f"({PREFIX})"), F.lit(1)))
-    lone = own.select("photo_id", F.when(F.size(every) == 1, F.get(every, F.lit(0))).alias("lone"))
+    lone = unbounded(own).select("photo_id", F.when(F.size(every) == 1, F.get(every, F.lit(0))).alias("lone"))
     suffix = marks.where("own is not null").select("photo_id", "w", "x", "y", "line_no", F.col("own").alias("suffix"), F.lit(True).alias("own"))
     volume = marks.where("volume is not null").select("photo_id", "w", "x", "y", "line_no", F.col("volume").alias("suffix"), F.lit(False).alias("own"))
     family = lambda c: F.substring(c, 1, 3)
@@ -186,7 +186,7 @@ def _families(own: DataFrame, scratch: Scratch) -> DataFrame:
     anchors = suffix.unionByName(volume)
     near = anchors.join(prefix, "photo_id").where((F.abs(F.col("px") - F.col("x")) < F.col("w") * PREFIX_W) & (F.abs(F.col("py") - F.col("y")) < PREFIX_Y))
     near = near.groupBy("photo_id", "x", "y", "suffix", "own").agg(F.min_by("prefix", F.abs(F.col("py") - F.col("y"))).alias("near"))
-    coded = anchors.join(near, ["photo_id", "x", "y", "suffix", "own"], "left").join(lone, "photo_id", "left").withColumn("code", F.concat(F.coalesce("near", "lone"), F.lit("-"), F.col("suffix"))).where("code is not null")
+    coded = anchors.join(unbounded(near), ["photo_id", "x", "y", "suffix", "own"], "left").join(lone, "photo_id", "left").withColumn("code", F.concat(F.coalesce("near", "lone"), F.lit("-"), F.col("suffix"))).where("code is not null")
     # Suffixes first, each kind from the top; what the fold carries is the page's rows.
     found = coded.groupBy("photo_id").agg(F.array_sort(F.collect_list(F.struct((~F.col("own")).alias("late"), "y", "line_no", "x", "code"))).alias("found"))
     row = "array<struct<code:string,y:double>>"
@@ -233,8 +233,8 @@ def inventory_rows(ocr: DataFrame, pages: DataFrame, rules: DataFrame | None = N
     continuation row has no book word of its own; its text goes on with the row of the same code before it (book_continuation).
     Steps are written tables, so that each starts from a short plan.
     """
-    scratch = Scratch(ocr.sparkSession, "tables")
-    own = ocr.join(pages.where(F.col("kind") == INVENTORY_KIND).select("photo_id"), "photo_id", "left_semi")
+    scratch = Scratch(ocr.sparkSession, "tables", large=True)
+    own = unbounded(ocr.join(unbounded(pages.where(F.col("kind") == INVENTORY_KIND).select("photo_id")), "photo_id", "left_semi"))
     rows = banded_rows(own, scratch, rules)
     w = scratch.save(fields.page_words(own).withColumn("n", X.fold("text")), "words")
     key = ["photo_id", "no"]
@@ -254,7 +254,7 @@ def inventory_rows(ocr: DataFrame, pages: DataFrame, rules: DataFrame | None = N
     boxes = boxes.where(beside(F.greatest(F.lit(BOX_Y), F.col("h") * BOX_H)) & (F.abs(F.col("x") + F.col("bw") / 2 - F.col("hx") - F.col("hw") / 2) < F.col("w") * BOX_W) & (F.col("y") > F.col("hy") + F.col("hh")) & (F.col("v") > 0))
     box = boxes.groupBy(*key).agg(F.when(F.min("v") == F.max("v"), F.max("v")).alias("box"))
     kinds = own.select("photo_id", X.documentation_kind("text").alias("documentation_kind"))
-    out = rows.join(revision, key, "left").join(box, key, "left").join(book_number, key, "left").join(books.select(*key, F.lit(True).alias("__book")), key, "left").join(kinds, "photo_id", "left")
+    out = rows.join(revision, key, "left").join(box, key, "left").join(book_number, key, "left").join(unbounded(books.select(*key, F.lit(True).alias("__book"))), key, "left").join(kinds, "photo_id", "left")
     out = out.withColumn("book_continuation", F.col("continuation") & F.col("__book").isNull()).withColumn("book", F.lit(None).cast("string"))
     out = fields.inventory_books(own, scratch.save(out, "marked"))
     seq = (F.col("photo_id").cast("long") * 1_000_000 + F.round(F.col("anchor_y")).cast("long")).alias("seq")

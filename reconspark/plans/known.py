@@ -74,7 +74,7 @@ def document_tables(t) -> rules.Tables:
     file = lambda where, j, name, total: b.where(where).select((k * 10 + j).cast("int").alias("row"), F.concat("code", F.lit(name)).alias("file"), total.alias("checksum"))
     registry = file(F.lit(True), 0, ".pdf", F.when(on(10), "87654321").otherwise(crc)).unionByName(file(on(9), 1, " Фрагмент 1.pdf", F.lit("BBBB")))
     union = reduce(DataFrame.unionByName, parts)
-    scratch = Scratch(b.sparkSession, "known")
+    scratch = Scratch(b.sparkSession, "known", large=True)
     return rules.Tables(scratch.save(union, "pages"), scratch.save(inventory, "inventory"), scratch.save(registry, "registry")).settled(scratch)
 
 
@@ -310,7 +310,7 @@ case g when 0 then 'Ленгипротранс' when 1 then 'Желдорпро
 def inventory_read(t) -> DataFrame:
     """Rows of inventory pages: code from suffix and nearest prefix, revision and box beside the anchor."""
     ocr = _ocr(t)
-    typed = Scratch(ocr.sparkSession, "known").save(pages.type_pages(ocr).select("photo_id", "kind"), "typed")
+    typed = Scratch(ocr.sparkSession, "known", large=True).save(pages.type_pages(ocr).select("photo_id", "kind"), "typed")
     return tables.inventory_rows(ocr, typed).select("seq", "code", "tom", "revision", "box", "photo_id")
 
 

@@ -21,6 +21,12 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
+def unbounded(df: DataFrame) -> DataFrame:
+    """df for joins that shuffle both sides. Estimates from file sizes are far too small for tables that compress well or of which few columns
+    are left, and a broadcast would pass such a table whole through the driver."""
+    return df.hint("merge")
+
+
 _watched: list[list[Scratch]] = []
 
 
@@ -38,17 +44,18 @@ def temporary() -> Iterator[None]:
 
 
 class Scratch:
-    """Written tables cut lineage, survive lost executors and have known sizes."""
+    """Written tables cut lineage and survive lost executors. large: they may be of any size, so no join broadcasts them (see unbounded)."""
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.path, self.names = spark, f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}", []
+    def __init__(self, spark: SparkSession, name: str, large: bool = False):
+        self.spark, self.path, self.names, self.large = spark, f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}", [], large
         for made in _watched:
             made.append(self)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{self.path}/{name}")
         self.names.append(name)
-        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
+        saved = self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
+        return unbounded(saved) if self.large else saved
 
     def keep(self, *names: str) -> None:
         """Deletes all saved tables but these: what a lazy result still reads."""

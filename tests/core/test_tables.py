@@ -9,6 +9,7 @@ from reconspark.functions import text as X
 from reconspark.operators import fields, rules, tables
 from reconspark.operators import pages as typing
 from reconspark.plans import audit
+from reconspark.storage import Scratch
 
 from .test_audit import H, W, frame, page, word
 
@@ -127,3 +128,12 @@ def test_rows_show_that_a_page_is_an_inventory(spark):
     ruled = tables.table_rules(ocr, picture(spark, {1: full}))
     assert typing.type_pages(ocr, rules=ruled).first()["kind"] == "Опись"
     assert typing.type_pages(ocr).first()["kind"] == "Не определено"
+
+
+def test_no_step_broadcasts_pages_or_words(spark, monkeypatch):
+    """However small they are estimated: at 60 times sf0.1 these tables filled the driver."""
+    plans, save = [], Scratch.save
+    shown = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(Scratch, "save", lambda self, df, name: (plans.append(shown(df)), save(self, df, name))[1])
+    plans.append(shown(listed(frame(spark, [inventory(1, "ИЛО3.7.1")]))))
+    assert len(plans) > 5 and [p for p in plans if "Broadcast" in p] == []
