@@ -2,23 +2,27 @@
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable, Iterator
-from functools import reduce
+from collections.abc import Iterator
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reconspark.functions import text as X
-from reconspark.storage import Scratch
+from reconspark.storage import Scratch, unbounded
 
-#: Characters of the keys that one automaton holds.
-KEY_CHARACTERS = 1_000_000
+#: Bits of the table of keys (8 MiB) as a power of two, bytes of a block of it, base of the hashes, characters hashed at once, rows of a batch.
+TABLE_BITS, BLOCK, BASE, CHARACTERS, ROWS = 26, 4096, 0x9E3779B97F4A7C15, 200_000, 10_000
+MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Spreads 64-bit values over the whole range (the splitmix64 finaliser)."""
+    x = (x ^ (x >> np.uint64(30))) * MIX[0]
+    x = (x ^ (x >> np.uint64(27))) * MIX[1]
+    return x ^ (x >> np.uint64(31))
 
 
 def unique_keys(codes: DataFrame, code: str = "code") -> DataFrame:
@@ -38,48 +42,112 @@ def complete(rows: DataFrame, group: list[str], prefix: Column, full: str) -> Da
     return rows.withColumn("__p", prefix).join(lone, [*group, "__p"], "left").drop("__p")
 
 
-def _automaton(keys: Broadcast) -> ahocorasick.Automaton:
-    """One automaton a worker process: tasks of the same search use it again."""
-    name, words = keys.value
-    if name not in _built:
-        _built.clear()
-        _built[name] = found = ahocorasick.Automaton()
-        for k in words:
-            found.add_word(k, k)
-        found.make_automaton()
-    return _built[name]
+def _bit(hashes: np.ndarray, size: int) -> np.ndarray:
+    """Places in the bit table of hashes of strings of this length."""
+    return (mixed(hashes + np.uint64(size)) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse modulo 2^64."""
+    of = lambda base: np.cumprod(np.append(np.uint64(1), np.full(n, base, np.uint64)))
+    return of(BASE), of(pow(BASE, -1, 1 << 64))
+
+
+def _points(strings: list[str]) -> np.ndarray:
+    return np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
 
 
-_built: dict[str, ahocorasick.Automaton] = {}
+def _hashes(points: np.ndarray, size: int, up: np.ndarray, down: np.ndarray) -> np.ndarray:
+    """Polynomial hashes modulo 2^64 of the strings of `size` code points that start at each place."""
+    sums = np.append(np.uint64(0), np.cumsum(points * up[: len(points)]))
+    return (sums[size:] - sums[:-size]) * down[: len(points) - size + 1]
+
+
+def _key_table(keys: DataFrame, key: str) -> tuple[np.ndarray, list[int]]:
+    """(table of 2^TABLE_BITS bits with one set for each key, the lengths of keys).
+
+    A task sends only the bits that it sets, by blocks of the table, so what reaches the driver is the table and never the keys.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, sizes = np.zeros(1 << TABLE_BITS - 3, np.uint8), set()
+        for b in batches:
+            by: dict[int, list[str]] = {}
+            for k in b.column(0).to_pylist():
+                by.setdefault(len(k), []).append(k)
+            sizes |= {*by}
+            for size, same in by.items():
+                up, down = _powers(size)
+                bits = _bit((_points(same).reshape(-1, size) * up[:size]).sum(1, dtype=np.uint64) * down[0], size)
+                np.bitwise_or.at(table, bits >> 3, (1 << (bits & 7)).astype(np.uint8))
+        blocks = table.reshape(-1, BLOCK)
+        used = np.flatnonzero(blocks.any(1))
+        found = [(int(i), blocks[i].tobytes(), None) for i in used] + [(None, None, s) for s in sorted(sizes)]
+        for i in range(0, len(found), 256):
+            yield pa.RecordBatch.from_pylist([dict(zip(("block", "bits", "size"), f, strict=True)) for f in found[i : i + 256]], schema)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[int, np.ndarray] = {}
+        for b in batches:
+            for i, bits in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                own[i] = own[i] | np.frombuffer(bits, np.uint8) if i in own else np.frombuffer(bits, np.uint8)
+        yield pa.RecordBatch.from_pylist([{"block": i, "bits": v.tobytes()} for i, v in own.items()], pa.schema({"block": pa.int32(), "bits": pa.binary()}))
+
+    schema = pa.schema({"block": pa.int32(), "bits": pa.binary(), "size": pa.int32()})
+    parts = Scratch(keys.sparkSession, "bits").save(keys.select(key).mapInArrow(run, "block int, bits binary, size int"), "bits")
+    table = np.zeros((1 << TABLE_BITS - 3) // BLOCK * BLOCK, np.uint8).reshape(-1, BLOCK)
+    for r in parts.where("block is not null").select("block", "bits").repartition("block").mapInArrow(merge, "block int, bits binary").toLocalIterator():
+        table[r["block"]] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return table.ravel(), sorted(r[0] for r in parts.where("size is not null").select("size").distinct().collect())
 
 
 def _held(texts: DataFrame, keys: DataFrame, text: str, key: str) -> DataFrame:
-    """texts with each of the keys that they contain (and the other columns of keys): each text is read once by an automaton of the keys.
+    """texts with each of the keys that they contain (and the other columns of keys).
 
-    The keys are a stated query set: they go to the tasks in blocks of about KEY_CHARACTERS, each compared with all texts, so what a task
-    holds is bounded however many keys there are. Null and empty keys are in no text, null texts hold none.
+    The parts of a text that have a key's length are hashed; those whose bit is set in a table of all keys' hashes, of fixed size, are joined
+    to the keys by equality, so a part that no key is costs a row at most and no task holds the keys. Many keys fill the table (10^8:
+    it passes all parts), which costs rows and changes no result. Null and empty keys are in no text, null texts hold none.
     """
-    asked = Scratch(texts.sparkSession, "keys").save(keys.where(F.length(key) > 0).select(key).distinct(), "keys")
-    blocks = max(1, -(-asked.agg(F.coalesce(F.sum(F.length(key)), F.lit(0))).first()[0] // KEY_CHARACTERS))
+    asked = Scratch(texts.sparkSession, "keys", large=True).save(keys.where(F.length(key) > 0).select(key).distinct(), "keys")
+    table, sizes = _key_table(asked, key)
+    shared = texts.sparkSession.sparkContext.broadcast((table.tobytes(), sizes))
     schema = T.StructType([*texts.schema.fields]).add(key, "string")
     at = texts.columns.index(text)
 
-    def search(block: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                automaton = _automaton(block)
-                met = [sorted({k for _, k in automaton.iter(t)}) if t and len(automaton) else [] for t in b.column(at).to_pylist()]
-                rows = pa.array(np.repeat(np.arange(len(met)), [len(m) for m in met]), pa.int64())
-                yield pa.RecordBatch.from_arrays([*b.take(rows).columns, pa.array([k for m in met for k in m], pa.string())], names=schema.names)
-
-        return run
-
-    found = []
-    for block in range(blocks):
-        own = asked.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == block)
-        found.append(texts.mapInArrow(search(texts.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, sorted(r[0] for r in own.collect())))), schema))
-    held = reduce(DataFrame.unionByName, found)
-    return held if keys.columns == [key] else held.join(keys, key)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        raw, sizes = shared.value
+        table = np.frombuffer(raw, np.uint8)
+        for b in batches:
+            whole = b.column(at).to_pylist()
+            for first, last in _runs([len(t or "") for t in whole]):
+                some = whole[first:last]
+                lengths = np.array([len(t or "") for t in some], np.int64)
+                ends = np.cumsum(lengths)
+                points, (up, down) = _points([t or "" for t in some]), _powers(int(ends[-1]))
+                left = np.repeat(ends, lengths) - np.arange(ends[-1])
+                for size in sizes:
+                    if size > len(points):
+                        break
+                    bits = _bit(_hashes(points, size, up, down), size)
+                    place = np.flatnonzero((table[bits >> 3] >> (bits & 7).astype(np.uint8) & 1 > 0) & (left[: len(bits)] >= size))
+                    row = np.searchsorted(ends, place, "right")
+                    start = place - (ends - lengths)[row]
+                    met = sorted({(r, some[r][s : s + size]) for r, s in zip(row.tolist(), start.tolist(), strict=True)})
+                    for i in range(0, len(met), ROWS):
+                        rows = pa.array([first + r for r, _ in met[i : i + ROWS]], pa.int64())
+                        yield pa.RecordBatch.from_arrays([*b.take(rows).columns, pa.array([k for _, k in met[i : i + ROWS]], pa.string())], names=schema.names)
+
+    return texts.mapInArrow(run, schema).join(asked if keys.columns == [key] else unbounded(keys), key)
+
+
+def _runs(lengths: list[int]) -> Iterator[tuple[int, int]]:
+    """(first, end) of runs of texts of about CHARACTERS."""
+    first, total = 0, 0
+    for i, n in enumerate(lengths):
+        total += n
+        if total >= CHARACTERS or i == len(lengths) - 1:
+            yield first, i + 1
+            first, total = i + 1, 0
 
 
 def longest_unique(texts: DataFrame, keys: DataFrame, text: str, key: str, ids: list[str]) -> DataFrame:

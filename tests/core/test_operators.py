@@ -68,6 +68,23 @@ def test_lines(spark):
     assert got == {1: "АЛЬФА", 2: "АЛЬФА", 5: "БЕТА-1"}
 
 
+def test_keys_held_as_by_brute_force(spark):
+    """Texts of any length and alphabet, null and empty ones, keys of many lengths, some longer than any text."""
+    r = random.Random(5)
+    made = lambda n: "".join(r.choice("abЖ𝒳\u0000") for _ in range(n))
+    texts = [(i, r.choice([None, "", made(r.randrange(60))])) for i in range(300)] + [(300, made(20_000)), (301, made(identity.CHARACTERS + 1)), (302, made(9))]
+    keys = [*{made(r.randrange(1, 6)) for _ in range(200)}, None, "", made(90)]
+    got = identity._held(spark.createDataFrame(texts, "id int, t string"), spark.createDataFrame([(k,) for k in keys], "k string"), "t", "k")
+    assert sorted((x["id"], x["k"]) for x in got.collect()) == sorted((i, k) for i, t in texts if t for k in keys if k and k in t)
+
+
+def test_texts_are_read_once_however_many_keys(spark):
+    keys = spark.range(300_000).select(F.format_string("%010d", "id").alias("k"))
+    held = identity._held(spark.createDataFrame([(1, "x0000299999y"), (2, "9999999999")], "id int, t string"), keys, "t", "k")
+    assert held._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert [(r["id"], r["k"]) for r in held.collect()] == [(1, "0000299999")]
+
+
 def test_best_sample_needs_score_and_lead(spark):
     rows = [("a", "1", 0.9), ("a", "2", 0.7), ("b", "1", 0.9), ("b", "2", 0.85), ("c", "3", 0.5), ("d", "0", 0.9)]
     got = consensus.best_sample(spark.createDataFrame(rows, "k string, label string, score double"), ["k"], "label", "score").collect()
