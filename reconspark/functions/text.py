@@ -27,6 +27,8 @@ DATE_FORMATS = ["dd.MM.yyyy", "d.M.yyyy", "dd.MM.yy", "yyyy-MM-dd", "dd/MM/yyyy"
 TIME_FORMATS = ["H:mm", "HH:mm", "H:mm:ss", "HH:mm:ss"]
 FIRST_SERIAL, END_SERIAL = 36526, 109575
 ALPHABET = "0-9A-Za-zА-Яа-яЁё"
+#: What fold reads as a hyphen; text without one holds no code of the two families.
+HYPHEN = "[-–—]"
 #: Ordered: the first whose parts are all contained wins.
 ORGANIZATIONS = [
     ("Трансэлектропроект", ["ТРАНСЭЛЕКТРОПРОЕКТ"]),
@@ -118,16 +120,19 @@ def legacy_code(x: Column | str) -> Column:
 def find_code(x: Column | str) -> Column:
     """Of several lines: the first line with a code, then two lines the first of which ends with a hyphen, then all."""
     s = _or_empty(x)
-    one = lambda v: F.when(v.contains("\n"), _first_code(v)).otherwise(legacy_code(v))
+    one = lambda v: F.when(v.rlike(HYPHEN), F.when(v.contains("\n"), _first_code(v)).otherwise(legacy_code(v)))
     return let(s, one)
 
 
 def _first_code(s: Column) -> Column:
-    lines = F.filter(F.split(s, "[\\r\\n]"), lambda v: v != "")
+    return let(F.filter(F.split(s, "[\\r\\n]"), lambda v: v != ""), lambda lines: _first_of(s, lines))
+
+
+def _first_of(s: Column, lines: Column) -> Column:
     nearby = F.transform(lines, lambda v, i: F.when(F.rtrim(v).endswith("-"), F.concat(v, F.get(lines, i + 1))))
     # Lines, then pairs of lines, then all: the first that holds a code.
     tries = F.array_compact(F.concat(lines, nearby, F.array(s)))
-    return F.get(F.filter(F.transform(tries, legacy_code), lambda v: v.isNotNull()), F.lit(0))
+    return F.get(F.filter(F.transform(F.filter(tries, lambda v: v.rlike(HYPHEN)), legacy_code), lambda v: v.isNotNull()), F.lit(0))
 
 
 def value(x: Column | str) -> Column:
@@ -227,10 +232,8 @@ def crc(x: Column | str) -> Column:
 
 def page_crc(x: Column | str) -> Column:
     """The checksum of a page: a labelled one of 8 digits; where the label is in Latin letters, what crc reads."""
-    n = fold(x)
-    folded = F.translate(n, "СРВАЕ", "CRBAE")
-    found = _digits(_found(folded, "CRC\\s*32[^0-9A-F]{0,6}([0-9A-FОOIL]{8})(?![0-9A-FОOIL])", 1))
-    return F.when(n.rlike("CRC\\s*32"), crc(x)).otherwise(found)
+    found = lambda n: _digits(_found(F.translate(n, "СРВАЕ", "CRBAE"), "CRC\\s*32[^0-9A-F]{0,6}([0-9A-FОOIL]{8})(?![0-9A-FОOIL])", 1))
+    return let(fold(x), lambda n: F.when(n.rlike("CRC\\s*32"), crc(x)).otherwise(found(n)))
 
 
 def page_number(x: Column | str) -> Column:
@@ -241,9 +244,8 @@ def page_number(x: Column | str) -> Column:
 
 
 def organization(x: Column | str) -> Column:
-    letters = F.regexp_replace(fold_form(x), "[^А-Я]", "")
-    tests = [(name, reduce(lambda a, b: a & b, (letters.contains(p) for p in parts))) for name, parts in ORGANIZATIONS]
-    return F.coalesce(*(F.when(t, F.lit(n)) for n, t in tests), F.lit(UNKNOWN))
+    test = lambda letters, parts: reduce(lambda a, b: a & b, (letters.contains(p) for p in parts))
+    return let(F.regexp_replace(fold_form(x), "[^А-Я]", ""), lambda v: F.coalesce(*(F.when(test(v, parts), F.lit(n)) for n, parts in ORGANIZATIONS), F.lit(UNKNOWN)))
 
 
 SECTION = (
@@ -257,8 +259,8 @@ def sections(x: Column | str) -> Column:
     t = F.regexp_replace(_or_empty(x), "-\\s*\\r?\\n(?=[а-я])", "")
     kinds, numbers, names = (F.regexp_extract_all(t, F.lit(SECTION), F.lit(i)) for i in (1, 2, 3))
     rows = F.transform(F.arrays_zip(kinds.alias("k"), numbers.alias("n"), names.alias("v")), lambda r: F.struct(fold_form(r["k"]).alias("key"), F.concat(r["n"], F.lit(". "), F.btrim(squeeze(r["v"]), F.lit(" ."))).alias("value")))
-    last = F.filter(rows, lambda r, i: ~F.exists(F.slice(rows, i + 2, F.size(rows) + 1), lambda s: s["key"] == r["key"]))
-    return F.map_from_entries(last)
+    last = lambda rows: F.filter(rows, lambda r, i: ~F.exists(F.slice(rows, i + 2, F.size(rows) + 1), lambda s: s["key"] == r["key"]))
+    return F.map_from_entries(let(rows, last))
 
 
 def merge_sections(old: Column | str, new: Column | str) -> Column:
@@ -268,17 +270,18 @@ def merge_sections(old: Column | str, new: Column | str) -> Column:
 
 def documentation_kind(x: Column | str) -> Column:
     """The one kind of documentation that an inventory's head names, else null."""
-    t = fold(x)
-    end = F.instr(t, "ШИФР ТОМА")
-    t = F.when(end > 0, F.substring(t, F.lit(1), end - 1)).otherwise(F.substring(t, 1, 1200))
-    stage = F.instr(t, "СТАДИЯ")
-    t = F.when(stage > 0, F.substring(t, stage, F.length(t))).otherwise(t)
+    head = lambda t, end: F.when(end > 0, F.substring(t, F.lit(1), end - 1)).otherwise(F.substring(t, 1, 1200))
+    staged = lambda t, at: F.when(at > 0, F.substring(t, at, F.length(t))).otherwise(t)
+    return let(let(let(fold(x), lambda t: head(t, F.call_function("instr", t, F.lit("ШИФР ТОМА")))), lambda t: staged(t, F.call_function("instr", t, F.lit("СТАДИЯ")))), _lone_kind)
+
+
+def _lone_kind(t: Column) -> Column:
     kinds = F.array_compact(F.array(
         F.when(t.rlike("ПРОЕКТН(?:АЯ|ОЙ)\\s+(?:И\\s+СМЕТН(?:АЯ|ОЙ)\\s+)?ДОКУМЕНТАЦИ"), F.lit("ПД")),
         F.when(t.rlike("ИНЖЕНЕРН.{0,12}ИЗЫСКАН"), F.lit("ИИ")),
         F.when(t.rlike("ДОКУМЕНТАЦИ.{0,12}ПО\\s+ПЛАНИРОВКЕ\\s+ТЕРРИТОРИИ"), F.lit("ДПТ")),
     ))
-    return F.when(F.size(kinds) == 1, kinds[0])
+    return let(kinds, lambda k: F.when(F.size(k) == 1, k[0]))
 
 
 def book_text(x: Column | str, is_iul: Column) -> Column:
@@ -297,7 +300,7 @@ def score(x: Column | str) -> Column:
 
 
 def clear_orientation(x: Column | str) -> Column:
-    return (score(x) >= 300) & (F.regexp_count(_or_empty(x), F.lit("[А-Яа-яЁё]{4,}")) >= 15)
+    return (F.regexp_count(_or_empty(x), F.lit("[А-Яа-яЁё]{4,}")) >= 15) & (score(x) >= 300)
 
 
 def different(a: Column | str, b: Column | str, share: float = 0.28) -> Column:
