@@ -136,10 +136,16 @@ CODES = """c as (select p_partkey as k, 1 + p_partkey % 9 as n, 1 + p_partkey %
 lpad(cast(p_partkey % 1000 as varchar), 3, '0') || '-' || lpad(cast(p_partkey % 100 as varchar), 2, '0') || '-' || lpad(cast(p_partkey % 10000 as varchar), 4, '0') as pre from part)"""
 
 
+def _dealt(df: DataFrame) -> DataFrame:
+    """Rows that cost much more than their bytes, dealt to all cores: a file of a few MB is read by one or two tasks."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "k")
+
+
 def _codes(t) -> DataFrame:
     k = F.col("p_partkey")
     pad = lambda modulus, width: F.lpad((k % modulus).cast("string"), width, "0")
-    return t("part").select(k.alias("k"), (1 + k % 9).alias("n"), (1 + k % 8).alias("m"), (k % 2 == 0).alias("even"), F.concat_ws("-", pad(1000, 3), pad(100, 2), pad(10000, 4)).alias("pre"))
+    return _dealt(t("part").select(k.alias("k"), (1 + k % 9).alias("n"), (1 + k % 8).alias("m"), (k % 2 == 0).alias("even"), F.concat_ws("-", pad(1000, 3), pad(100, 2), pad(10000, 4)).alias("pre")))
 
 
 def _join(*parts) -> F.Column:

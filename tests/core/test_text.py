@@ -76,3 +76,18 @@ def test_sections(spark):
 def test_section_merge(spark):
     r = spark.sql("select map('A','1234567890','B','x') a, map('A','123','C','z') b").select(X.merge_sections("a", "b")).first()[0]
     assert r == {"A": "1234567890", "B": "x", "C": "z"} or r["B"] is None
+
+
+def test_long_expressions_stand_once_in_a_plan(spark):
+    """Text is folded once for a kind, and the pattern of sections is applied once for each of its groups."""
+    texts = spark.createDataFrame([("Опись. Стадия ПРОЕКТНАЯ ДОКУМЕНТАЦИЯ",)], "t string")
+    plan = lambda c: texts.select(c.alias("c"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(X.documentation_kind("t")).count("upper(") == 1 and plan(X.organization("t")).count("upper(") == 1
+    assert plan(X.sections("t")).count("regexp_extract_all(") == 3
+
+
+def test_made_codes_are_dealt_to_all_cores(spark):
+    from reconspark.plans import known
+
+    parts = known._codes(lambda name: spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")).rdd.getNumPartitions()
+    assert parts >= spark.sparkContext.defaultParallelism
